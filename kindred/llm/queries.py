@@ -11,11 +11,12 @@ from kindred.llm.sentencepiece import op3_sentencepiece
 from kindred.llm.sharding import op6_sharding
 from kindred.llm.simhash import op2_simhash_near_dedup
 from kindred.llm.suffix_dedup import op9_suffix_array_dedup
+from kindred.llm.toxicity import op1_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_simhash_near_dedup, op3_sentencepiece, op4_language_id, op5_best_fit_packing,
+        op1_toxicity, op2_simhash_near_dedup, op3_sentencepiece, op4_language_id, op5_best_fit_packing,
         op6_sharding, op7_chat_formatting, op8_media_columns, op9_suffix_array_dedup, op10_exact_dedup,
     )
 }
