@@ -15,63 +15,59 @@ BITS, PACKED = 9, 7
 
 
 class Strings:
-    """Rows of `bytes_` (a matrix) from column `begin` (a number for each row) up to column `end`."""
+    """Rows of `bytes_` (a matrix) from column `begin` (a number for each row) up to column `end`.
 
-    def __init__(self, bytes_: np.ndarray, begin: np.ndarray, end: np.ndarray):
+    `depth` bounds how many leading symbols direct suffixes are compared by; induced ones are then in order of at
+    least as many. Without it the order is complete."""
+
+    def __init__(self, bytes_: np.ndarray, begin: np.ndarray, end: np.ndarray, depth: int | None = None):
         n, width = bytes_.shape
-        self.begin, self.end, self.width = begin, end, width + 1
-        columns = np.arange(width + 1)
+        self.begin, self.end, self.width = begin.astype(np.int64), end.astype(np.int64), width + 1
+        self.depth = -(-(depth or width + 1) // PACKED)  # in words
         self.symbols = np.zeros((n, width + 1), dtype=np.uint16)
-        self.symbols[:, :width] = np.where(columns[:width] < end[:, None], bytes_.astype(np.uint16) + 1, 0)
-        padded = np.zeros((n, width + 1 + PACKED), dtype=np.int64)
-        padded[:, : width + 1] = self.symbols
-        self.words = padded[:, : width + 1].copy()  # the symbols from each column on, packed
-        for i in range(1, PACKED):
-            self.words <<= BITS
-            self.words |= padded[:, i : i + width + 1]
+        inside = np.arange(width) < end[:, None]
+        self.symbols[:, :width] = (bytes_.astype(np.uint16) + 1) * inside
+        self.words = np.zeros((n, width + 1 + PACKED * self.depth), dtype=np.int64)  # the symbols from each column on
+        for i in range(PACKED):
+            self.words[:, : width + 1 - i] |= self.symbols[:, i:].astype(np.int64) << BITS * (PACKED - 1 - i)
         self.direct = np.zeros((n, width + 1), dtype=bool)
-        for c in range(width, -1, -1):
-            if c < width:
-                here, after = self.symbols[:, c], self.symbols[:, c + 1]
-                self.direct[:, c] = (here < after) | ((here == after) & self.direct[:, c + 1])
-            self.direct[:, c] |= c == end
+        self.direct[:, width] = end == width
+        for c in range(width - 1, -1, -1):
+            here, after = self.symbols[:, c], self.symbols[:, c + 1]
+            self.direct[:, c] = (here < after) | ((here == after) & self.direct[:, c + 1]) | (end == c)
 
     def word(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        """The packed symbols at a place; 0 past the end."""
-        inside = np.minimum(columns, self.width - 1)
-        return np.where(columns < self.width, self.words[rows, inside], 0)
+        """The packed symbols at a place, at most `depth` symbols past the end."""
+        return self.words.ravel()[rows * self.words.shape[1] + columns]
 
     def sort(self, wanted: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and columns of all suffixes that begin before column `wanted`, in order of their bytes.
 
         Sorted with them are the later ones up to each row's first direct one, from which others are induced."""
         n, width = self.symbols.shape
+        later = self.direct[:, wanted:].argmax(axis=1) + wanted if n else np.zeros(0, dtype=np.int64)
+        last = np.minimum(np.where(self.direct[np.arange(n), later], later, width), self.end)
         columns = np.arange(width)
-        later = np.where((columns >= wanted) & self.direct, columns, width).min(axis=1)
-        last = np.minimum(later, self.end)
         part = (columns >= self.begin[:, None]) & (columns <= last[:, None])
         rows, at = np.nonzero(part & self.direct)
-        depth = -(-(width - int(self.begin.min(initial=width))) // PACKED)
-        first, keys = self.word(rows, at), [self.word(rows, at + PACKED * j) for j in range(depth - 1, 0, -1)]
-        order = np.lexsort([*keys, first])
+        order = np.lexsort([self.word(rows, at + PACKED * j) for j in range(self.depth - 1, -1, -1)])
         flat, symbols, direct = (rows * width + at)[order], self.symbols.ravel(), self.direct.ravel()
         heads = symbols[flat]
         present = np.unique(self.symbols[part])
         cut = dict(zip(present.tolist(), np.searchsorted(heads, [present, present + 1], side="left").T.tolist(), strict=True))
-        low = np.repeat(np.arange(n) * width + self.begin, width)  # the first place of each place's row
         pending: dict[int, list[np.ndarray]] = {c: [] for c in cut}
         out = []
         for c, (a, b) in cut.items():
             found = list(pending.pop(c))
             fresh = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
             while len(fresh):  # runs of one byte: predecessors in the bucket itself
-                before = fresh[fresh > low[fresh]] - 1
+                before = self.predecessors(fresh)
                 fresh = before[symbols[before] == c]
                 found.append(fresh)
             found.append(flat[a:b])
             bucket = np.concatenate(found)
             out.append(bucket)
-            before = bucket[bucket > low[bucket]] - 1
+            before = self.predecessors(bucket)
             before = before[~direct[before] & (symbols[before] > c)]
             if len(before):
                 heads_ = symbols[before]
@@ -85,6 +81,10 @@ class Strings:
         keep = at < wanted
         return rows[keep], at[keep]
 
+    def predecessors(self, flat: np.ndarray) -> np.ndarray:
+        rows = flat // self.width
+        return flat[flat - rows * self.width > self.begin[rows]] - 1
+
     def alike(self, rows: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
         """Whether each suffix but the first has at least `length` leading bytes in common with the one before it."""
         same = np.ones(max(0, len(rows) - 1), dtype=bool)

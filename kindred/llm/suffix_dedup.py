@@ -38,9 +38,9 @@ LENGTH, ANCHOR = 50, 20
 PLACES = LENGTH - ANCHOR + 1
 AROUND = PLACES - 1 + LENGTH
 #: Bytes of text of a chunk, and of the text whose anchors a bucket gets, on average; the most table buckets.
-CHUNK_BYTES, BUCKET_BYTES, MOST = 4 << 20, 4 << 20, 50_000
+CHUNK_BYTES, BUCKET_BYTES, MOST = 4 << 20, 2 << 20, 50_000
 #: Positions whose anchors are looked for at a time.
-SPAN = 1 << 20
+SPAN = 1 << 16
 #: An odd number, its inverse modulo 2**64, and two multipliers of a well-known mixing function.
 BASE, MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 NO_ID = np.iinfo(np.int64).max
@@ -75,7 +75,7 @@ def anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         for step in (1, 2, 4, 8):
             low = np.minimum(low[:-step], low[step:])
         low = np.minimum(low[: -(PLACES - 16)], low[PLACES - 16 :])
-        at = low[ends[a:stop] - np.arange(a, stop) >= LENGTH] & np.uint64((1 << 24) - 1)
+        at = low[ends[a:stop] - np.arange(a, stop, dtype=np.int32) >= LENGTH] & np.uint64((1 << 24) - 1)
         at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
         at = at.astype(np.int64)
         places.append(at + a)
@@ -101,7 +101,7 @@ class Chunk:
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         self.begins = np.concatenate([[0], np.cumsum(lengths)])
         if search:
-            self.ends = np.repeat(self.begins[1:], lengths)
+            self.ends = np.repeat(self.begins[1:].astype(np.int32), lengths)
             self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
             self.place, h = anchors(self.text, self.ends)
             # an anchor goes by its bucket and 32 bits more: a chance meeting costs work, not rightness
@@ -176,33 +176,41 @@ def same_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def surroundings(chunk_number: int, chunk: Chunk, replies: pa.Table) -> list[tuple]:
     """What a chunk sends to each bucket: the distinct surroundings of shared anchors, the smallest id of each, and
     where they occur."""
-    codes, _ = chunk.distinct()
+    codes, numbers = np.unique(chunk.code, return_inverse=True)
     answer = dict(zip(replies.column("bucket").to_pylist(), replies.column("shared").to_pylist(), strict=True))
     shared = np.zeros(len(codes), dtype=bool)
     for bucket, a, b in by_bucket(codes):
         if bucket in answer:
             shared[a:b] = np.unpackbits(np.frombuffer(answer[bucket], dtype=np.uint8), count=b - a).astype(bool)
-    found = np.flatnonzero(shared[np.searchsorted(codes, chunk.code)])
+    found = np.flatnonzero(shared[numbers])
     found = found[np.argsort(chunk.code[found], kind="stable")]
-    place, owner, out = chunk.place[found], chunk.owner[chunk.place[found]], []
+    place, code = chunk.place[found], chunk.code[found]
+    doc = chunk.owner[place]
+    at = place - chunk.begins[doc]
+    left = np.minimum(at, PLACES - 1)
+    right = np.minimum(chunk.begins[doc + 1] - place, LENGTH)
     reach = np.arange(AROUND) - (PLACES - 1)
-    for bucket, a, b in by_bucket(chunk.code[found]):
-        at, doc = place[a:b], owner[a:b]
-        left = np.minimum(at - chunk.begins[doc], PLACES - 1)
-        right = np.minimum(chunk.begins[doc + 1] - at, LENGTH)
-        rows = np.zeros((b - a, AROUND + 2), dtype=np.uint8)
-        inside = (reach >= -left[:, None]) & (reach < right[:, None])
-        rows[:, :AROUND] = np.where(inside, chunk.text[np.clip(at[:, None] + reach, 0, len(chunk.text) - 1)], 0)
-        rows[:, AROUND], rows[:, AROUND + 1] = left, right
-        some, of = same_rows(rows)
-        least = np.full(len(some), NO_ID, dtype=np.int64)
-        np.minimum.at(least, of, chunk.ids[doc])
-        first = chunk.ids[doc] == least[of]
-        distinct = rows[some]
+    rows = np.zeros((len(found), AROUND + 2), dtype=np.uint8)
+    inside = (reach >= -left[:, None]) & (reach < right[:, None])
+    rows[:, :AROUND] = chunk.text[np.clip(place[:, None] + reach, 0, len(chunk.text) - 1)] * inside
+    rows[:, AROUND], rows[:, AROUND + 1] = left, right
+    some, of = same_rows(rows)
+    order = np.argsort(code[some] >> np.uint64(32), kind="stable")  # equal surroundings have equal anchors, so one bucket
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.arange(len(order))
+    some, of = some[order], number[of]
+    least = np.full(len(some), NO_ID, dtype=np.int64)
+    np.minimum.at(least, of, chunk.ids[doc])
+    first = chunk.ids[doc] == least[of]
+    around, begin, out = rows[some], 0, []
+    for bucket, a, b in by_bucket(code):
+        end = begin + int(np.count_nonzero(code[some[begin : begin + b - a]] >> np.uint64(32) == np.uint64(bucket)))
+        own = around[begin:end]
         out.append((
-            bucket, chunk_number, distinct[:, :AROUND].tobytes(), distinct[:, AROUND].tobytes(), distinct[:, AROUND + 1].tobytes(), least.astype("<i8").tobytes(),
-            of.astype("<i4").tobytes(), doc.astype("<i4").tobytes(), (at - chunk.begins[doc]).astype("<i4").tobytes(), np.packbits(first).tobytes(),
+            bucket, chunk_number, own[:, :AROUND].tobytes(), own[:, AROUND].tobytes(), own[:, AROUND + 1].tobytes(), least[begin:end].astype("<i8").tobytes(),
+            (of[a:b] - begin).astype("<i4").tobytes(), doc[a:b].astype("<i4").tobytes(), at[a:b].astype("<i4").tobytes(), np.packbits(first[a:b]).tobytes(),
         ))
+        begin = end
     return out
 
 
@@ -217,7 +225,7 @@ def repeated_places(rows: pa.Table) -> list[tuple]:
     smallest = np.full(len(some), NO_ID, dtype=np.int64)
     np.minimum.at(smallest, number, least)
     begin, end = PLACES - 1 - left[some], PLACES - 1 + right[some]
-    strings = Strings(around[some], begin, end)
+    strings = Strings(around[some], begin, end, LENGTH + 6)
     row, at = strings.sort(PLACES)
     whole = at + LENGTH <= end[row]
     row, at = row[whole], at[whole]
