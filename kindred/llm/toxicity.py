@@ -35,6 +35,8 @@ GAPS, DECAY, PLACES = 2, 0.6, 8
 #: Symbols: 0 for what is no letter, then the most frequent letters, the last for other letters.
 SYMBOLS = 64
 LANDMARKS, ROUNDS, PENALTY = 512, 4, 1e-3
+#: The share of toxic documents that the logistic curve reckons with.
+SHARE = 0.1
 #: The score from which a text is predicted toxic.
 THRESHOLD = 0.3
 REACH = PLACES + 2 * (GAPS + 1)
@@ -106,17 +108,17 @@ class Kernel:
     def __init__(self, landmarks: np.ndarray):
         found = subsequences(landmarks)
         self.features, at = np.unique(found, return_inverse=True)
-        self.table = np.zeros((len(self.features) + 1, len(landmarks)))  # the last row: subsequences of no landmark
-        np.add.at(self.table, (at.reshape(found.shape), np.arange(len(landmarks))[:, None]), np.broadcast_to(STEP_WEIGHTS, found.shape))
+        self.table = np.zeros((len(self.features) + 1, len(landmarks)), dtype=np.float32)  # the last row: subsequences of no landmark
+        np.add.at(self.table, (at.reshape(found.shape), np.arange(len(landmarks))[:, None]), np.broadcast_to(STEP_WEIGHTS, found.shape).astype(np.float32))
         self.table /= np.linalg.norm(self.table, axis=0)
 
     def __call__(self, stretches: np.ndarray) -> np.ndarray:
-        out = np.empty((len(stretches), self.table.shape[1]))
-        for i in range(0, len(stretches), 256):
-            found = subsequences(stretches[i : i + 256])
+        out = np.empty((len(stretches), self.table.shape[1]), dtype=np.float32)
+        for i in range(0, len(stretches), 128):
+            found = subsequences(stretches[i : i + 128])
             at = np.minimum(np.searchsorted(self.features, found), len(self.features) - 1)
             at = np.where(self.features[at] == found, at, len(self.features))
-            out[i : i + 256] = np.einsum("nfm,f->nm", self.table[at], STEP_WEIGHTS)
+            out[i : i + 128] = np.einsum("nfm,f->nm", self.table[at], STEP_WEIGHTS.astype(np.float32))
         return out
 
     def expand(self, alpha: np.ndarray) -> np.ndarray:
@@ -128,18 +130,23 @@ class Kernel:
 
 def machine(kernel: Kernel, landmarks: np.ndarray, stretches: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of subsequences and bias of the machine with the squared hinge loss, both classes weighing alike."""
-    values, vectors = np.linalg.eigh(kernel(landmarks))
+    values, vectors = np.linalg.eigh(kernel(landmarks).astype(np.float64))
     keep = values > 1e-8 * values.max()
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
-    z = np.hstack([kernel(stretches) @ whiten, np.ones((len(stretches), 1))])
+    whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+    z = np.ones((len(stretches), whiten.shape[1] + 1), dtype=np.float32)
+    for i in range(0, len(z), 2048):
+        z[i : i + 2048, :-1] = kernel(stretches[i : i + 2048]) @ whiten
     cost = np.where(signs > 0, 0.5 / (signs > 0).sum(), 0.5 / (signs < 0).sum())
     ridge = np.eye(z.shape[1]) * PENALTY
     ridge[-1, -1] = 1e-6
     w, active = np.zeros(z.shape[1]), np.ones(len(z), dtype=bool)
     for _ in range(40):
-        za, ca = z[active], cost[active]
-        w = np.linalg.solve(za.T @ (za * ca[:, None]) * z.shape[1] + ridge, za.T @ (signs[active] * ca) * z.shape[1])
-        now = signs * (z @ w) < 1
+        share = (cost * active * z.shape[1]).astype(np.float32)
+        gram = np.zeros((z.shape[1], z.shape[1]))
+        for i in range(0, len(z), 2048):
+            gram += z[i : i + 2048].T @ (z[i : i + 2048] * share[i : i + 2048, None])
+        w = np.linalg.solve(gram + ridge, z.T @ (signs * share).astype(np.float32))
+        now = signs * (z @ w.astype(np.float32)) < 1
         if (now == active).all():
             break
         active = now
@@ -189,16 +196,24 @@ def fit_texts(toxic: list[str], clean: list[str], seed: int = 2026) -> Model:
         return model
     rng = np.random.default_rng(seed)
     coded = [[model.encode(t) for t in texts] for texts in (toxic, clean)]
-    # in how many documents of each kind each four neighbours occur
-    seen = [np.zeros(SYMBOLS**4, dtype=np.int32) for _ in coded]
+    # in how many documents of each kind each four neighbours occur, of those that toxic documents have
     four = lambda s: s[:-3] << 18 | s[1:-2] << 12 | s[2:-1] << 6 | s[3:]
-    for docs, count in zip(coded, seen, strict=True):
-        for s in docs:
-            count[np.unique(four(s))] += 1
-    odds = np.maximum(0.0, np.log((seen[0] + 0.5) / (len(toxic) + 1)) - np.log((seen[1] + 0.5) / (len(clean) + 1)) - 1.0) * (seen[0] >= max(3, len(toxic) // 200))
+    known, n_toxic = np.unique(np.concatenate([np.unique(four(s)) for s in coded[0]]), return_counts=True)
+    known, n_toxic = (x[n_toxic >= max(3, len(toxic) // 200)] for x in (known, n_toxic))
+    if not len(known):
+        return model
+    n_clean = np.zeros(len(known))
+    for s in coded[1]:
+        found = np.unique(four(s))
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        n_clean[at[known[at] == found]] += 1
+    odds = np.maximum(0.0, np.log((n_toxic + 0.5) / (len(toxic) + 1)) - np.log((n_clean + 0.5) / (len(clean) + 1)) - 1.0)
+    known, odds = known[odds > 0], odds[odds > 0]
 
     def suspicion(s: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(odds[four(s)])])
+        found = four(s)
+        at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
+        total = np.concatenate([[0.0], np.cumsum(np.where(known[at] == found, odds[at], 0.0) if len(known) else np.zeros(len(found)))])
         return (total[5:] - total[:-5])[: max(1, len(s) - REACH)]
 
     positive = []
@@ -233,7 +248,7 @@ def logistic(high: np.ndarray, low: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic curve through two groups of values, with Platt's softened targets."""
     x = np.concatenate([high, low])
     y = np.concatenate([np.full(len(high), (len(high) + 1) / (len(high) + 2)), np.full(len(low), 1 / (len(low) + 2))])
-    weight = np.concatenate([np.full(len(high), 0.5 / len(high)), np.full(len(low), 0.5 / len(low))])
+    weight = np.concatenate([np.full(len(high), SHARE / len(high)), np.full(len(low), (1 - SHARE) / len(low))])
     design, w = np.stack([x, np.ones(len(x))], axis=1), np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -60, 60)))
