@@ -36,7 +36,7 @@ def chains(synsets: DataFrame, hypernyms: DataFrame, most: int = MOST_STEPS) ->
     synsets.select("synset_id").distinct().createOrReplaceTempView("_kindred_synsets")
     parents.createOrReplaceTempView("_kindred_parents")
     return spark.sql(f"""
-        WITH RECURSIVE up MAX RECURSION LEVEL {most + 1} (synset_id, ancestor, steps, path) AS (
+        WITH RECURSIVE up (synset_id, ancestor, steps, path) MAX RECURSION LEVEL {most + 2} AS (
           SELECT synset_id, synset_id, 0, array(synset_id) FROM _kindred_synsets
           UNION ALL
           SELECT u.synset_id, p.parent, u.steps + 1, u.path || array(p.parent)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.plans import domains, words
+from kindred.plans import domains, measures, words
 
-QUERIES = {**domains.QUERIES, **words.QUERIES}
-SQL = {**domains.SQL, **words.SQL}
+QUERIES = {**domains.QUERIES, **words.QUERIES, **measures.QUERIES}
+SQL = {**domains.SQL, **words.SQL, **measures.SQL}
