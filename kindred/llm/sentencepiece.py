@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, crc32, read_table
-from kindred.llm.words import Words, own_store
+from kindred.llm.common import bounded_batches, read_table
+from kindred.llm.words import Words, listed, own_store
 
 #: How the pieces write a space, and how far below the lowest piece a character spelled in bytes scores.
 SPACE, BYTES_BELOW = "▁", 10.0
+#: Distinct stretches that a worker remembers.
+MEMORY = 250_000
 
 
 class Automaton:
@@ -84,8 +86,8 @@ class Automaton:
         return out[::-1]
 
 
-def load(path: str) -> tuple[Automaton, list[bytes]]:
-    """The automaton of a model file, and the bytes that each id stands for."""
+def pieces_of(path: str) -> tuple[list[tuple[str, float, int]], list[int], list[bytes]]:
+    """A model file's pieces (text, score, id), the ids of the 256 bytes, and the bytes that each id stands for."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -101,29 +103,29 @@ def load(path: str) -> tuple[Automaton, list[bytes]]:
         else:
             pieces.append((text, model.get_score(i), i))
             spelled.append(text.encode())
-    return Automaton(pieces, byte_ids), spelled
+    return pieces, byte_ids, spelled
 
 
-class Codec:
-    """Encodes and decodes texts. A space is put before a text that is not empty, and taken off again."""
+def encoder(path: str) -> Words:
+    """The worker's encoder. A space is put before a text that is not empty."""
+    known = own_store()
+    if path not in known:
+        automaton = Automaton(*pieces_of(path)[:2])
+        stretch = re.compile(rb" +[^ ]*") if automaton.divisible else re.compile(rb"(?s).+")
+        known[path] = Words(lambda words: listed([automaton.encode(w) for w in words]), lambda text: stretch.findall(b" " + text) if text else [], memory=MEMORY)
+    return known[path]
 
-    def __init__(self, path: str):
-        self.automaton, self.spelled = load(path)
-        stretch = re.compile(rb" +[^ ]*") if self.automaton.divisible else re.compile(rb"(?s).+")
-        self.words = Words(lambda words: [self.automaton.encode(w) for w in words], lambda text: stretch.findall(b" " + text) if text else [])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.words.batch(texts)
+def spelling(path: str) -> list[bytes]:
+    known = own_store()
+    if ("spelling", path) not in known:
+        known["spelling", path] = pieces_of(path)[2]
+    return known["spelling", path]
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.spelled.__getitem__, ids.tolist())).removeprefix(b" ").decode("utf-8", "replace")
 
-
-def codec(path: str) -> Codec:
-    known = own_store()
-    if path not in known:
-        known[path] = Codec(path)
-    return known[path]
+def decode(ids: np.ndarray, spelled: list[bytes]) -> str:
+    """The text of the ids, without the space put before it."""
+    return b"".join(map(spelled.__getitem__, ids.tolist())).removeprefix(b" ").decode("utf-8", "replace")
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -138,7 +140,7 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = codec(model).encode([t or "" for t in batch.column(1).to_pylist()])
+            found = encoder(model).batch([t or "" for t in batch.column(1).to_pylist()])
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = np.concatenate([*found, np.zeros(0, dtype=np.uint32)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "ids"])
@@ -155,7 +157,7 @@ def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             ids = batch.column(1)
             flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            texts = [codec(model).decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            texts = [decode(flat[a:b], spelling(model)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
@@ -165,13 +167,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of the ids of every document, and of the text decoded from them."""
     model = model_path()
     decoded = decode_ids(encode_texts(read_table(spark, sf_dir, "documents"), model), model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1)
-            flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            crcs = [crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(crcs, pa.int64()), batch.column(2)], names=["doc_id", "n_ids", "ids_crc32", "text"])
-
-    digests = decoded.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text string")
-    return digests.select("doc_id", "n_ids", "ids_crc32", F.octet_length("text").cast("long").alias("decoded_bytes"), F.sha2("text", 256).alias("decoded_sha256"))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")).alias("ids_crc32"),
+        F.octet_length("text").cast("long").alias("decoded_bytes"), F.sha2("text", 256).alias("decoded_sha256"),
+    )
