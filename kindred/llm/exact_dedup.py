@@ -59,9 +59,9 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = cut.select("doc_id", "version", "n_points", "text_sha256", "left", F.lit(1).cast("long").alias("copies"), F.posexplode("blocks").alias("at", "block"))
     blocks = blocks.withColumn("digest", F.xxhash64("block"))
     level = checkpointed(block_names(blocks))
-    done, step = level.filter("left = 1").withColumn("round", F.lit(0)), 0
-    keep = ["doc_id", "version", "round", "name", "copies", "n_points", "text_sha256"]
-    done, level = done.select(*keep), level.filter("left > 1")
+    step, keep = 0, ["doc_id", "version", "round", "name", "n_points", "text_sha256"]
+    done = level.filter("left = 1").withColumn("round", F.lit(0)).groupBy(*keep).agg(F.sum("copies").alias("copies"))
+    level = level.filter("left > 1")
     while not level.isEmpty():
         step += 1
         even = F.col("at") % 2 == 0
@@ -73,7 +73,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         paired = checkpointed(paired)
         names = checkpointed(named(paired.select("a", "b").distinct(), "a", "b"))
         level = checkpointed(paired.join(names, ["a", "b"]).drop("a", "b"))
-        done = done.unionByName(level.filter("left = 1").withColumn("round", F.lit(step)).select(*keep))
+        done = done.unionByName(level.filter("left = 1").withColumn("round", F.lit(step)).select(*keep, "copies"))
         level = level.filter("left > 1")
     return done
 
