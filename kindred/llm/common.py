@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch handed to Python; a batch always holds one row at least.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +48,12 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
+def release() -> None:
+    """Give back what a Python worker holds but no longer uses; workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 

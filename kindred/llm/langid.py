@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.llm.common import bounded_batches, fold, read_table
+from kindred.llm.common import bounded_batches, fold, read_table, release
 
 #: Bounds of the labelled sample: documents of a language, and code points of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 40, 600
@@ -186,6 +186,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     scores.append(float(weights[i]) if ok else 0.0)
                 at = end
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+        release()
 
     return plain.mapInArrow(run, schema)
 

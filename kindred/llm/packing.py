@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, checkpointed, crc32, parts_for, read_table
-from kindred.llm.words import word_tokenizer
+from kindred.llm.common import bounded_batches, checkpointed, crc32, parts_for, read_table, release
+from kindred.llm.words import MEMORY, word_tokenizer
 
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY, END = 4096, 1
@@ -34,14 +34,16 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY, share: bool = True) -> DataFrame:
     """`doc_id, piece, start, length, ids_crc32, ids`: documents as token ids with `end` appended; those longer than
-    `capacity` are cut. `ids` are little-endian unsigned 32-bit numbers. A null text counts as empty."""
+    `capacity` are cut. `ids` are little-endian unsigned 32-bit numbers. A null text counts as empty.
+    memory: distinct words that a worker remembers, and share: whether for its next tasks too; neither changes a
+    result."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = word_tokenizer(tokenizer)
+        words = word_tokenizer(tokenizer, memory)
         for batch in batches:
             keys, found = batch.column(0).to_pylist(), []
             for key, ids in zip(keys, words.batch([t or "" for t in batch.column(1).to_pylist()]), strict=True):
@@ -53,6 +55,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                 columns = list(zip(*found, strict=True))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        if not share:
+            words.clear()
+        release()
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
@@ -114,13 +119,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = ITEMS)
     return placed.select("item", (F.col("bin") * 64 + F.col("level")).alias("sequence_id"), "offset")
 
 
-def packed_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", per_partition: int = ITEMS) -> DataFrame:
+def packed_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", per_partition: int = ITEMS, memory: int = MEMORY, share: bool = True) -> DataFrame:
     """The rows of `pieces` with `sequence_id` and `offset`: sequences of at most `capacity` tokens without gaps.
 
     Repeated rows are packed as often as they come; null ids are packed too; an empty table gives an empty result.
     keep_ids=False leaves the ids out, so that texts do not travel.
     """
-    cut = pieces(docs, tokenizer, capacity, end, id_col, text_col)
+    cut = pieces(docs, tokenizer, capacity, end, id_col, text_col, memory, share)
     cut = checkpointed((cut if keep_ids else cut.drop("ids")).withColumn("item", F.monotonically_increasing_id()))
     places = checkpointed(pack(cut.select("item", "length"), capacity, per_partition))
     return cut.join(places, "item").drop("item")

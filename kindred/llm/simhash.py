@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, checkpointed, read_table
+from kindred.llm.common import bounded_batches, checkpointed, read_table, release
 from kindred.llm.components import smallest_reachable
 
 #: Bits of a segment; a segment's count is 0 to this.
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
         for batch in batches:
             found = np.array([simhash((t or "").encode(), words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        release()
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, fp long")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import checkpointed, parts_for, read_table
+from kindred.llm.common import checkpointed, parts_for, read_table, release
 from kindred.llm.suffix_array import Strings
 
 #: Bytes of a string that must repeat, and of an anchor.
@@ -310,7 +310,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     replies = checkpointed(listed.groupBy("bucket").applyInArrow(lambda rows: table(shared_codes(rows), REPLY_KINDS), ddl(REPLY_KINDS)))
 
     def send(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        return table(surroundings(key[0].as_py(), Chunk(rows, buckets), answers) if len(rows) and len(answers) else [], AROUND_KINDS)
+        out = table(surroundings(key[0].as_py(), Chunk(rows, buckets), answers) if len(rows) and len(answers) else [], AROUND_KINDS)
+        release()
+        return out
 
     sent = search.groupBy("_chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send, ddl(AROUND_KINDS))
     places = checkpointed(sent.groupBy("bucket").applyInArrow(lambda rows: table(repeated_places(rows), PLACE_KINDS), ddl(PLACE_KINDS)))

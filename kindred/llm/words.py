@@ -121,7 +121,7 @@ def ending(word: bytes) -> tuple[bytes, bytes]:
     return (head, word[len(head) :]) if len(last) == 1 and last.isalpha() else (word, b"")
 
 
-def word_tokenizer(path: str) -> Words:
+def word_tokenizer(path: str, memory: int = MEMORY) -> Words:
     """The worker's `Words` for a `tokenizers` file whose tokenizer ignores case and white space, as `word_bpe_49k.json`
     does. Many words go through it in one call, a special token between them."""
     known = own_store()
@@ -148,4 +148,5 @@ def word_tokenizer(path: str) -> Words:
             return np.concatenate(flat), np.concatenate(lengths)
 
         known[path] = Words(encode, lower_words, ending)
+    known[path].memory = memory
     return known[path]
