@@ -4,14 +4,15 @@ Strings are read as letters in lower case and one symbol for anything else. Thei
 three symbols; each symbol skipped, up to `GAPS` in each gap, costs the factor `DECAY`. So `i d i o t`, `id*iot` and
 `idioot` still share most subsequences with `idiot`.
 
-The machine is trained on stretches of labelled sentences. In a toxic document these are the stretches whose letter
-sequences occur in toxic documents far more often than in clean ones, as they are and with characters put in; in a
-clean document random ones, the most similar ones, and in each round those that the last machine likes best. It is
-fitted on the kernel values with the landmarks (Nyström features), by Newton steps on the squared hinge loss.
+The machine is trained on stretches of labelled sentences. In a toxic document these are the stretches that begin
+with runs of letters which toxic documents have far more often than their share of the text lets expect, as they are
+and with characters put in; in a clean document random ones, the most similar ones, and in each round those that the
+last machine likes best. It is fitted on the kernel values with the landmarks (Nyström features), by Newton steps on
+the squared hinge loss.
 
 A landmark expansion is linear in the counts of subsequences, so the fitted machine is one table of weights of all
-subsequences. A text is scored whole, at every place, by a few table lookups a character; the best stretch of its
-sentences gives the score, through a logistic curve fitted on the sampled documents.
+subsequences. A text is scored whole, at every place, by a few table lookups a character. The best two stretches of
+its sentences and its length give the score, through a logistic curve fitted on the sampled documents.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ from kindred.llm.common import bounded_batches, fold, read_table
 #: Bounds of the labelled sample: toxic and clean documents, and code points of each.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1_000, 2_500, 20_000
 #: Symbols skipped in a gap at most, and the weight of each; places at which a stretch's subsequences begin.
-GAPS, DECAY, PLACES = 2, 0.6, 8
+GAPS, DECAY, PLACES = 3, 0.6, 8
 #: Symbols: 0 for what is no letter, then the most frequent letters, the last for other letters.
 SYMBOLS = 64
+#: Lengths of neighbouring symbols that mark stretches of toxic documents, and the least log-likelihood ratio.
+NEIGHBOURS, LEAST_TELLING = (4, 5, 6, 7), 12.0
 LANDMARKS, ROUNDS, PENALTY = 512, 4, 1e-3
 #: The share of toxic documents that the logistic curve reckons with.
 SHARE = 0.1
@@ -49,8 +52,7 @@ class Model:
     symbol_of: np.ndarray
     weights: np.ndarray  # of each subsequence
     bias: float
-    slope: float = 1.0
-    shift: float = 0.0
+    curve: tuple[float, ...] = (0.0, 0.0, 0.0, -60.0)  # of the best and second stretch, the logarithm of the length, 1
 
     def encode(self, text: str) -> np.ndarray:
         """Symbols of the text, with a separator before and enough of them behind."""
@@ -79,8 +81,16 @@ class Model:
         """The machine's value for the stretch that begins at each place of an encoded text."""
         return stretch_sums(symbols, self.weights) + self.bias
 
-    def score(self, value: float) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * value + self.shift))))
+    def evidence(self, symbols: np.ndarray) -> tuple[float, float, float]:
+        """The best value of a stretch, the best one apart from it, and the logarithm of the text's length."""
+        values = self.stretches(symbols)
+        best = int(values.argmax())
+        apart = np.concatenate([values[: max(0, best - PLACES + 1)], values[best + PLACES :]])
+        return float(values[best]), float(apart.max()) if len(apart) else self.bias, math.log(len(symbols))
+
+    def score(self, text: str) -> float:
+        value = sum(c * x for c, x in zip(self.curve, (*self.evidence(self.encode(text)), 1.0), strict=True))
+        return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, value))))
 
 
 def stretch_sums(symbols: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -183,6 +193,32 @@ def with_insertions(stretches: np.ndarray, rng: np.random.Generator) -> np.ndarr
     return np.array(out, dtype=np.int32)
 
 
+def neighbours(symbols: np.ndarray, n: int) -> np.ndarray:
+    """Each n neighbouring symbols as a number."""
+    out = symbols[: len(symbols) - n + 1].astype(np.int64)
+    for i in range(1, n):
+        out = out << 6 | symbols[i : len(symbols) - n + 1 + i]
+    return out
+
+
+def telling(toxic: list[np.ndarray], clean: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of n neighbours that are in far more toxic documents than the toxic share of text lets expect, and how
+    telling they are (a log-likelihood ratio)."""
+    known, have = np.unique(np.concatenate([np.unique(neighbours(s, n)) for s in toxic]), return_counts=True)
+    known, have = known[have >= 3], have[have >= 3]
+    others = np.zeros(len(known))
+    for s in clean:
+        found = np.unique(neighbours(s, n))
+        at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
+        if len(known):
+            others[at[known[at] == found]] += 1
+    share = sum(map(len, toxic)) / (sum(map(len, toxic)) + sum(map(len, clean)))
+    ratio = have / ((have + others) * share)
+    value = have * np.log(ratio)
+    keep = (value >= LEAST_TELLING) & (ratio * share >= 0.6)
+    return known[keep], value[keep]
+
+
 def fit_texts(toxic: list[str], clean: list[str], seed: int = 2026) -> Model:
     """The machine for these labelled texts. Without toxic or without clean ones it scores all texts alike, 0."""
     points = np.frombuffer("".join([*toxic, *clean]).lower().encode("utf-32-le", "replace"), dtype="<u4")
@@ -190,36 +226,27 @@ def fit_texts(toxic: list[str], clean: list[str], seed: int = 2026) -> Model:
     is_letter = np.array([chr(c).isalpha() for c in found.tolist()], dtype=bool)
     found, counts = found[is_letter], counts[is_letter]
     letters = np.sort(found[np.argsort(-counts, kind="stable")[: SYMBOLS - 2]])
-    model = Model(letters, np.arange(1, len(letters) + 1), np.zeros(SYMBOLS**3, dtype=np.float32), 0.0, 0.0, -60.0)
+    model = Model(letters, np.arange(1, len(letters) + 1), np.zeros(SYMBOLS**3, dtype=np.float32), 0.0)
     toxic, clean = [t for t in toxic if t], [t for t in clean if t]
     if not toxic or not clean:
         return model
     rng = np.random.default_rng(seed)
     coded = [[model.encode(t) for t in texts] for texts in (toxic, clean)]
-    # in how many documents of each kind each four neighbours occur, of those that toxic documents have
-    four = lambda s: s[:-3] << 18 | s[1:-2] << 12 | s[2:-1] << 6 | s[3:]
-    known, n_toxic = np.unique(np.concatenate([np.unique(four(s)) for s in coded[0]]), return_counts=True)
-    known, n_toxic = (x[n_toxic >= max(3, len(toxic) // 200)] for x in (known, n_toxic))
-    if not len(known):
-        return model
-    n_clean = np.zeros(len(known))
-    for s in coded[1]:
-        found = np.unique(four(s))
-        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-        n_clean[at[known[at] == found]] += 1
-    odds = np.maximum(0.0, np.log((n_toxic + 0.5) / (len(toxic) + 1)) - np.log((n_clean + 0.5) / (len(clean) + 1)) - 1.0)
-    known, odds = known[odds > 0], odds[odds > 0]
+    signs_of = {n: telling(*coded, n) for n in NEIGHBOURS}
 
     def suspicion(s: np.ndarray) -> np.ndarray:
-        found = four(s)
-        at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
-        total = np.concatenate([[0.0], np.cumsum(np.where(known[at] == found, odds[at], 0.0) if len(known) else np.zeros(len(found)))])
-        return (total[5:] - total[:-5])[: max(1, len(s) - REACH)]
+        out = np.zeros(max(1, len(s) - REACH))
+        for n, (known, weight) in signs_of.items():
+            if len(known):
+                found = neighbours(s, n)[: len(out)]
+                at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                out[: len(found)] = np.maximum(out[: len(found)], np.where(known[at] == found, weight[at], 0.0))
+        return out
 
     positive = []
     for s in coded[0]:
         value = suspicion(s)
-        places = best_places(value, 6, max(1e-6, 0.5 * value.max()))
+        places = best_places(value, 6, 1e-6)
         positive.append(cut(s, np.array(places, dtype=np.int64)))
     positive = np.concatenate(positive)
     if not len(positive):
@@ -239,26 +266,27 @@ def fit_texts(toxic: list[str], clean: list[str], seed: int = 2026) -> Model:
         if step < ROUNDS - 1:
             hard = [cut(s, np.array(best_places(model.stretches(s)[: len(s) - REACH], 2, -0.7), dtype=np.int64)) for s in coded[1]]
             negative = np.concatenate([negative, *hard])
-    values = [np.array([model.stretches(s).max() for s in docs]) for docs in coded]
-    model.slope, model.shift = logistic(*values)
+    model.curve = logistic(*(np.array([model.evidence(s) for s in docs]) for docs in coded))
     return model
 
 
-def logistic(high: np.ndarray, low: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through two groups of values, with Platt's softened targets."""
+def logistic(high: np.ndarray, low: np.ndarray) -> tuple[float, ...]:
+    """Coefficients of the logistic curve through two groups of rows, the last for the constant, with Platt's softened
+    targets."""
     x = np.concatenate([high, low])
     y = np.concatenate([np.full(len(high), (len(high) + 1) / (len(high) + 2)), np.full(len(low), 1 / (len(low) + 2))])
     weight = np.concatenate([np.full(len(high), SHARE / len(high)), np.full(len(low), (1 - SHARE) / len(low))])
-    design, w = np.stack([x, np.ones(len(x))], axis=1), np.zeros(2)
-    for _ in range(100):
+    design, ridge = np.hstack([x, np.ones((len(x), 1))]), 1e-5 * np.eye(x.shape[1] + 1)
+    w = np.zeros(design.shape[1])
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -60, 60)))
-        gradient = design.T @ (weight * (p - y)) + 1e-6 * w
-        step = np.linalg.solve(design.T @ (design * (weight * p * (1 - p))[:, None]) + 1e-6 * np.eye(2), gradient)
+        gradient = design.T @ (weight * (p - y)) + ridge @ w
+        step = np.linalg.solve(design.T @ (design * (weight * p * (1 - p))[:, None]) + ridge, gradient)
         step *= min(1.0, 2.0 / max(1e-12, float(np.abs(step).max())))
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return tuple(float(v) for v in w)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, sample_chars: int = SAMPLE_CHARS) -> Model:
@@ -286,7 +314,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            found = [known.score(float(known.stretches(known.encode(t or "")).max())) for t in batch.column(names.index(text_col)).to_pylist()]
+            found = [known.score(t or "") for t in batch.column(names.index(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*names, "score"])
 
     return plain.mapInArrow(run, schema)
