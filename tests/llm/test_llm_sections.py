@@ -1,0 +1,49 @@
+"""Near copies found by sections, against all pairs."""
+
+import random
+
+import numpy as np
+
+from kindred.llm import sections
+from kindred.llm.components import smallest_reachable
+
+
+def made(seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    common = " ".join(rng.choice(words) for _ in range(40))
+    out = []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randrange(120, 400))]
+        out.append(" ".join(base) + " " + common)
+        for _ in range(rng.randrange(4)):
+            near = list(base)
+            for _ in range(max(1, len(near) // 90)):
+                near[rng.randrange(len(near))] = rng.choice(words)
+            out.append(" ".join(near) + " " + common)
+    return [*out, "", "one", "one", "two words", "three short words"]
+
+
+def test_similar_pairs(spark):
+    texts = made(1)
+    sets = [set(sections.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    wanted = {(a, b) for b in range(len(texts)) for a in range(b) if sets[a] | sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    found = sections.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {(r["a"], r["b"]) for r in found.collect()} <= wanted
+    label = {r["node"]: r["label"] for r in smallest_reachable(found).collect()}
+    lost = [(a, b) for a, b in wanted if label.get(a, a) != label.get(b, b)]
+    assert len(wanted) > 20 and len(lost) <= 0.05 * len(wanted)
+
+
+def test_sections_cover_the_text():
+    words = [f"{i}".encode() for i in range(500)]
+    assert sum(sections.cut(words), []) == words
+    assert all(len(s) >= sections.LEAST for s in sections.cut(words))
+    assert sections.cut([]) == []
+    assert len(sections.shingle_hashes(b"a b", 5)) == 1 and np.array_equal(sections.shingle_hashes(b"", 5), [])
+
+
+def test_nothing_to_compare(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (None, "x")], "doc_id long, text string")
+    assert sections.similar_pairs(rows).count() == 0
+    assert sections.similar_pairs(rows.limit(0)).count() == 0
