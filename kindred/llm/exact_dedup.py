@@ -47,7 +47,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id", F.xxhash64("text").alias("version"), F.length("text").cast("long").alias("n_points"),
-        F.translate("text", BLANKS, "").alias("norm"),
+        F.explode(F.array(F.regexp_replace("text", f"[{BLANKS}]+", ""))).alias("norm"),  # exploded so as to be computed once
     )
     cut = own.select(
         "doc_id", "version", "n_points", F.sha2("norm", 256).alias("text_sha256"),
