@@ -1,4 +1,4 @@
-"""All registered queries of the reference operators, and their SQL."""
+"""All registered queries outside `kindred.llm`, and their SQL."""
 
 from __future__ import annotations
 

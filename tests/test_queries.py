@@ -1,4 +1,4 @@
-"""Every registered query of the reference operators against its SQL."""
+"""Every registered query outside `kindred.llm` against its SQL."""
 
 import pytest
 from oracle import compare
