@@ -1,13 +1,14 @@
-"""Near copies that whole-text fingerprints miss: fingerprints of sections, verified by Jaccard similarity.
+"""Near copies that whole-text fingerprints miss: sets of shingles, by an exact prefix filter and Jaccard similarity.
 
-An edit moves a whole text's fingerprint by several bits, but leaves most sections untouched. A text is cut after words
-that a hash picks, so copies are cut alike, and each section gets a fingerprint. A text keeps the `KEYS` sections whose
-fingerprints hash lowest, the same ones in each copy. Texts are candidates with the smallest id of each group that
-shares a section, if they share enough of them and their lengths allow it; the sets of their shingles then decide.
+The shingles of each text are put in one order, the same for all, common ones last. Of two texts that are alike enough,
+the first few shingles have one in common; texts that share such a key are candidates, if their numbers of shingles and
+the places of the key allow it. The sets of their shingles then decide.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +16,17 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, checkpointed, release
-from kindred.llm.simhash import simhash
+from kindred.llm.common import bounded_batches, checkpoint_dir, checkpointed, release
 
-#: One word in so many ends a section of at least LEAST words; sections that a text keeps.
-ONE_IN, LEAST, KEYS = 12, 8, 8
+#: One word in so many ends a section of at least LEAST words.
+ONE_IN, LEAST = 12, 8
+#: Texts, about, whose shingles show which are common; so many common ones are told apart. Neither changes the pairs.
+SAMPLE, COMMON = 8192, 100_000
+#: The last place at a key up to which a round compares each text with all later ones.
+ROUNDS = (1, 4, 16)
 
 
 def cut(words: list[bytes]) -> list[list[bytes]]:
@@ -44,27 +49,64 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     found = text.lower().split()
     if not found:
         return np.zeros(0, dtype="<u8")
-    shingles = zip(*(found[i:] for i in range(words)), strict=False) if len(found) >= words else [found]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), 42) for s in shingles), dtype="<u8"))
+    one = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in found), dtype="<u8", count=len(found))
+    wide = min(words, len(found))
+    out = one[: len(one) - wide + 1].copy()
+    for i in range(1, wide):  # as many places as words, each mixed before the next comes in
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + one[i : len(one) - wide + 1 + i]
+    return np.unique(out)
 
 
-def section_keys(docs: DataFrame, words: int) -> DataFrame:
-    """`doc_id, n_words, n_keys, key`: the kept sections' fingerprints of each text that has words."""
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of texts repeats, sorted, and the rank of each by how often: the `COMMON` most repeated."""
+    one_in = max(1, docs.count() // SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes((text or "").encode(), words).view(np.int64))], names=["key"])
+        release()
+
+    counts = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    found = counts.orderBy(F.desc("n"), "key").limit(COMMON).collect()
+    keys = np.array([r["key"] for r in found], dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], len(keys) - order  # the most repeated one has the highest rank
+
+
+def prefix_length(size: int, similarity: float) -> int:
+    """Of two sets that are `similarity` alike, the first so many of each, in one order for all, have one in common."""
+    return size - math.ceil(similarity * size - 1e-9) + 1
+
+
+def prefix_keys(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """`doc_id, size, at, key`: the first shingles of each text that has words, with their places, and how many distinct
+    ones it has. Shingles that many texts have come last, so that few texts meet at them; the rest go by hash."""
     bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, ranks = shared.value
         for batch in batches:
-            rows = []
+            ids, sizes, places, keys = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = (text or "").encode().lower().split()
-                fps = {simhash(b" ".join(s), words) for s in cut(found)}
-                kept = sorted(fps, key=lambda f: xxhash.xxh64_intdigest(f.to_bytes(8, "little"), 9))[:KEYS]
-                rows += [(doc, len(found), len(kept), f - (1 << 64) if f >> 63 else f) for f in kept]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc_id", "n_words", "n_keys", "key"])
+                own = shingle_hashes((text or "").encode(), words)
+                if not len(own):
+                    continue
+                if len(common):
+                    where = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    own = own[np.argsort(np.where(common[where] == own, ranks[where], 0), kind="stable")]
+                n = prefix_length(len(own), similarity)
+                ids.append(np.full(n, doc, dtype=np.int64))
+                sizes.append(np.full(n, len(own), dtype=np.int32))
+                places.append(np.arange(n, dtype=np.int32))
+                keys.append(own[:n].view(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, sizes, places, keys)], names=["doc_id", "size", "at", "key"])
         release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_keys long, key long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size int, at int, key long")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -79,19 +121,8 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
-def similar_pairs(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """`a, b`: texts b whose shingles are `similarity` alike (Jaccard) to those of a text a of a smaller id. `docs` has
-    unique `doc_id`s. A group that shares a section is compared with its smallest id, so it costs a row a member."""
-    keys = checkpointed(section_keys(docs, words).filter(F.col("doc_id").isNotNull()))
-    first = keys.groupBy("key").agg(F.min(F.struct("doc_id", "n_words", "n_keys")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = checkpointed(first.select("key", F.col("first.doc_id").alias("a"), F.col("first.n_words").alias("a_words"), F.col("first.n_keys").alias("a_keys")))
-    shared = keys.join(first, "key").filter("doc_id > a").groupBy("a", F.col("doc_id").alias("b")).agg(
-        F.count("*").alias("n"), F.min(F.least("n_keys", "a_keys")).alias("of"), F.min(F.least("n_words", "a_words") / F.greatest("n_words", "a_words")).alias("ratio")
-    )
-    # 0.8 of the shingles in common leave 0.7 of the words or more, and a quarter of the kept sections nearly always
-    pairs = checkpointed(shared.filter((F.col("ratio") >= 0.7) & (F.col("n") * 4 >= F.col("of"))).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = checkpointed(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), words))
+def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs `a, b` whose shingles are `similarity` alike."""
 
     @F.pandas_udf("double")
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -102,5 +133,50 @@ def similar_pairs(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
 
         return pd.Series([of(a, b) for a, b in zip(x, y, strict=True)], dtype=float)
 
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = checkpointed(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words))
     rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     return checkpointed(rows.filter(jaccard("x", "y") >= similarity).select("a", "b"))
+
+
+def similar_pairs(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`a, b`: texts b whose shingles are `similarity` alike (Jaccard) to those of a text a of a smaller id. `docs` has
+    unique `doc_id`s. The connected components of the pairs are those of all pairs so alike.
+
+    Texts that meet at a key are compared with its first, then with its next few, and so on; in the last round all that
+    are left with each other. Between the rounds, texts linked to the same text need no comparison any more."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
+    # as files, which are much smaller than checkpoints
+    folder = f"{checkpoint_dir(own.sparkSession)}/near-{uuid.uuid4().hex}"
+    ordered = W.partitionBy("key").orderBy("doc_id")
+    whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    keys = prefix_keys(own, words, similarity).select("*", F.row_number().over(ordered).alias("place"), F.count("*").over(whole).cast("int").alias("n"))
+    keys = keys.select("*", *(F.first(c).over(whole).alias(f"first_{c}") for c in ("doc_id", "size", "at")))
+    keys.filter("n > 1").write.parquet(f"{folder}/0")
+    live = own.sparkSession.read.parquet(f"{folder}/0")
+    found, before = None, 0
+    for hubs in (*ROUNDS, None):
+        if hubs == 1:
+            met = live.filter("place > 1").select(*(F.col(f"first_{c}").alias(f"a_{c}") for c in ("doc_id", "size", "at")), *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "size", "at")))
+        else:
+            a, b = (live.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "size", "at", "place", "label"))) for s in "ab")
+            a = a.filter((F.col("a_place") > before) & (F.col("a_place") <= hubs if hubs else F.lit(True)))
+            met = a.join(b, "key").filter((F.col("a_place") < F.col("b_place")) & (F.col("a_label") != F.col("b_label")))
+        # what two texts can have in common, given their places of this shingle, against what they need
+        most = F.least("a_at", "b_at") + 1 + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) - 1
+        need = (F.col("a_size") + F.col("b_size")) * (similarity / (1 + similarity)) - 1e-6
+        met = met.filter((most >= need) & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * similarity - 1e-6))
+        pairs = checkpointed(met.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct())
+        links = verified(own, pairs, words, similarity)
+        found = links if found is None else checkpointed(found.union(links))
+        if hubs is None:
+            break
+        up = found.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("up"))
+        top = checkpointed(up.join(up.select(F.col("doc_id").alias("up"), F.col("up").alias("top")), "up", "left").select("doc_id", F.coalesce("top", "up").alias("top")))
+        left = live.filter(F.col("n") > hubs + 1).select("key", "doc_id", "size", "at", "place", "n").join(top, "doc_id", "left").withColumn("label", F.coalesce("top", "doc_id")).drop("top")
+        apart = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+        left.join(apart, "key", "left_semi").write.parquet(f"{folder}/{hubs}")
+        live, before = own.sparkSession.read.parquet(f"{folder}/{hubs}"), hubs
+        if live.isEmpty():
+            break
+    return found

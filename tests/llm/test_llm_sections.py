@@ -47,3 +47,37 @@ def test_nothing_to_compare(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (None, "x")], "doc_id long, text string")
     assert sections.similar_pairs(rows).count() == 0
     assert sections.similar_pairs(rows.limit(0)).count() == 0
+
+
+def parts(pairs, n):
+    """The smallest member of each one's component."""
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def components_match(spark, texts):
+    """The number of pairs alike, and of components with two members or more."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    wanted = [(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    found = sections.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = [(r["a"], r["b"]) for r in found.collect()]
+    assert set(rows) <= set(wanted)
+    assert parts(rows, len(texts)) == parts(wanted, len(texts))
+    return len(wanted)
+
+
+def edited(rng, base, edits):
+    out = list(base)
+    for at in rng.sample(range(len(base)), edits):
+        out[at] = f"x{rng.randrange(10**9)}"
+    return " ".join(out)
+
+
+def test_copies_of_one_text_near_the_limit(spark):
+    rng = random.Random(5)
+    for size, edits in ((300, 4), (600, 7)):
+        base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        assert components_match(spark, [edited(rng, base, edits) for _ in range(80)]) > 50
