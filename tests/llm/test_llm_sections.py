@@ -81,3 +81,12 @@ def test_copies_of_one_text_near_the_limit(spark):
     for size, edits in ((300, 4), (600, 7)):
         base = [f"w{rng.randrange(5000)}" for _ in range(size)]
         assert components_match(spark, [edited(rng, base, edits) for _ in range(80)]) > 50
+
+
+def test_short_copies(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(300):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(20, 61))]
+        texts += [" ".join(base), " ".join(base[:-1] + ["end"]) if rng.random() < 0.5 else edited(rng, base, 1)]
+    assert components_match(spark, texts) > 100
