@@ -90,3 +90,9 @@ def test_short_copies(spark):
         base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(20, 61))]
         texts += [" ".join(base), " ".join(base[:-1] + ["end"]) if rng.random() < 0.5 else edited(rng, base, 1)]
     assert components_match(spark, texts) > 100
+
+
+def test_repeated_passages_are_no_length(spark):
+    rng = random.Random(3)
+    bases = [[f"w{rng.randrange(5000)}" for _ in range(400)] for _ in range(20)]
+    assert components_match(spark, [t for b in bases for t in (" ".join(b), " ".join(b + b[-100:] * 4))]) == 20
