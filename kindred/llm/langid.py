@@ -3,7 +3,7 @@
 For each language a suffix automaton of a labelled text sample accepts exactly the sample's substrings. A text is
 parsed against each of them into longest matches: a phrase runs on while the automaton has a transition and a new one
 starts where it has none (a letter the sample lacks is a phrase of its own). The phrases for each letter, times the
-logarithm of the sample's length, estimate the cross entropy; the language that needs the fewest phrases wins.
+logarithm of the sample's length, estimate the cross entropy; the language that needs the fewest bits wins.
 
 Letters are lower-cased, each run of other characters becomes one separator, and a text is parsed in blocks of
 `BLOCK` symbols, so that many blocks walk their automata in step as NumPy arrays.
@@ -27,13 +27,16 @@ from kindred.llm.common import bounded_batches, fold, read_table, release
 SAMPLE_DOCS, SAMPLE_CHARS = 40, 600
 #: Symbols of a block.
 BLOCK = 1024
+#: Symbols whose transitions are a table; those of others, which few languages have, are sorted and searched.
+DENSE = 252
 #: The prediction for a text that is null or has no letter.
 UNDETERMINED = "und"
 
 
-def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """Transitions of the suffix automaton, flat: state * symbols + symbol gives the next state, 0 if there is none.
-    State 0 is the start."""
+def suffix_automaton(text: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions of the suffix automaton; state 0 is the start. Those of the first `DENSE` symbols flat: state * width
+    + symbol gives the next state, 0 if there is none. Those of the others as sorted state * symbols + symbol, and the
+    next state of each."""
     links, lengths, moves, last = [-1], [0], [{}], 0
     for c in text.tolist():
         new = len(moves)
@@ -58,11 +61,16 @@ def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                     moves[p][c] = twin
                     p = links[p]
         last = new
-    flat = np.zeros(len(moves) * symbols, dtype=np.int32)
+    width, rare = min(symbols, DENSE), {}
+    flat = np.zeros(len(moves) * width, dtype=np.int32)
     for state, out in enumerate(moves):
         for c, to in out.items():
-            flat[state * symbols + c] = to
-    return flat
+            if c < width:
+                flat[state * width + c] = to
+            else:
+                rare[state * symbols + c] = to
+    keys = sorted(rare)
+    return flat, np.array(keys, dtype=np.int64), np.array([rare[k] for k in keys], dtype=np.int32)
 
 
 class Model:
@@ -73,20 +81,23 @@ class Model:
         points = np.frombuffer("".join(samples.values()).lower().encode("utf-32-le", "replace"), dtype="<u4")
         letters, counts = np.unique(points, return_counts=True)
         letters = letters[np.array([chr(c).isalpha() for c in letters.tolist()], dtype=bool)] if len(letters) else letters
-        self.letters = np.sort(letters)[:250]
+        self.letters = np.sort(letters)
         self.symbols = len(self.letters) + 2  # 0: separator, 1: a letter that no sample has
+        self.dtype = np.min_scalar_type(self.symbols)
         self.automata = [suffix_automaton(self.encode(samples[k]), self.symbols) for k in self.langs]
-        self.bits = [math.log2(max(2, len(samples[k]))) for k in self.langs]
+        self.bits = np.array([math.log2(max(2, len(samples[k]))) for k in self.langs])  # of a phrase
 
     def encode(self, text: str) -> np.ndarray:
         """Symbols of the text: letters, and one separator for each run of other characters."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
         if not len(points):
-            return np.zeros(0, dtype=np.uint8)
+            return np.zeros(0, dtype=self.dtype)
         table = self.table()
         out = table[np.minimum(points, len(table) - 1)]
-        for c in np.unique(points[points >= len(table) - 1]).tolist():  # few texts have such
-            out[points == c] = self.symbol(c)
+        high = points >= len(table) - 1
+        if high.any():
+            found, at = np.unique(points[high], return_inverse=True)
+            out[high] = np.array([self.symbol(c) for c in found.tolist()], dtype=self.dtype)[at]
         keep = out > 0
         keep[1:] |= out[:-1] > 0
         return out[keep]
@@ -99,9 +110,24 @@ class Model:
 
     def table(self) -> np.ndarray:
         if not hasattr(self, "_table"):
-            self._table = np.array([self.symbol(c) for c in range(0x600)] + [0], dtype=np.uint8)
+            self._table = np.array([self.symbol(c) for c in range(0x600)] + [0], dtype=self.dtype)
         return self._table
 
+    def step(self, k: int, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The next states in the automaton of language k, 0 where there is none."""
+        flat, keys, targets = self.automata[k]
+        width = min(self.symbols, DENSE)
+        if not len(keys):
+            if width == self.symbols:
+                return flat[states * width + symbols]
+            return np.where(symbols < width, flat[states * width + np.minimum(symbols, width - 1)], 0)
+        out = flat[states * width + np.minimum(symbols, width - 1)]
+        far = np.flatnonzero(symbols >= width)
+        wanted = states[far].astype(np.int64) * self.symbols + symbols[far]
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        out[far] = np.where(keys[at] == wanted, targets[at], 0)
+        return out
+
 
 def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Phrases of each encoded text under each language: texts x languages."""
@@ -112,20 +138,19 @@ def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
         return total
     owner = np.array([d for d, _ in cuts])
     lengths = np.array([len(b) for _, b in cuts])
-    columns = np.zeros((lengths[0], len(cuts)), dtype=np.uint8)  # a row holds each block's symbol at one place
+    columns = np.zeros((lengths[0], len(cuts)), dtype=model.dtype)  # a row holds each block's symbol at one place
     for at, (_, b) in enumerate(cuts):
         columns[: len(b), at] = b
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # blocks longer than each place
-    for k, flat in enumerate(model.automata):
-        first = flat[: model.symbols]
+    for k in range(len(model.automata)):
         state, starts = np.zeros(len(cuts), dtype=np.int32), np.zeros(len(cuts), dtype=np.int32)
         for place, m in enumerate(active.tolist()):
             s, before = columns[place, :m], state[:m]
-            after = flat[before * model.symbols + s]
+            after = model.step(k, before, s)
             ended = after == 0
             starts[:m] += ended | (before == 0)
             at = np.flatnonzero(ended)
-            after[at] = first[s[at]]
+            after[at] = model.step(k, np.zeros(len(at), dtype=np.int32), s[at])
             state[:m] = after
         np.add.at(total[:, k], owner, starts)
     return total
@@ -154,8 +179,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """`docs` with `lang_pred` and `score`, and no other change; existing columns of these names are replaced.
 
     lang_pred is `und` where the text is null or has no letter, or the model knows no language; its score is 0 there.
-    Else the score is the winner's weight among the languages, each weighing 2 to the power of minus its phrases.
-    Equal counts go to the language that sorts first.
+    Else the score is the winner's weight among the languages, each weighing 2 to the power of minus its bits:
+    its phrases, times the logarithm of its sample's length. Equal ones go to the language that sorts first.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -176,7 +201,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     size += len(texts[end])
                     end += 1
                 encoded = [known.encode(t) for t in texts[at:end]]
-                counts = phrases(known, encoded) if known.langs else np.zeros((end - at, 1))
+                counts = phrases(known, encoded) * known.bits if known.langs else np.zeros((end - at, 1))
                 best = counts.argmin(axis=1)
                 lead = np.minimum(counts - counts.min(axis=1, keepdims=True), 1000.0)
                 weights = 1.0 / np.exp2(-lead).sum(axis=1)

@@ -265,6 +265,22 @@ def test_language_of_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(rows, langid.Model({})).collect()} == {"und"}
 
 
+def test_language_with_a_short_sample(spark):
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)]
+    model = langid.Model({"aa": "".join(rng.choice(list("abcdefgh "), 24_000)), "bb": " ".join(words[:20])})
+    found = langid.predict(docs(spark, [(i, " ".join(rng.choice(words, 20))) for i in range(40)]), model).collect()
+    assert sum(r["lang_pred"] == "bb" for r in found) >= 36
+
+
+def test_languages_of_many_letters(spark):
+    first, second = ("".join(chr(at + i) for i in range(400)) for at in (0x4E00, 0x5E00))
+    model = langid.Model({"aa": first, "bb": second})
+    assert langid.phrases(model, [model.encode(second[300:340])]).tolist() == [[40, 1]]
+    found = langid.predict(docs(spark, [(1, second[300:340]), (2, first[300:340])]), model).collect()
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in found) == [(1, "bb"), (2, "aa")]
+
+
 # toxicity
 
 
