@@ -100,3 +100,16 @@ def test_seeded_topics(spark, folder):
         row = M.evaluated(found).first()
         assert row["predictions_count"] + row["missing"] == 40
     assert M.evaluated(TP.clustered(pairs.limit(1), vectors)).first()["missing"] == 1
+
+
+def test_topics_take_the_words_of_the_table(spark, folder, monkeypatch):
+    from kindred.operators import metrics as M
+    from kindred.plans import suites
+
+    pairs = D.vector_pairs(spark, folder)
+    n = pairs.select("word1").union(pairs.select("word2")).distinct().count()
+    assert n > 50
+    monkeypatch.setattr(M, "evaluated", lambda found: found)
+    for name in ("topics_documents", "topics_mixtures"):
+        found = suites.QUERIES[name](spark, folder)
+        assert found.select("word1").union(found.select("word2")).distinct().count() == n
