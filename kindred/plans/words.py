@@ -57,6 +57,11 @@ def tfidf_most_similar(spark, folder):
     return rounded(model(spark, folder).most_similar(queries, 5), "score")
 
 
+def tfidf_most_similar_whole(spark, folder):
+    """For all names; `tfidf_most_similar` asks for those its SQL asks for."""
+    return rounded(model(spark, folder).most_similar(D.terms(spark, folder).select("term").distinct(), 5), "score")
+
+
 def tfidf_term_idf(spark, folder):
     words = D.terms(spark, folder).select(F.explode(F.array(F.col("term"), F.substring("term", 1, 3), F.substring("term", 2, 4))).alias("term"))
     return rounded(model(spark, folder).term_idf(words), "idf")
@@ -102,11 +107,17 @@ def harvest_terms(spark, folder):
     return rounded(found.select("domain", "term", "frequency", "tfidf_score"), "tfidf_score", places=5)
 
 
-def tree(spark, folder):
+def harvest_terms_whole(spark, folder):
+    """Terms of up to three words; `harvest_terms` stops at two, as its SQL does."""
+    found = H.extracted_terms(D.documents(spark, folder))
+    return rounded(found.select("domain", "term", "frequency", "tfidf_score"), "tfidf_score", places=5)
+
+
+def tree(spark, folder, number="o_orderkey % 500"):
     """Priorities hold statuses, and both hold orders, as categories hold pages."""
     o = D.read(spark, folder, "orders")
     p, s = F.concat(F.lit("P:"), "o_orderpriority"), F.concat(F.lit("P:"), "o_orderpriority", F.lit("/"), "o_orderstatus")
-    page = F.concat(F.lit("order "), (F.col("o_orderkey") % 500).cast("string"))
+    page = F.concat(F.lit("order "), F.expr(number).cast("string"))
     return o.select(p.alias("category"), s.alias("member"), F.lit("subcat").alias("kind")).distinct().unionByName(o.select(s.alias("category"), page.alias("member"), F.lit("page").alias("kind")).distinct())
 
 
@@ -116,6 +127,13 @@ def harvest_tree(spark, folder):
     return H.tree_pages(t, start, 2, 40)
 
 
+def harvest_tree_whole(spark, folder):
+    """With each order as a page of its own; `harvest_tree` folds them into 500, as its SQL does."""
+    t = tree(spark, folder, "o_orderkey")
+    start = t.filter("kind = 'subcat'").select(F.col("category").alias("domain"), "category").distinct()
+    return H.tree_pages(t, start, 2, 40)
+
+
 def harvest_combined(spark, folder):
     terms = D.terms(spark, folder)
     return ST.combined_terms(terms.filter("frequency > 5"), terms)
@@ -183,4 +201,5 @@ SQL = {
     "domain_names": "SELECT p_type AS domain, count(DISTINCT p_name) AS n_terms FROM part GROUP BY 1",
     "matrix_unpivoted": "SELECT o_orderpriority AS d1, s AS d2, nullif(count(*) FILTER (o_orderstatus = s), 0)::DOUBLE AS score FROM orders, (VALUES ('F'), ('O'), ('P')) AS v(s) GROUP BY ALL",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+#: Those whose SQL covers a part of the job come whole too, without SQL.
+QUERIES = {name: globals()[name] for name in (*SQL, "harvest_terms_whole", "tfidf_most_similar_whole", "harvest_tree_whole")}

@@ -113,3 +113,19 @@ def test_topics_take_the_words_of_the_table(spark, folder, monkeypatch):
     for name in ("topics_documents", "topics_mixtures"):
         found = suites.QUERIES[name](spark, folder)
         assert found.select("word1").union(found.select("word2")).distinct().count() == n
+
+
+def test_terms_of_three_words(spark, folder):
+    from kindred.plans.words import QUERIES
+
+    assert QUERIES["harvest_terms_whole"](spark, folder).filter(F.size(F.split("term", " ")) == 3).count() > 0
+
+
+def test_whole_queries(spark, folder):
+    from kindred.plans.words import QUERIES
+
+    names = D.terms(spark, folder).select("term").distinct().count()
+    assert QUERIES["tfidf_most_similar_whole"](spark, folder).select("query").distinct().count() == names
+    # 40 of each category's pages, of all orders and not of 500 numbers
+    pages = QUERIES["harvest_tree_whole"](spark, folder).select(F.regexp_extract("page", r"(\d+)", 1).cast("long").alias("n"))
+    assert pages.filter("n >= 500").count() > 0
