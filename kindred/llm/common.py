@@ -43,6 +43,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Keys that `attached` takes as hot: so many at most, each of more rows than LEAST_HOT.
+HOT_KEYS, LEAST_HOT = 500, 200
+
+
+def attached(rows: DataFrame, keyed: DataFrame, *keys: str, count: str | None = None) -> DataFrame:
+    """`rows` joined with `keyed`, which has one row for each key. The most frequent keys, `HOT_KEYS` at most, meet
+    their rows where they lie, by a broadcast of so many rows; the others go by a shuffle, and none of them is in more
+    than one of `HOT_KEYS` rows. count: a column of `keyed` that says how many rows a key has, if it is known.
+    Both frames are read several times, so they should be checkpoints or tables."""
+    counts = keyed.select(*keys, F.col(count).alias("_n")) if count else rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    often = counts.filter(F.col("_n") > LEAST_HOT)
+    found = often.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).drop("_n").collect()
+    if not found:
+        return rows.join(keyed, list(keys))
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, often.select(*keys).schema))
+    few = F.broadcast(keyed.join(hot, list(keys), "left_semi"))
+    return rows.join(few, list(keys)).unionByName(rows.join(hot, list(keys), "left_anti").join(keyed, list(keys)))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this package's own, wherever the shared file system is."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; rows of fold 2 are held out from learning."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))

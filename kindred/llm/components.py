@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import checkpointed
+from kindred.llm.common import attached, checkpointed
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
     """`node, label` for each node of the undirected edges `a, b`; label: the smallest node reachable.
 
     Each round takes the smallest label among a node's neighbours, lowers the label of the label it had (hooking)
-    and follows labels once more (jumping), so rounds grow with the logarithm of a component's width. Nodes are
-    aggregated by keys only, no component is gathered in one place, and each round is checkpointed.
+    and follows labels once more (jumping), so rounds grow with the logarithm of a component's width. Minima are
+    aggregated in the map tasks first, and labels get back to their rows by `attached`, so neither a node with many
+    edges nor a label that most nodes bear gathers its rows in one task. Each round is checkpointed.
     """
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("seen"))
+        seen = attached(both, labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("seen"))
         lower = checkpointed(
             labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "seen").alias("seen"))
         )
         hooks = checkpointed(lower.groupBy("label").agg(F.min("seen").alias("hook")))
-        hooked = checkpointed(lower.join(hooks, "label").select("node", "label", F.least("seen", "hook").alias("next")))
+        hooked = checkpointed(attached(lower, hooks, "label").select("node", "label", F.least("seen", "hook").alias("next")))
         ends = hooked.select(F.col("node").alias("next"), F.col("next").alias("end"))
-        moved = checkpointed(hooked.join(ends, "next").select("node", "label", F.least("next", "end").alias("next")))
+        moved = checkpointed(attached(hooked, ends, "next").select("node", "label", F.least("next", "end").alias("next")))
         changed = moved.filter("next < label").limit(1).count()
         labels = moved.select("node", F.col("next").alias("label"))
         if not changed:

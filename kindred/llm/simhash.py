@@ -6,10 +6,9 @@ fingerprints. Vectors at distance two or less have a common point at distance on
 therefore lists each distinct fingerprint in the cells within one step of its own and joins on cells. Candidates are
 verified on all 64 bits.
 
-A cell with more than `HOT_CELL` fingerprints makes no pairs. Its fingerprints go by keys instead: each lists itself
-and the 64 values one bit away. Fingerprints differ by two bits or fewer exactly when they share such a key, a key
-has at most 65 fingerprints, and a link to the smallest of a key replaces its pairs. So no link is lost, and the rows
-stay in proportion to the fingerprints.
+A cell with more than `HOT_CELL` fingerprints is refined: its fingerprints are cut into other segments, and list the
+cells of that grid too, within the first. Any two bits share a segment in one of the three grids at most, so what is
+still together in the last has few pairs that are no links. A fingerprint has 2,080 links at most.
 """
 
 from __future__ import annotations
@@ -22,14 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, checkpointed, read_table, release
+from kindred.llm.common import attached, bounded_batches, checkpointed, read_table, release
 from kindred.llm.components import smallest_reachable
 
 #: Bits of a segment; a segment's count is 0 to this.
 SEGMENT_BITS = 4
-#: Fingerprints of a cell up to which the cell's pairs are verified one by one.
+#: The segment of each bit in each grid: neighbouring bits, bits 16 apart, and diagonals of the two.
+GRIDS = [[bit // 4 for bit in range(64)], [bit % 16 for bit in range(64)], [(bit // 4 + 4 * (bit % 4)) % 16 for bit in range(64)]]
+#: Fingerprints of a cell up to which the cell's pairs are verified one by one; beyond, the next grid refines it.
 HOT_CELL = 24
-#: Differing bits of a link. The grid's steps and the keys of hot cells rest on two.
+#: Differing bits of a link. The grids' steps rest on two.
 MAX_BITS = 2
 
 
@@ -65,35 +66,34 @@ def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
     return own.mapInArrow(run, "doc_id long, fp long")
 
 
-def grid_cells(fps: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
-    """`fp, cell`: the cell of each fingerprint's popcount vector and those one Manhattan step away."""
-    mask, base, steps, own = (1 << segment_bits) - 1, segment_bits + 1, [], F.lit(0).cast("long")
-    for i in range(64 // segment_bits):
-        count = F.bit_count(F.shiftrightunsigned("fp", i * segment_bits).bitwiseAND(F.lit(mask)))
+def grid_cells(fps: DataFrame, grid: int = 0) -> DataFrame:
+    """`fps` with `cell{grid}`: a row for the cell of each fingerprint's popcount vector and for those one step away."""
+    base, steps, own = SEGMENT_BITS + 1, [], F.lit(0).cast("long")
+    for i in range(64 // SEGMENT_BITS):
+        mask = sum(1 << bit for bit in range(64) if GRIDS[grid][bit] == i)
+        count = F.bit_count(F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
         own = own + count.cast("long") * F.lit(base**i)
-        steps += [F.when(count < segment_bits, F.lit(base**i)), F.when(count > 0, F.lit(-(base**i)))]
-    cells = fps.select("fp", own.alias("own"), F.array_compact(F.array(F.lit(0).cast("long"), *steps)).alias("steps"))
-    return cells.select("fp", "own", F.explode("steps").alias("step")).select("fp", (F.col("own") + F.col("step")).alias("cell"))
+        steps += [F.when(count < SEGMENT_BITS, F.lit(base**i)), F.when(count > 0, F.lit(-(base**i)))]
+    cells = fps.select("*", own.alias("_own"), F.array_compact(F.array(F.lit(0).cast("long"), *steps)).alias("_steps"))
+    return cells.select(*fps.columns, "_own", F.explode("_steps").alias("_step")).select(*fps.columns, (F.col("_own") + F.col("_step")).alias(f"cell{grid}"))
 
 
 def links(fps: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
-    """`a, b`: pairs of the distinct fingerprints in `fps` whose connected components are those of all links of at
-    most `MAX_BITS` bits."""
-    cells = grid_cells(fps)
-    filled = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    live = checkpointed(cells.join(filled, "cell"))
-    warm = live.filter(F.col("n") <= hot_cell).select("cell", "fp")
+    """`a, b`: the pairs of distinct fingerprints in `fps` that differ by at most `MAX_BITS` bits, a < b."""
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = (
-        warm.withColumnRenamed("fp", "a").join(warm.withColumnRenamed("fp", "b"), "cell")
-        .filter((F.col("a") < F.col("b")) & (differ <= MAX_BITS)).select("a", "b").distinct()
-    )
-    hot = live.filter(F.col("n") > hot_cell).select("fp").distinct()
-    bits = [F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)]
-    keys = hot.select("fp", F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(b) for b in bits))).alias("key"))
-    near = keys.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)  # 65 at most
-    stars = near.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b").distinct()
-    return pairs.union(stars).distinct()
+    live, keys, found = fps.select("fp"), [], None
+    for grid in range(len(GRIDS)):
+        cells, keys = grid_cells(live, grid), [*keys, f"cell{grid}"]
+        filled = checkpointed(cells.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1"))
+        met = checkpointed(attached(cells, filled, *keys, count="n"))
+        cold = met if grid == len(GRIDS) - 1 else met.filter(F.col("n") <= hot_cell)
+        sides = (cold.select(*keys, F.col("fp").alias(side)) for side in "ab")
+        pairs = next(sides).join(next(sides), keys).filter((F.col("a") < F.col("b")) & (differ <= MAX_BITS)).select("a", "b")
+        found = pairs if found is None else found.union(pairs)
+        live = met.filter(F.col("n") > hot_cell).select("fp", *keys)
+        if live.isEmpty():
+            break
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,8 +109,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
     grouped = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     grouped = checkpointed(grouped)
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    known = checkpointed(grouped.join(least, "label").select("fp", "component_id"))
-    return fps.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = checkpointed(attached(grouped, checkpointed(least), "label").select("fp", "component_id"))
+    return attached(fps, known, "fp").select("doc_id", "fp", "component_id")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
