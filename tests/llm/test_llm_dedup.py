@@ -50,10 +50,9 @@ def brute_exact(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [3, 7, 4096])
+@pytest.mark.parametrize("block", [3, 64, 256])
 def test_exact(spark, block, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "BLOCK", block)
-    monkeypatch.setattr(exact_dedup.identities, "__defaults__", ("doc_id", "text", block))
+    monkeypatch.setattr(exact_dedup.identities, "__defaults__", ("doc_id", "text", None, block))
     rows = list(enumerate([*texts(1, 40), "", None, "a b", "ab ", "ab", "x" * 5000, "x" * 5000 + " "]))
     found = exact_dedup.exact_duplicates(frame(spark, rows)).collect()
     wanted = brute_exact(rows)
@@ -65,11 +64,26 @@ def test_exact(spark, block, monkeypatch):
     }
 
 
-def test_exact_with_equal_digests(spark):
-    rows = frame(spark, [(1, "abcabc"), (2, "abc abc"), (3, "xyzxyz"), (4, "abcxyz")]).select("doc_id", "text")
-    blocks = rows.select("doc_id", F.lit(0).alias("at"), F.regexp_replace("text", " ", "").alias("block"), F.lit(5).cast("long").alias("digest"))
-    names = {r["doc_id"]: r["name"] for r in exact_dedup.block_names(blocks).collect()}
-    assert names[1] == names[2] and len(set(names.values())) == 3
+def test_exact_with_equal_digests(spark, tmp_path):
+    texts = spark.createDataFrame([(1, 0, "abcabc"), (2, 0, "abcabc"), (3, 0, "xyzxyz"), (4, 0, "abcxyz"), (5, 0, "own")], "row long, at int, block string")
+    texts = texts.withColumn("digest", F.when(F.col("row") < 5, 5).otherwise(6).cast("long"))
+    occurrences = texts.select("row", "at", F.lit(1).alias("left"), "digest")
+    names = {r["row"]: r["name"] for r in exact_dedup.block_names(texts.select("digest", "block"), occurrences, texts, str(tmp_path)).collect()}
+    assert len(names) == 5 and names[1] == names[2] and len(set(names.values())) == 4
+
+
+def test_exact_finds_texts_again(spark):
+    docs = frame(spark, [(1, "ab cdefg"), (2, None), (3, "abcd efg")])
+    rows = spark.createDataFrame([(7, "abcdefg"), (8, "")], "row long, norm string").select("row", F.sha2("norm", 256).alias("text_sha256"))
+    found = exact_dedup.texts_of(rows, docs, F.coalesce("text", F.lit("")), 3).collect()
+    assert sorted((r["row"], r["at"], r["block"]) for r in found) == [(7, 0, "abc"), (7, 1, "def"), (7, 2, "g"), (8, 0, "")]
+
+
+def test_exact_key(spark):
+    rows = frame(spark, [(5, "dup A"), (5, "another"), (7, "dup A  "), (None, "x y"), (None, "xy")]).withColumn("_k", F.monotonically_increasing_id() * 3)
+    keys = {r["text"]: r["_k"] for r in rows.collect()}
+    kept = {r["key"] for r in exact_dedup.exact_duplicates(rows, key_col="_k").filter("kept").collect()}
+    assert kept == {keys["another"], keys["dup A  "], keys["x y"]}
 
 
 def test_exact_repeated_and_null_ids(spark):
