@@ -5,8 +5,10 @@ parsed against each of them into longest matches: a phrase runs on while the aut
 starts where it has none (a letter the sample lacks is a phrase of its own). The phrases for each letter, times the
 logarithm of the sample's length, estimate the cross entropy; the language that needs the fewest bits wins.
 
-Letters are lower-cased, each run of other characters becomes one separator, and a text is parsed in blocks of
-`BLOCK` symbols, so that many blocks walk their automata in step as NumPy arrays.
+Letters are lower-cased, and each run of other characters becomes one separator. Blocks of `BLOCK` symbols walk their
+automata in step as NumPy arrays. A block is first parsed as if a phrase began with it; then the phrase that really
+runs into it is followed until one begins where the first parse began one too, and from there on the two are the same.
+So the phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from pyspark.sql import types as T
 
 from kindred.llm.common import bounded_batches, fold, read_table, release
 
-#: Bounds of the labelled sample: documents of a language, and code points of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 40, 600
+#: Bounds of the labelled sample: documents of a language, code points of each, and languages (those with the most
+#: labelled documents).
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGS = 40, 600, 500
 #: Symbols of a block.
 BLOCK = 1024
 #: Symbols whose transitions are a table; those of others, which few languages have, are sorted and searched.
@@ -131,43 +134,80 @@ class Model:
 
 def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Phrases of each encoded text under each language: texts x languages."""
-    cuts = [(d, t[i : i + BLOCK]) for d, t in enumerate(texts) for i in range(0, len(t), BLOCK)]
-    cuts.sort(key=lambda x: -len(x[1]))
+    cuts = [(d, i, t[i : i + BLOCK]) for d, t in enumerate(texts) for i in range(0, len(t), BLOCK)]
+    cuts.sort(key=lambda x: -len(x[2]))
     total = np.zeros((len(texts), len(model.langs)), dtype=np.int64)
     if not cuts:
         return total
-    owner = np.array([d for d, _ in cuts])
-    lengths = np.array([len(b) for _, b in cuts])
+    owner = np.array([d for d, _, _ in cuts])
+    lengths = np.array([len(b) for _, _, b in cuts])
+    number = {(d, i): at for at, (d, i, _) in enumerate(cuts)}
+    after = np.array([number.get((d, i + BLOCK), -1) for d, i, _ in cuts])  # the block that follows in the text
     columns = np.zeros((lengths[0], len(cuts)), dtype=model.dtype)  # a row holds each block's symbol at one place
-    for at, (_, b) in enumerate(cuts):
+    for at, (_, _, b) in enumerate(cuts):
         columns[: len(b), at] = b
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # blocks longer than each place
     for k in range(len(model.automata)):
-        state, starts = np.zeros(len(cuts), dtype=np.int32), np.zeros(len(cuts), dtype=np.int32)
+        state, begun = np.zeros(len(cuts), dtype=np.int32), np.zeros(columns.shape, dtype=bool)
         for place, m in enumerate(active.tolist()):
-            s, before = columns[place, :m], state[:m]
-            after = model.step(k, before, s)
-            ended = after == 0
-            starts[:m] += ended | (before == 0)
-            at = np.flatnonzero(ended)
-            after[at] = model.step(k, np.zeros(len(at), dtype=np.int32), s[at])
-            state[:m] = after
+            begun[place, :m], state[:m] = advanced(model, k, state[:m], columns[place, :m])
+        starts = begun.sum(axis=0)
+        came = np.flatnonzero(after >= 0)
+        entering = np.zeros(len(cuts), dtype=np.int32)  # the state that each block was last entered with
+        while len(came):  # once, but for blocks that no phrase begins in
+            came = came[entering[after[came]] != state[came]]
+            to = after[came]
+            entering[to] = state[came]
+            came = followed(model, k, columns, lengths, to, entering[to], begun, starts, state)
+            came = came[after[came] >= 0]
         np.add.at(total[:, k], owner, starts)
     return total
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Learn from the labelled rows that are not held out: of each language the `sample_docs` documents whose hashed
-    ids are smallest, and `sample_chars` code points of each. The sample is bounded by these two; fitting is on it alone.
+def advanced(model: Model, k: int, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a phrase begins with each symbol, and the states after it."""
+    out = model.step(k, state, symbols)
+    ended = out == 0
+    at = np.flatnonzero(ended)
+    out[at] = model.step(k, np.zeros(len(at), dtype=np.int32), symbols[at])
+    return ended | (state == 0), out
+
+
+def followed(model: Model, k: int, columns: np.ndarray, lengths: np.ndarray, blocks: np.ndarray, state: np.ndarray, begun: np.ndarray, starts: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Parse these blocks from the states they are entered with, up to where a known phrase begins; `begun`, `starts` and
+    `last`, the state at a block's end, are put right. The blocks whose last state has changed."""
+    changed, place = [], 0
+    while len(blocks):
+        over = lengths[blocks] <= place
+        if over.any():
+            ended = blocks[over]
+            other = last[ended] != state[over]
+            last[ended] = state[over]
+            changed.append(ended[other])
+            blocks, state = blocks[~over], state[~over]
+            continue
+        begins, state = advanced(model, k, state, columns[place, blocks])
+        known = begun[place, blocks]
+        starts[blocks] += begins.astype(np.int64) - known
+        begun[place, blocks] = begins
+        apart = ~(begins & known)
+        blocks, state, place = blocks[apart], state[apart], place + 1
+    return np.concatenate([np.zeros(0, dtype=np.int64), *changed])
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_langs: int = SAMPLE_LANGS) -> Model:
+    """Learn from the labelled rows that are not held out: of the `sample_langs` languages with the most of them the
+    `sample_docs` documents each whose hashed ids are smallest, and `sample_chars` code points of each. The sample is
+    bounded by these three; fitting is on it alone. Rows of other languages are predicted as the nearest of these.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_langs).collect()}
     if not counts:
         return Model({})
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * sample_docs / n))))
-    near = rows.filter(unit < share[F.col("lang")]).select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text"))
+    near = rows.filter(unit < F.try_element_at(share, F.col("lang"))).select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text"))
     first = near.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))).filter(F.col("at") <= sample_docs)
     samples: dict[str, list[str]] = {k: [] for k in counts}
     for r in sorted(first.collect(), key=lambda r: (r["lang"], r["at"])):

@@ -248,6 +248,35 @@ def test_phrases_equal_longest_matches():
         assert row.tolist() == [phrases_by_hand(decoded[k], "".join(chr(65 + s) for s in e)) for k in model.langs]
 
 
+@pytest.mark.parametrize("block", [1, 2, 5, 16])
+def test_phrases_run_across_blocks(block, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    test_phrases_equal_longest_matches()
+
+
+def test_phrases_of_a_long_text():
+    rng = np.random.default_rng(5)
+    sample = "".join(rng.choice(list("abc "), 3000))
+    model = langid.Model({"aa": sample, "bb": sample[:50] * 40})
+    text = model.encode(sample[100:2600] + "".join(rng.choice(list("abcd "), 4000)) + sample[:50] * 60)
+    decode = lambda e: "".join(chr(65 + s) for s in e)
+    assert len(text) > 3 * langid.BLOCK
+    assert langid.phrases(model, [text, text[:10]])[0].tolist() == [phrases_by_hand(decode(model.encode(s)), decode(text)) for s in (sample, sample[:50] * 40)]
+
+
+def test_languages_of_other_scripts(spark):
+    samples = {"zh": "我们今天去图书馆看书因为天气很好他们也想一起来学习中文和历史", "ja": "今日は天気がいいので図書館へ行って本を読みますとても楽しいです", "ko": "오늘은 날씨가 좋아서 도서관에 가서 책을 읽습니다 정말 재미있어요", "ru": "сегодня хорошая погода и мы пойдём в библиотеку читать книги", "en": "the weather is fine today and we go to the library to read books"}
+    model = langid.Model(samples)
+    rows = [(1, "我们去看书"), (2, "本を読みます"), (3, "책을 읽습니다"), (4, "мы читаем книги"), (5, "we read the books"), (6, "𓀀𓀁")]
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs(spark, rows), model).collect()}
+    assert [found[i] for i in range(1, 6)] == ["zh", "ja", "ko", "ru", "en"] and found[6] in samples
+
+
+def test_few_languages_of_many_are_learned(spark):
+    rows = spark.createDataFrame([(i, "abc def" if i % 3 else "xyz", f"l{i % 3}" if i % 3 else f"odd{i}") for i in range(60)], "doc_id long, text string, lang string")
+    assert langid.fit(rows, sample_langs=2).langs == ["l1", "l2"]
+
+
 def test_language_of_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang").collect()}
