@@ -1,9 +1,10 @@
 """Best-fit packing by hierarchical residual packing.
 
 Pieces of documents are items. Each partition packs its own by best fit, largest first, and emits the bins that are
-nearly full. The rest become items themselves, with what they hold as their size; these are merged a few partitions at
-a time, up a tree, and packed by best fit again, until one partition holds the last underfull bins. A piece's place is
-the sum of the offsets on its way up. Partitions are dealt by a hash and sorted before packing, so a task that runs
+nearly full or that no other needs: of two open bins over half full no two fit together, so no more of them can be
+of use than there are bins up to half full. The rest become items themselves, with what they hold as their size; these
+are merged a few partitions at a time, up a tree, and packed by best fit again, until one partition holds the last
+underfull bins. A piece's place is the sum of the offsets on its way up. Partitions are dealt by a hash and sorted before packing, so a task that runs
 again packs alike, and each round is checkpointed.
 """
 
@@ -88,6 +89,20 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
+def most_held(counts: dict[int, int], capacity: int) -> int:
+    """What an open bin may hold so as to be merged further; `counts` says how many bins hold how much.
+
+    A bin that has no room for the least full one is done. Each merge takes a bin of at most half the capacity, so of
+    those that hold more only as many can be filled up as there are such small ones: the ones with most room."""
+    room = capacity - min(counts, default=capacity)
+    small, large = sum(n for held, n in counts.items() if 2 * held <= capacity), 0
+    for held in sorted(h for h in counts if 2 * h > capacity):
+        if large >= small:
+            return min(room, held - 1)
+        large += counts[held]
+    return room
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = ITEMS) -> DataFrame:
     """`item, sequence_id, offset` for `items` (`item` long, unique; `length` long, 1 to `capacity`)."""
     spark = items.sparkSession
@@ -109,6 +124,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = ITEMS)
             break
         step, parts = step + 1, parts_for(parts, FAN)
         open_bins = found.filter(F.col("held") < capacity - NEARLY).filter("offset = 0")  # a bin's first item stands for it
+        counts = {r["held"]: r["n"] for r in open_bins.groupBy("held").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
+        open_bins = open_bins.filter(F.col("held") <= most_held(counts, capacity))
         level = open_bins.select(F.col("bin").alias("item"), F.col("held").alias("length"), F.floor(F.col("part") / FAN).cast("int").alias("part"))
     placed = moves[0].select("item", "bin", "offset", F.lit(0).alias("level"))
     for k, upper in enumerate(moves[1:], 1):
@@ -122,7 +139,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = ITEMS)
 def packed_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", per_partition: int = ITEMS, memory: int = MEMORY, share: bool = True) -> DataFrame:
     """The rows of `pieces` with `sequence_id` and `offset`: sequences of at most `capacity` tokens without gaps.
 
-    Repeated rows are packed as often as they come; null ids are packed too; an empty table gives an empty result.
+    Repeated rows are packed as often as they come; null ids are packed too; pieces of one length are packed in order
+    of where they lie; an empty table gives an empty result; columns other than the id and the text are ignored,
+    whatever their names.
     keep_ids=False leaves the ids out, so that texts do not travel.
     """
     cut = pieces(docs, tokenizer, capacity, end, id_col, text_col, memory, share)
