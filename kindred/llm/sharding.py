@@ -4,8 +4,9 @@ Entry (p, b) of the matrix says how many rows partition p sends to bucket b. For
 rows, with the buckets' sizes fixed, the matrix is multivariate hypergeometric. It is drawn down a binary tree over the
 partitions: a node holds the bucket sizes its partitions fill together and draws which of them its left half fills.
 Each draw has its own seed, so a task draws its row alone, on one path, and draws it again alike; no matrix is gathered.
-Partitions deal out their rows by a random permutation, and each bucket permutes what it receives. A shard is a run of
-buckets, so its slots are known without one task holding the shard.
+Partitions deal out their rows by a random permutation; the rows are exchanged by bucket, and each bucket permutes what
+it receives, by sorting hashes of a seed and the places the rows came from. A shard is a run of buckets, so its slots
+are known without one task holding the shard.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kindred.llm.common import checkpointed, parts_for, read_table
@@ -66,19 +68,24 @@ def matrix_row(counts: list[int], sizes: np.ndarray, p: int, seed: int) -> np.nd
     return here
 
 
-def bucket_sizes(rows: int, shards: int, bucket_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size, shard and first slot of each bucket; shards differ by one row at most, and so do a shard's buckets."""
-    sizes, owner, first = [], [], []
-    for s in range(shards):
-        own = rows // shards + (s < rows % shards)
-        n, at = parts_for(own, bucket_rows), 0
-        for b in range(n):
-            size = own // n + (b < own % n)
-            sizes.append(size)
-            owner.append(s)
-            first.append(at)
-            at += size
-    return np.array(sizes, dtype=np.int64), np.array(owner), np.array(first, dtype=np.int64)
+def runs(rows: int, shards: int, bucket_rows: int) -> list[tuple[int, int, int, int]]:
+    """First shard, shards, rows of each and buckets of each, for the shards of one size: those with a row more first."""
+    larger = rows % shards
+    return [(first, n, own, parts_for(own, bucket_rows)) for first, n, own in ((0, larger, rows // shards + 1), (larger, shards - larger, rows // shards))]
+
+
+def bucket_sizes(rows: int, shards: int, bucket_rows: int) -> np.ndarray:
+    """Rows of each bucket, shard by shard; shards differ by one row at most, and so do a shard's buckets."""
+    return np.concatenate([np.tile(own // per + (np.arange(per) < own % per), n) for _, n, own, per in runs(rows, shards, bucket_rows)]).astype(np.int64)
+
+
+def place_of(bucket: Column, rows: int, shards: int, bucket_rows: int) -> tuple[Column, Column]:
+    """A bucket's shard and the slot that it begins with."""
+    (_, n, own, per), (first, _, own2, per2) = runs(rows, shards, bucket_rows)
+    after = bucket - n * per
+    slot = lambda at, own, per: at * (own // per) + F.least(at, F.lit(own % per))
+    shard = F.when(after < 0, F.floor(bucket / per)).otherwise(F.floor(after / per2) + first)
+    return shard.cast("int"), F.when(after < 0, slot(bucket % per, own, per)).otherwise(slot(F.pmod(after, F.lit(per2)), own2, per2)).cast("long")
 
 
 def shuffled_shards(rows: DataFrame, shards: int, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -95,7 +102,7 @@ def shuffled_shards(rows: DataFrame, shards: int, seed: int = SEED, bucket_rows:
     counts = {r["_part"]: r["n"] for r in kept.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one for each partition
     place = {p: i for i, p in enumerate(sorted(counts))}
     ordered = [counts[p] for p in sorted(counts)]
-    sizes, owner, first = bucket_sizes(sum(ordered), shards, bucket_rows)
+    sizes = bucket_sizes(sum(ordered), shards, bucket_rows)
     shared = spark.sparkContext.broadcast((place, ordered, sizes))
 
     def deal(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -114,15 +121,9 @@ def shuffled_shards(rows: DataFrame, shards: int, seed: int = SEED, bucket_rows:
         yield from deal(batches)
 
     dealt = checkpointed(kept.select("_row", bucket("_part").alias("_bucket"), F.monotonically_increasing_id().alias("_at")))
-
-    def permute(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_at")
-        b = int(group["_bucket"].iloc[0])
-        order = np.random.default_rng([seed, 2, b]).permutation(len(group))
-        return pd.DataFrame({"_at": group["_at"], "shard": owner[b], "slot": first[b] + order})
-
-    slots = dealt.select("_at", "_bucket").groupBy("_bucket").applyInPandas(permute, "_at long, shard int, slot long")
-    return dealt.select("_at", "_row").join(checkpointed(slots), "_at").select("_row.*", "shard", "slot")
+    received = W.partitionBy("_bucket").orderBy(F.xxhash64("_at", F.lit(seed)), "_at")
+    shard, slot = place_of(F.col("_bucket"), sum(ordered), shards, bucket_rows)
+    return dealt.select("_row.*", shard.alias("shard"), (slot + F.row_number().over(received) - 1).alias("slot"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
