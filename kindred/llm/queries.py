@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm.chat import op7_chat_formatting
+from kindred.llm.chat import OP7_SQL, op7_chat_formatting
 from kindred.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from kindred.llm.langid import op4_language_id
 from kindred.llm.media import op8_media_columns
@@ -20,4 +20,4 @@ QUERIES = {
         op6_sharding, op7_chat_formatting, op8_media_columns, op9_suffix_array_dedup, op10_exact_dedup,
     )
 }
-ORACLE_SQL = {"op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op7_chat_formatting": OP7_SQL, "op10_exact_dedup": OP10_SQL}

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
 from kindred.llm import chat, langid, media, packing, sentencepiece, sharding, toxicity
@@ -113,6 +114,22 @@ def test_best_fit():
     assert bins.tolist() == [0, 1, 0, 1, 1] and offsets.tolist() == [0, 0, 6, 5, 8]
 
 
+def test_bins_that_nothing_fits_are_done():
+    assert packing.most_held({2100: 4000}, 4096) < 2100
+    assert packing.most_held({2100: 4000, 3000: 10}, 4096) < 2100
+    assert packing.most_held({2100: 5, 2500: 7, 3000: 10, 100: 6}, 4096) == 2999
+    assert packing.most_held({1000: 50, 2000: 3}, 4096) == 3096
+    assert packing.most_held({}, 4096) == 0
+
+
+def test_items_over_half_do_not_climb(spark):
+    """4,000 items of 2,100 tokens and few small ones, which all find room in them."""
+    items = spark.range(4000).select(F.col("id").alias("item"), F.when(F.col("id") < 3960, 2100).otherwise(300).cast("long").alias("length"))
+    found = packing.pack(items, per_partition=50).collect()
+    rows = [{"sequence_id": r["sequence_id"], "offset": r["offset"], "length": 2100 if r["item"] < 3960 else 300} for r in found]
+    assert len(rows) == 4000 and check_packing(rows, packing.CAPACITY) == 3960
+
+
 # sharding
 
 
@@ -185,6 +202,23 @@ def test_examples_are_prefixes(spark):
     assert chat.prefix_examples(rows.limit(0)).count() == 0
 
 
+def test_chats_sql(spark, folder):
+    compare(spark, folder, chat.op7_chat_formatting, chat.OP7_SQL)
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    big = (1 << 62) + 1
+    rows = spark.createDataFrame([(big, 0, "assistant", "a"), (None, 0, "user", "b"), (None, 1, None, None)], "conv_id long, turn int, role string, text string").coalesce(1)
+    found = chat.read_back(chat.prefix_examples(rows)).collect()
+    assert sorted((r["conv_id"] or 0, r["n_turns"], r["loss_chars"]) for r in found) == [(0, 2, 0), (big, 1, 1)]
+
+
+def test_a_long_conversation(spark, monkeypatch):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"<|{i}|>" * 40) for i in range(400)]
+    found = chat.read_back(chat.prefix_examples(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).collect()
+    assert [(r["n_turns"], r["loss_chars"]) for r in found] == [(400, sum(len(t) for _, i, _, t in rows if i % 2))]
+
+
 # media
 
 
