@@ -10,7 +10,7 @@ from kindred.llm.packing import op5_best_fit_packing
 from kindred.llm.sentencepiece import op3_sentencepiece
 from kindred.llm.sharding import op6_sharding
 from kindred.llm.simhash import op2_simhash_near_dedup
-from kindred.llm.suffix_dedup import op9_suffix_array_dedup
+from kindred.llm.suffix_dedup import OP9_SQL, op9_suffix_array_dedup
 from kindred.llm.toxicity import op1_toxicity
 
 QUERIES = {
@@ -20,4 +20,4 @@ QUERIES = {
         op6_sharding, op7_chat_formatting, op8_media_columns, op9_suffix_array_dedup, op10_exact_dedup,
     )
 }
-ORACLE_SQL = {"op7_chat_formatting": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op7_chat_formatting": OP7_SQL, "op9_suffix_array_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}

@@ -85,10 +85,16 @@ class Strings:
         rows = flat // self.width
         return flat[flat - rows * self.width > self.begin[rows]] - 1
 
-    def alike(self, rows: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-        """Whether each suffix but the first has at least `length` leading bytes in common with the one before it."""
-        same = np.ones(max(0, len(rows) - 1), dtype=bool)
-        for j in range(0, length, PACKED):
-            word = self.word(rows, at + j) >> BITS * max(0, PACKED - (length - j))
-            same &= word[1:] == word[:-1]
-        return same
+    def common_prefixes(self, rows: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
+        """Leading bytes that each suffix but the first has in common with the one before it, counted up to `most`."""
+        same, out = np.ones(max(0, len(rows) - 1), dtype=bool), np.zeros(max(0, len(rows) - 1), dtype=np.int64)
+        for j in range(0, min(most, PACKED * self.depth), PACKED):
+            word = self.word(rows, at + j)
+            apart = word[1:] ^ word[:-1]
+            out += PACKED * (same & (apart == 0))
+            ended = np.flatnonzero(same & (apart != 0))
+            for i in range(1, PACKED):
+                out[ended] += apart[ended] >> BITS * (PACKED - i) == 0
+            same &= apart == 0
+        length = self.end[rows] - at  # beyond their ends all suffixes are alike
+        return np.minimum(np.minimum(out, most), np.minimum(length[1:], length[:-1]))

@@ -8,20 +8,20 @@ its anchor: of the `ANCHOR`-byte strings in it the one with the smallest hash, t
 have equal anchors at equal places, so all copies of a string meet in one bucket, and a bucket's suffix array decides
 on its strings alone. The steps:
 
-1. Texts are dealt to chunks by a hash of the id and written as a table bucketed by chunk, so that they move once.
+1. Texts are dealt to chunks by a hash of the id and the text and written as a table bucketed by chunk, so that they
+   move once.
 2. Each chunk lists its distinct anchors. The buckets tell which of them occur in several documents; the others
    cannot repeat, and their surroundings need not move.
-3. Each chunk sends the surroundings of the remaining anchors, distinct within the chunk, to the buckets, with the
-   places where they occur. A passage that fills a third of all rows costs one row for each chunk.
-4. A bucket sorts the suffixes in two stages (`suffix_array`). Runs with common prefixes of `LENGTH` bytes are equal
-   strings; the smallest id in a run removes it elsewhere.
-5. The places go back to their chunks, which cut the texts.
+3. Each chunk sends the surroundings of the remaining anchors, distinct within the chunk, to the buckets, each with the
+   smallest id that it has here. A passage that fills a third of all rows costs one row for each chunk.
+4. A bucket sorts the suffixes in two stages (`suffix_array`) and computes their adjacent common prefixes. Runs with
+   `LENGTH` bytes in common are equal strings; the smallest id in a run removes it elsewhere.
+5. A mask for each of its surroundings goes back to a chunk, which knows where they occur and cuts the texts.
 """
 
 from __future__ import annotations
 
 import atexit
-import hashlib
 import uuid
 
 import numpy as np
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import checkpointed, parts_for, read_table, release
+from kindred.llm.common import checkpoint_dir, checkpointed, parts_for, read_table, release, remove_folder
 from kindred.llm.suffix_array import Strings
 
 #: Bytes of a string that must repeat, and of an anchor.
@@ -133,8 +133,8 @@ def table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.Table:
 
 ANCHOR_KINDS = {"bucket": pa.int32(), "chunk": pa.int32(), "codes": pa.binary(), "several": pa.binary()}
 REPLY_KINDS = {"chunk": pa.int32(), "bucket": pa.int32(), "shared": pa.binary()}
-AROUND_KINDS = {"bucket": pa.int32(), "chunk": pa.int32(), "around": pa.binary(), "left": pa.binary(), "right": pa.binary(), "least": pa.binary(), "of": pa.binary(), "doc": pa.binary(), "at": pa.binary(), "first": pa.binary()}
-PLACE_KINDS = {"chunk": pa.int32(), "doc": pa.binary(), "at": pa.binary(), "mask": pa.binary()}
+AROUND_KINDS = {"bucket": pa.int32(), "chunk": pa.int32(), "around": pa.binary(), "left": pa.binary(), "right": pa.binary(), "least": pa.binary()}
+MASK_KINDS = {"chunk": pa.int32(), "bucket": pa.int32(), "mask": pa.binary()}
 
 
 def ddl(kinds: dict[str, pa.DataType]) -> str:
@@ -173,106 +173,122 @@ def same_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], number
 
 
-def surroundings(chunk_number: int, chunk: Chunk, replies: pa.Table) -> list[tuple]:
-    """What a chunk sends to each bucket: the distinct surroundings of shared anchors, the smallest id of each, and
-    where they occur."""
-    codes, numbers = np.unique(chunk.code, return_inverse=True)
-    answer = dict(zip(replies.column("bucket").to_pylist(), replies.column("shared").to_pylist(), strict=True))
-    shared = np.zeros(len(codes), dtype=bool)
-    for bucket, a, b in by_bucket(codes):
-        if bucket in answer:
-            shared[a:b] = np.unpackbits(np.frombuffer(answer[bucket], dtype=np.uint8), count=b - a).astype(bool)
-    found = np.flatnonzero(shared[numbers])
-    found = found[np.argsort(chunk.code[found], kind="stable")]
-    place, code = chunk.place[found], chunk.code[found]
-    doc = chunk.owner[place]
-    at = place - chunk.begins[doc]
-    left = np.minimum(at, PLACES - 1)
-    right = np.minimum(chunk.begins[doc + 1] - place, LENGTH)
-    reach = np.arange(AROUND) - (PLACES - 1)
-    rows = np.zeros((len(found), AROUND + 2), dtype=np.uint8)
-    inside = (reach >= -left[:, None]) & (reach < right[:, None])
-    rows[:, :AROUND] = chunk.text[np.clip(place[:, None] + reach, 0, len(chunk.text) - 1)] * inside
-    rows[:, AROUND], rows[:, AROUND + 1] = left, right
-    some, of = same_rows(rows)
-    order = np.argsort(code[some] >> np.uint64(32), kind="stable")  # equal surroundings have equal anchors, so one bucket
-    number = np.empty(len(order), dtype=np.int64)
-    number[order] = np.arange(len(order))
-    some, of = some[order], number[of]
-    least = np.full(len(some), NO_ID, dtype=np.int64)
-    np.minimum.at(least, of, chunk.ids[doc])
-    first = chunk.ids[doc] == least[of]
-    around, begin, out = rows[some], 0, []
-    for bucket, a, b in by_bucket(code):
-        end = begin + int(np.count_nonzero(code[some[begin : begin + b - a]] >> np.uint64(32) == np.uint64(bucket)))
-        own = around[begin:end]
-        out.append((
-            bucket, chunk_number, own[:, :AROUND].tobytes(), own[:, AROUND].tobytes(), own[:, AROUND + 1].tobytes(), least[begin:end].astype("<i8").tobytes(),
-            (of[a:b] - begin).astype("<i4").tobytes(), doc[a:b].astype("<i4").tobytes(), at[a:b].astype("<i4").tobytes(), np.packbits(first[a:b]).tobytes(),
-        ))
-        begin = end
-    return out
-
-
-def repeated_places(rows: pa.Table) -> list[tuple]:
-    """The places where a bucket's surroundings occur, each with a mask: bit o says that the string which begins o
-    bytes into the surroundings also starts in a document with a smaller id."""
+class Shared:
+    """The shared anchors of a chunk: their distinct surroundings, bucket by bucket (`around`, `left`, `right`, and
+    `least`, the smallest id that has them here), and for each place where they occur its surroundings' number (`of`),
+    document and place in it, and whether the document's id is the smallest (`first`)."""
+
+    def __init__(self, chunk: Chunk, replies: dict[int, bytes]):
+        codes, numbers = np.unique(chunk.code, return_inverse=True)
+        shared = np.zeros(len(codes), dtype=bool)
+        for bucket, a, b in by_bucket(codes):
+            if bucket in replies:
+                shared[a:b] = np.unpackbits(np.frombuffer(replies[bucket], dtype=np.uint8), count=b - a).astype(bool)
+        found = np.flatnonzero(shared[numbers])
+        place, code = chunk.place[found], chunk.code[found]
+        self.doc = chunk.owner[place]
+        self.at = place - chunk.begins[self.doc]
+        left = np.minimum(self.at, PLACES - 1)
+        right = np.minimum(chunk.begins[self.doc + 1] - place, LENGTH)
+        reach = np.arange(AROUND) - (PLACES - 1)
+        rows = np.zeros((len(found), AROUND + 2), dtype=np.uint8)
+        inside = (reach >= -left[:, None]) & (reach < right[:, None])
+        rows[:, :AROUND] = chunk.text[np.clip(place[:, None] + reach, 0, len(chunk.text) - 1)] * inside
+        rows[:, AROUND], rows[:, AROUND + 1] = left, right
+        some, of = same_rows(rows)
+        order = np.argsort(code[some] >> np.uint64(32), kind="stable")  # equal surroundings have equal anchors, so one bucket
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.arange(len(order))
+        some, self.of = some[order], number[of]
+        self.least = np.full(len(some), NO_ID, dtype=np.int64)
+        np.minimum.at(self.least, self.of, chunk.ids[self.doc])
+        self.first = chunk.ids[self.doc] == self.least[self.of]
+        self.around, self.left, self.right = rows[some, :AROUND], rows[some, AROUND], rows[some, AROUND + 1]
+        self.buckets = by_bucket(code[some])
+
+    def sent(self, chunk_number: int) -> list[tuple]:
+        """What goes to each bucket."""
+        return [
+            (bucket, chunk_number, self.around[a:b].tobytes(), self.left[a:b].tobytes(), self.right[a:b].tobytes(), self.least[a:b].astype("<i8").tobytes())
+            for bucket, a, b in self.buckets
+        ]
+
+    def masks(self, answers: dict[int, bytes]) -> np.ndarray:
+        """A mask for each place: bit o says that the string which begins o bytes into its surroundings also starts in
+        a document with a smaller id. `answers` hold those for the documents with the smallest id here; in all others
+        every whole string does."""
+        own = np.zeros(len(self.least), dtype=np.int64)
+        for bucket, a, b in self.buckets:
+            if bucket in answers:
+                own[a:b] = np.frombuffer(answers[bucket], dtype="<u4")
+        return np.where(self.first, own[self.of], whole_strings(self.left, self.right)[self.of])
+
+
+BIT = np.int64(1) << np.arange(PLACES, dtype=np.int64)
+
+
+def whole_strings(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bits of the places in surroundings where a string of `LENGTH` bytes begins and ends in the document."""
+    columns, begin, end = np.arange(PLACES), PLACES - 1 - left.astype(np.int64), PLACES - 1 + right.astype(np.int64)
+    return ((columns >= begin[:, None]) & (columns + LENGTH <= end[:, None])) @ BIT
+
+
+def bucket_masks(rows: pa.Table) -> list[tuple]:
+    """For each chunk's surroundings in a bucket a mask: bit o says that the string which begins o bytes into them also
+    starts in a document with an id smaller than the smallest that the chunk has them in."""
     get = lambda name, kind: [np.frombuffer(x, dtype=kind) for x in rows.column(name).to_pylist()]
     lefts, rights, leasts = get("left", np.uint8), get("right", np.uint8), get("least", "<i8")
     around = np.concatenate([x.reshape(-1, AROUND) for x in get("around", np.uint8)])
-    left, right, least = np.concatenate(lefts).astype(np.int64), np.concatenate(rights).astype(np.int64), np.concatenate(leasts)
-    some, number = same_rows(np.concatenate([around, np.concatenate(lefts)[:, None], np.concatenate(rights)[:, None]], axis=1))
+    left, right, least = np.concatenate(lefts), np.concatenate(rights), np.concatenate(leasts)
+    some, number = same_rows(np.concatenate([around, left[:, None], right[:, None]], axis=1))
     smallest = np.full(len(some), NO_ID, dtype=np.int64)
     np.minimum.at(smallest, number, least)
-    begin, end = PLACES - 1 - left[some], PLACES - 1 + right[some]
+    begin, end = PLACES - 1 - left[some].astype(np.int64), PLACES - 1 + right[some].astype(np.int64)
     strings = Strings(around[some], begin, end, LENGTH + 6)
     row, at = strings.sort(PLACES)
     whole = at + LENGTH <= end[row]
     row, at = row[whole], at[whole]
     minimum = np.full((len(some), PLACES), NO_ID, dtype=np.int64)  # the smallest id with the string that begins there
     if len(row):
-        run = np.concatenate([[0], np.cumsum(~strings.alike(row, at, LENGTH))])
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(run) > 0]))
-        minimum[row, at] = np.minimum.reduceat(smallest[row], starts)[run]
-    bit = np.int64(1) << np.arange(PLACES, dtype=np.int64)
-    columns = np.arange(PLACES)
-    valid = ((columns >= begin[:, None]) & (columns + LENGTH <= end[:, None])) @ bit
+        new = np.concatenate([[True], strings.common_prefixes(row, at, LENGTH) < LENGTH])
+        minimum[row, at] = np.minimum.reduceat(smallest[row], np.flatnonzero(new))[np.cumsum(new) - 1]
     out, base = [], 0
-    for chunk, size, of, doc, place, first in zip(rows.column("chunk").to_pylist(), map(len, leasts), get("of", "<i4"), get("doc", "<i4"), get("at", "<i4"), rows.column("first").to_pylist(), strict=True):
-        own = number[base : base + size]
-        mask = (minimum[own] < least[base : base + size, None]) @ bit
-        is_first = np.unpackbits(np.frombuffer(first, dtype=np.uint8), count=len(of)).astype(bool)
-        mask = np.where(is_first, mask[of], valid[own][of])
-        hit = np.flatnonzero(mask)
-        if len(hit):
-            out.append((chunk, doc[hit].tobytes(), place[hit].tobytes(), mask[hit].astype("<u4").tobytes()))
+    for chunk, bucket, size in zip(rows.column("chunk").to_pylist(), rows.column("bucket").to_pylist(), map(len, leasts), strict=True):
+        mask = (minimum[number[base : base + size]] < least[base : base + size, None]) @ BIT
+        if mask.any():
+            out.append((chunk, bucket, mask.astype("<u4").tobytes()))
         base += size
     return out
 
 
-def cover(chunk: Chunk, places: pa.Table) -> np.ndarray:
+def cover(chunk: Chunk, shared: Shared, answers: dict[int, bytes]) -> np.ndarray:
     """Which bytes of a chunk go."""
     begins = np.zeros(len(chunk.text) + 1, dtype=bool)
-    for doc, at, mask in zip(places.column("doc").to_pylist(), places.column("at").to_pylist(), places.column("mask").to_pylist(), strict=True):
-        start = chunk.begins[np.frombuffer(doc, dtype="<i4")] + np.frombuffer(at, dtype="<i4") - (PLACES - 1)
-        bits = np.frombuffer(mask, dtype="<u4")
-        for o in range(PLACES):
-            begins[start[(bits >> np.uint32(o) & np.uint32(1)).astype(bool)] + o] = True
+    bits = shared.masks(answers)
+    start = chunk.begins[shared.doc] + shared.at - (PLACES - 1)
+    for o in range(PLACES):
+        begins[start[(bits >> o & 1).astype(bool)] + o] = True
     upto = np.cumsum(begins[:-1], dtype=np.int32)
     before = np.zeros_like(upto)
     before[LENGTH:] = upto[:-LENGTH] if len(upto) > LENGTH else upto[:0]
     return upto > before
 
 
-_TABLES: list[tuple[SparkSession, str]] = []
+def answers_of(rows: pa.Table, column: str) -> dict[int, bytes]:
+    """Bucket to what it says, of the rows that have the column."""
+    return {bucket: said for bucket, said in zip(rows.column("bucket").to_pylist(), rows.column(column).to_pylist(), strict=True) if said is not None}
+
+
+_TABLES: list[tuple[SparkSession, str, str]] = []
 
 
 def drop_tables() -> None:
     """Drop the chunk tables of `without_repeats`; done at exit too. Its results can't be read afterwards."""
     while _TABLES:
-        spark, name = _TABLES.pop()
+        spark, name, folder = _TABLES.pop()
         if spark.sparkContext._jsc is not None:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove_folder(spark, folder)
 
 
 atexit.register(drop_tables)
@@ -283,8 +299,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     removed runs) for each row of `docs`, whatever its columns are called.
 
     A null text counts as empty. Rows with one id never remove each other's bytes; rows without an id come after all
-    others and don't remove each other's either. An empty table gives an empty result. The result reads a table in
-    the warehouse that `drop_tables` removes.
+    others and don't remove each other's either. An empty table gives an empty result. The result reads a table
+    whose files lie in the checkpoint folder, until `drop_tables` removes it.
     """
     spark = docs.sparkSession
     own = docs.select(
@@ -295,9 +311,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks, buckets = parts_for(total, CHUNK_BYTES), parts_for(total, BUCKET_BYTES)
     parts = min(chunks, MOST)
     name = f"kindred_chunks_{uuid.uuid4().hex}"
-    own = own.withColumn("_version", F.xxhash64("_text")).withColumn("_chunk", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(chunks)).cast("int"))
-    own.repartition(parts, "_chunk").write.bucketBy(parts, "_chunk").format("parquet").saveAsTable(name)
-    _TABLES.append((spark, name))
+    own = own.withColumn("_version", F.xxhash64("_text")).withColumn("_chunk", F.pmod(F.xxhash64("_id", "_version"), F.lit(chunks)).cast("int"))
+    folder = f"{checkpoint_dir(spark)}/{name}"
+    own.repartition(parts, "_chunk").write.bucketBy(parts, "_chunk").option("path", folder).format("parquet").saveAsTable(name)
+    _TABLES.append((spark, name, folder))
     texts = spark.table(name)
     search = texts.select("_chunk", "_id", "_version", "_text")
 
@@ -310,17 +327,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     replies = checkpointed(listed.groupBy("bucket").applyInArrow(lambda rows: table(shared_codes(rows), REPLY_KINDS), ddl(REPLY_KINDS)))
 
     def send(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        out = table(surroundings(key[0].as_py(), Chunk(rows, buckets), answers) if len(rows) and len(answers) else [], AROUND_KINDS)
+        out = table(Shared(Chunk(rows, buckets), answers_of(answers, "shared")).sent(key[0].as_py()) if len(rows) and len(answers) else [], AROUND_KINDS)
         release()
         return out
 
     sent = search.groupBy("_chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send, ddl(AROUND_KINDS))
-    places = checkpointed(sent.groupBy("bucket").applyInArrow(lambda rows: table(repeated_places(rows), PLACE_KINDS), ddl(PLACE_KINDS)))
+    masks = checkpointed(sent.groupBy("bucket").applyInArrow(lambda rows: table(bucket_masks(rows), MASK_KINDS), ddl(MASK_KINDS)))
+    said = replies.withColumn("mask", F.lit(None).cast("binary")).unionByName(masks.withColumn("shared", F.lit(None).cast("binary")))
     row_kind = texts.schema["row"].dataType.simpleString()
 
     def cut(key: tuple, rows: pa.Table, found: pa.Table) -> pa.Table:
-        chunk = Chunk(rows, buckets, search=False)
-        goes = cover(chunk, found)
+        chunk = Chunk(rows, buckets, search=len(found) > 0)
+        goes = cover(chunk, Shared(chunk, answers_of(found, "shared")), answers_of(found, "mask")) if len(found) else np.zeros(len(chunk.text), dtype=bool)
         kept, sizes, removed, spans = [], [], [], []
         for a, b in zip(chunk.begins[:-1].tolist(), chunk.begins[1:].tolist(), strict=True):
             own = goes[a:b]
@@ -331,7 +349,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ordered = rows.column("row").take(pa.array(chunk.order, pa.int64()))
         return pa.table({"row": ordered, "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64())})
 
-    return texts.groupBy("_chunk").cogroup(places.groupBy("chunk")).applyInArrow(cut, f"row {row_kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return texts.groupBy("_chunk").cogroup(said.groupBy("chunk")).applyInArrow(cut, f"row {row_kind}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,18 +357,27 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def brute_force(texts: dict[int, bytes], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:
-    """The query's result for a few texts, straight from its definition; for tests."""
-    smallest: dict[bytes, int] = {}
-    for doc in sorted(texts):
-        for i in range(len(texts[doc]) - length + 1):
-            smallest.setdefault(texts[doc][i : i + length], doc)
-    out = {}
-    for doc, text in texts.items():
-        goes = bytearray(len(text))
-        for i in range(len(text) - length + 1):
-            if smallest[text[i : i + length]] < doc:
-                goes[i : i + length] = b"\1" * length
-        runs = sum(1 for i in range(len(text)) if goes[i] and (i == 0 or not goes[i - 1]))
-        out[doc] = (len(text), sum(goes), runs, hashlib.sha256(bytes(c for c, g in zip(text, goes, strict=True) if not g)).hexdigest())
-    return out
+OP9_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, o, substr(h, 2 * o + 1, 1122) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 512)) AS o FROM d WHERE length(h) >= 100)
+), s AS (
+  SELECT doc_id, o + j AS i, substr(h, 2 * j + 1, 100) AS g FROM (SELECT doc_id, o, h, unnest(range(0, least(512, length(h) // 2 - 49))) AS j FROM w)
+), m AS (
+  SELECT g, min(doc_id) AS least FROM s GROUP BY g HAVING count(DISTINCT doc_id) > 1
+), r AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s JOIN m USING (g) WHERE least < doc_id
+), k AS (
+  SELECT doc_id, i, count(*) FILTER (before IS NULL OR i > before + 50) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r
+), sp AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, run
+), cut AS (
+  SELECT doc_id, run, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS from_b FROM sp
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * from_b + 1, 2 * (a - from_b)), '' ORDER BY run) || substr(any_value(h), 2 * max(b) + 1) AS h, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans
+  FROM cut JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

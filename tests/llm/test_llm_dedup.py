@@ -1,5 +1,6 @@
 """Exact, near and passage dedup against brute force, with nulls, ties, repeated rows and clashing columns."""
 
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -57,8 +58,6 @@ def test_exact(spark, block, monkeypatch):
     found = exact_dedup.exact_duplicates(frame(spark, rows)).collect()
     wanted = brute_exact(rows)
     assert len(found) == len(rows)
-    import hashlib
-
     assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in found} == {
         k: (a, b, c, hashlib.sha256(n.encode()).hexdigest()) for k, (a, b, c, n) in wanted.items()
     }
@@ -171,6 +170,23 @@ def test_near_duplicates(spark, folder):
 # passages
 
 
+def brute_force(texts: dict[int, bytes], length: int = suffix_dedup.LENGTH) -> dict[int, tuple[int, int, int, str]]:
+    """The query's result for a few texts, straight from its definition."""
+    smallest: dict[bytes, int] = {}
+    for doc in sorted(texts):
+        for i in range(len(texts[doc]) - length + 1):
+            smallest.setdefault(texts[doc][i : i + length], doc)
+    out = {}
+    for doc, text in texts.items():
+        goes = bytearray(len(text))
+        for i in range(len(text) - length + 1):
+            if smallest[text[i : i + length]] < doc:
+                goes[i : i + length] = b"\1" * length
+        runs = sum(1 for i in range(len(text)) if goes[i] and (i == 0 or not goes[i - 1]))
+        out[doc] = (len(text), sum(goes), runs, hashlib.sha256(bytes(c for c, g in zip(text, goes, strict=True) if not g)).hexdigest())
+    return out
+
+
 def test_two_stage_sorting():
     rng = np.random.default_rng(0)
     for _ in range(40):
@@ -183,6 +199,20 @@ def test_two_stage_sorting():
         assert got == sorted(bytes(m[i, j : end[i]]) for i in range(n) for j in range(begin[i], min(wanted, end[i] + 1)))
 
 
+def test_adjacent_common_prefixes():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        n, w = int(rng.integers(2, 20)), int(rng.integers(20, 60))
+        m, end = rng.integers(0, 2, (n, w)).astype(np.uint8), rng.integers(10, w + 1, n)
+        m[1::2] = m[::2][: len(m[1::2])]
+        strings = Strings(m, np.zeros(n, dtype=np.int64), end)
+        rows, at = strings.sort(9)
+        suffixes = [bytes(m[i, j : end[i]]) for i, j in zip(rows, at, strict=True)]
+        wanted = [next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b))) for a, b in zip(suffixes, suffixes[1:], strict=False)]
+        assert strings.common_prefixes(rows, at, 60).tolist() == wanted
+        assert strings.common_prefixes(rows, at, 9).tolist() == [min(9, x) for x in wanted]
+
+
 def test_anchors_depend_on_the_string_alone():
     rng = np.random.default_rng(1)
     shared = rng.integers(97, 101, 50).astype(np.uint8)
@@ -202,7 +232,7 @@ def test_passages(spark, seed, monkeypatch):
     rows = list(enumerate([*texts(seed, 30), "", None, "z" * 49, "z" * 50, "z" * 51, "z" * 120, "ab" * 60, "b" + "ab" * 40, "\x00" * 70, "\x00" * 60 + "a"]))
     found = suffix_dedup.without_repeats(frame(spark, rows))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["sha"]) for r in found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).collect()}
-    assert got == suffix_dedup.brute_force({i: (t or "").encode() for i, t in rows})
+    assert got == brute_force({i: (t or "").encode() for i, t in rows})
     assert {r["row"]["_chunk"] for r in found.collect()} == {7}
     suffix_dedup.drop_tables()
 
@@ -215,8 +245,21 @@ def test_passages_of_repeated_and_missing_ids(spark):
     suffix_dedup.drop_tables()
 
 
+def test_passages_of_one_id_stay(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 100)
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    found = suffix_dedup.without_repeats(frame(spark, [(4, long), (4, "b " + long), (4, "c " + long), (5, long + " d"), (None, long + "x"), (None, "y" + long)])).collect()
+    assert sorted((r["row"]["doc_id"] or 9, r["n_removed"]) for r in found) == [(4, 0)] * 3 + [(5, len(long)), (9, len(long)), (9, len(long))]
+    suffix_dedup.drop_tables()
+
+
+def test_passages_sql(spark, folder):
+    compare(spark, folder, suffix_dedup.op9_suffix_array_dedup, suffix_dedup.OP9_SQL)
+    suffix_dedup.drop_tables()
+
+
 def test_passages_of_the_table(spark, folder):
     docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     found = suffix_dedup.op9_suffix_array_dedup(spark, folder).collect()
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == suffix_dedup.brute_force(docs)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == brute_force(docs)
     suffix_dedup.drop_tables()
