@@ -62,6 +62,13 @@ def attached(rows: DataFrame, keyed: DataFrame, *keys: str, count: str | None =
     return rows.join(few, list(keys)).unionByName(rows.join(hot, list(keys), "left_anti").join(keyed, list(keys)))
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the driver see which frames nothing refers to any more, so that Spark removes their shuffle files and
+    checkpoints."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of this package's own, wherever the shared file system is."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

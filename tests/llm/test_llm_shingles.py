@@ -1,11 +1,11 @@
-"""Near copies found by sections, against all pairs."""
+"""Near copies found by their shingles, against all pairs."""
 
 import random
 
 import numpy as np
+import pytest
 
-from kindred.llm import sections
-from kindred.llm.components import smallest_reachable
+from kindred.llm import shingles
 
 
 def made(seed):
@@ -24,29 +24,41 @@ def made(seed):
     return [*out, "", "one", "one", "two words", "three short words"]
 
 
+def cosine(a, b):
+    return len(a & b) / (len(a) * len(b)) ** 0.5 if a and b else 0.0
+
+
 def test_similar_pairs(spark):
     texts = made(1)
-    sets = [set(sections.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
-    wanted = {(a, b) for b in range(len(texts)) for a in range(b) if sets[a] | sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
-    found = sections.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert {(r["a"], r["b"]) for r in found.collect()} <= wanted
-    label = {r["node"]: r["label"] for r in smallest_reachable(found).collect()}
-    lost = [(a, b) for a, b in wanted if label.get(a, a) != label.get(b, b)]
-    assert len(wanted) > 20 and len(lost) <= 0.05 * len(wanted)
+    sets = [set(shingles.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    wanted = {(a, b) for b in range(len(texts)) for a in range(b) if cosine(sets[a], sets[b]) >= 0.8}
+    found = shingles.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = {(r["a"], r["b"]) for r in found.collect()}
+    assert len(wanted) > 20 and rows <= wanted and parts(rows, len(texts)) == parts(wanted, len(texts))
+
 
+def test_shingles_of_few_words():
+    assert len(shingles.shingle_hashes(b"a b", 5)) == 1 and np.array_equal(shingles.shingle_hashes(b"", 5), [])
 
-def test_sections_cover_the_text():
-    words = [f"{i}".encode() for i in range(500)]
-    assert sum(sections.cut(words), []) == words
-    assert all(len(s) >= sections.LEAST for s in sections.cut(words))
-    assert sections.cut([]) == []
-    assert len(sections.shingle_hashes(b"a b", 5)) == 1 and np.array_equal(sections.shingle_hashes(b"", 5), [])
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95, 1.0])
+def test_prefixes_of_sets_alike_meet(similarity):
+    rng = random.Random(2)
+    for _ in range(3000):
+        n, m = rng.randrange(1, 40), rng.randrange(1, 40)
+        both = rng.randrange(0, min(n, m) + 1)
+        if both < similarity * (n * m) ** 0.5 - 1e-9:
+            continue
+        order = list(range(n + m - both))
+        rng.shuffle(order)
+        a, b = order[:n], order[n - both :]
+        assert set(sorted(a)[: shingles.prefix_length(n, similarity)]) & set(sorted(b)[: shingles.prefix_length(m, similarity)])
 
 
 def test_nothing_to_compare(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (None, "x")], "doc_id long, text string")
-    assert sections.similar_pairs(rows).count() == 0
-    assert sections.similar_pairs(rows.limit(0)).count() == 0
+    assert shingles.similar_pairs(rows).count() == 0
+    assert shingles.similar_pairs(rows.limit(0)).count() == 0
 
 
 def parts(pairs, n):
@@ -61,8 +73,8 @@ def parts(pairs, n):
 def components_match(spark, texts):
     """The number of pairs alike, and of components with two members or more."""
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
-    wanted = [(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
-    found = sections.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    wanted = [(a, b) for b in range(len(texts)) for a in range(b) if cosine(sets[a], sets[b]) >= 0.8]
+    found = shingles.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     rows = [(r["a"], r["b"]) for r in found.collect()]
     assert set(rows) <= set(wanted)
     assert parts(rows, len(texts)) == parts(wanted, len(texts))
@@ -78,7 +90,7 @@ def edited(rng, base, edits):
 
 def test_copies_of_one_text_near_the_limit(spark):
     rng = random.Random(5)
-    for size, edits in ((300, 4), (600, 7)):
+    for size, edits in ((300, 7), (600, 13)):
         base = [f"w{rng.randrange(5000)}" for _ in range(size)]
         assert components_match(spark, [edited(rng, base, edits) for _ in range(80)]) > 50
 
@@ -96,3 +108,19 @@ def test_repeated_passages_are_no_length(spark):
     rng = random.Random(3)
     bases = [[f"w{rng.randrange(5000)}" for _ in range(400)] for _ in range(20)]
     assert components_match(spark, [t for b in bases for t in (" ".join(b), " ".join(b + b[-100:] * 4))]) == 20
+
+
+def test_a_key_of_very_many_texts_is_split(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "PART_ROWS", 10)
+    rng = random.Random(8)
+    line = [f"c{i}" for i in range(30)]
+    texts = [" ".join(line + [f"w{rng.randrange(50)}" for _ in range(rng.randrange(0, 12))]) for _ in range(60)]
+    assert components_match(spark, texts) > 100
+
+
+def test_five_hundred_planted_copies(spark):
+    """Copies with one word in sixty changed, from a hundred texts: all are found."""
+    rng = random.Random(9)
+    bases = [[f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 260))] for _ in range(100)]
+    texts = [" ".join(b) for b in bases] + [edited(rng, b, len(b) // 60) for b in bases for _ in range(5)]
+    assert components_match(spark, texts) > 500
