@@ -15,11 +15,12 @@ meet their rows by a broadcast of bounded size (`attached`).
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import attached, checkpoint_dir, checkpointed, read_table, remove_folder
+from kindred.llm.common import attached, checkpoint_dir, checkpointed, forget, read_table, remove_folder
 
 #: Characters of a block.
 BLOCK = 256
@@ -46,10 +47,13 @@ def cut(norm: Column, block: int) -> Column:
 def block_names(blocks: DataFrame, occurrences: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     """The rows of `occurrences` (`row, at, left, digest`) with the name of their block. `blocks` are all `digest,
     block`; `texts` are `row, at, digest, block` and read only where one digest stands for several blocks."""
-    names = stored(named(blocks.groupBy("digest", "block").agg(F.count("*").alias("n")), "block", "digest"), f"{folder}/names")
-    shared = checkpointed(names.groupBy("digest").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).filter("kinds > 1").select("digest"))
-    if shared.isEmpty():
-        return attached(occurrences, names.select("digest", "name", "n"), "digest", count="n").drop("digest", "n")
+    kinds = named(blocks.groupBy("digest", "block").agg(F.count("*").alias("n")), "block", "digest")
+    names = stored(kinds.drop("block"), f"{folder}/names")
+    forget(blocks.sparkSession)
+    if names.groupBy("digest").agg(F.count("*").alias("kinds")).filter("kinds > 1").isEmpty():
+        return attached(occurrences, names, "digest", count="n").drop("digest", "n")
+    names = stored(kinds, f"{folder}/kinds")  # with the blocks
+    shared = checkpointed(names.groupBy("digest").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("digest"))
     single = attached(occurrences, names.join(shared, "digest", "left_anti").select("digest", "name", "n"), "digest", count="n").drop("n")
     by_text = texts.join(names.select("digest", "block", "name").join(shared, "digest", "left_semi"), ["digest", "block"]).select("row", "at", "name")
     return single.unionByName(occurrences.join(by_text, ["row", "at"])).drop("digest")
@@ -69,9 +73,13 @@ def identities(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     blocks = own.select(F.explode(cut(F.col("norm"), block)).alias("block")).select(F.xxhash64("block").alias("digest"), "block")
     occurrences = rows.select("row", F.size("digests").alias("left"), F.posexplode("digests").alias("at", "digest"))
     level = checkpointed(block_names(blocks, occurrences, texts_of(rows, docs, text, block), folder))
-    step, done = 0, level.filter("left = 1").select("row", F.lit(0).alias("round"), "name")
-    level = level.filter("left > 1")
-    while not level.isEmpty():
+    step, done = 0, []
+    while True:
+        # levels are left behind, so that their files can go
+        done.append(checkpointed(level.filter("left = 1").select("row", F.lit(step).alias("round"), "name")))
+        level = level.filter("left > 1")
+        if level.isEmpty():
+            break
         step += 1
         even = F.col("at") % 2 == 0
         paired = level.groupBy("row", F.ceil(F.col("left") / 2).cast("int").alias("left"), F.shiftright("at", 1).alias("at")).agg(
@@ -80,9 +88,9 @@ def identities(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
         paired = checkpointed(paired)
         names = checkpointed(named(paired.groupBy("a", "b").agg(F.count("*").alias("n")), "a", "b"))
         level = checkpointed(attached(paired, names, "a", "b", count="n").select("row", "left", "at", "name"))
-        done = done.unionByName(level.filter("left = 1").select("row", F.lit(step).alias("round"), "name"))
-        level = level.filter("left > 1")
-    return rows.drop("digests").join(done, "row")
+        forget(docs.sparkSession)
+    found = reduce(DataFrame.unionByName, done)
+    return rows.drop("digests").join(found, "row")
 
 
 def texts_of(rows: DataFrame, docs: DataFrame, text: Column, block: int) -> DataFrame:

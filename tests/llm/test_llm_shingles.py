@@ -41,6 +41,15 @@ def test_shingles_of_few_words():
     assert len(shingles.shingle_hashes(b"a b", 5)) == 1 and np.array_equal(shingles.shingle_hashes(b"", 5), [])
 
 
+def test_maps_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (0, 5, 300, 5000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[n // 4 :], rng.integers(0, 1 << 63, n // 3 + 1).astype(np.uint64)])
+        differ = sum(int(x).bit_count() for x in (shingles.parity_map(a) ^ shingles.parity_map(b)).view("<u8"))
+        assert differ <= n // 4 + n // 3 + 1 and (n != 300 or differ > 100)
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95, 1.0])
 def test_prefixes_of_sets_alike_meet(similarity):
     rng = random.Random(2)
