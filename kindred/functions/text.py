@@ -14,13 +14,11 @@ RUSSIAN_STOP_WORDS = """
 там тут об со
 """.split()
 
-# Frequent words of scientific prose, the default for term extraction besides a stop list of the caller's.
+#: Words that say little about a field, the default for term extraction besides a stop list of the caller's.
 SCIENTIFIC_WORDS = """
-paper work study research article approach method result results show shows shown propose proposed present presented
-consider considered provide provided use uses used using based different various several many such first second third
-new one two three set sets function functions value values case cases point points number numbers model models problem
-problems data algorithm algorithms time example examples order equation equations theorem theorems proof definition
-system systems theory theories analysis property properties process state states group groups
+abstract appendix author chapter claim conclusion contribution discussion effort experiment figure finding future goal
+idea importance insight introduction journal literature novelty overview page paragraph preliminary purpose reader
+reference remark review section statement summary survey table today topic volume year
 """.split()
 
 # English function words.

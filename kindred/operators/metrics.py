@@ -124,17 +124,29 @@ def best_methods(results: DataFrame, value: str = "spearman") -> DataFrame:
     return best.select("dataset", "method", F.col("_b.v").alias("value"))
 
 
+def top_methods(results: DataFrame, n: int = 3, value: str = "spearman") -> DataFrame:
+    """The n best results, of equals the first by method and data set."""
+    return results.orderBy(F.desc(value), "method", "dataset").limit(n)
+
+
+def matrix_maximum(results: DataFrame, *values: str) -> DataFrame:
+    """One row: the largest of each value over all methods and data sets."""
+    return results.agg(*(F.max(v).alias(f"max_{v}") for v in values))
+
+
 # The research questions' contrasts and success criteria.
 CONTRASTS = [("RQ1", "sbert", "doc2vec"), ("RQ2", "wordnet_lin", "sbert"), ("RQ2", "wordnet_lin", "tfidf"), ("RQ3", "sbert", "rag_centroid"), ("RQ3", "tfidf", "rag_centroid")]
 CRITERIA = [("RQ1", "sbert", 0.50), ("RQ1", "doc2vec", 0.00), ("RQ2", "sbert", 0.60), ("RQ2", "wordnet_lin", 0.20), ("RQ3", "rag_centroid", 0.50), ("RQ3", "sbert", 0.50)]
-# The methods of each data set.
+# The methods that a suite runs on each data set, and those that the matrix of all data sets shows.
 RUSSIAN_METHODS = ("sbert", "sbert_tfidf", "sbert_zscore", "wordnet_lin", "wordnet_wup", "hybrid", "bertopic", "doc2vec", "lda")
-ENGLISH_METHODS = ("sbert", "wordnet_lin", "wordnet_wup")
+ENGLISH_METHODS = ("sbert", "wordnet_lin_en", "wordnet_wup_en", "bertopic", "doc2vec", "lda")
 DATASETS = {"hj-rg": RUSSIAN_METHODS, "simlex999_rus": RUSSIAN_METHODS, "simlex999": ENGLISH_METHODS}
+MATRIX = {"hj-rg": RUSSIAN_METHODS[:6], "simlex999_rus": RUSSIAN_METHODS[:6], "simlex999": ENGLISH_METHODS[:3]}
 
 
 def methods_of(dataset: str) -> tuple[str, ...]:
-    return DATASETS.get(dataset, ENGLISH_METHODS)
+    """The methods of a data set; one that is not known gets the vectors' baseline alone."""
+    return DATASETS.get(dataset, ("sbert",))
 
 
 def contrasts(spark) -> DataFrame:

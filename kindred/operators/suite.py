@@ -7,11 +7,11 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.config import GRAPH_WEIGHTS
-from kindred.functions import vectors as V
+from kindred.config import DEFAULT_WEIGHTS, GRAPH_WEIGHTS
+from kindred.functions import numbers as N
 from kindred.operators import centroids as C
 from kindred.operators import graph as G
 from kindred.operators import knn as K
@@ -51,8 +51,8 @@ def predictions_of(method: str, pairs: DataFrame, vectors: DataFrame, taxonomy:
     vector_methods = {"sbert", "sbert_tfidf", "sbert_zscore"}
     if method in vector_methods:
         return M.vector_methods(pairs, vectors).filter(F.col("method") == method)
-    if method in ("wordnet_lin", "wordnet_wup"):
-        found = (taxonomy or {}).get(method.removeprefix("wordnet_"))
+    if method in ("wordnet_lin", "wordnet_wup", "wordnet_lin_en", "wordnet_wup_en"):
+        found = (taxonomy or {}).get(method.removeprefix("wordnet_").removesuffix("_en"))
         if found is None:
             return TP.missing(pairs, method)
         return M.predictions(pairs.join(found, ["word1", "word2"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))), method, F.col("score"))
@@ -89,9 +89,10 @@ def run_and_store(path: str, dataset: str, pairs: DataFrame, vectors: DataFrame,
 
 
 def suite_matrix(results: DataFrame, value: str = "spearman") -> DataFrame:
-    """`method, dataset, value` over every data set's methods, null where there is no result; a method of several data
-    sets comes once for each."""
-    known = results.sparkSession.createDataFrame([(d, m) for d, ms in M.DATASETS.items() for m in ms], "dataset string, method string")
+    """`method, dataset, value` over the matrix's methods of each data set, null where there is no result; methods without
+    any result are left out. The baseline comes once for the Russian data sets and once for the English one."""
+    known = results.sparkSession.createDataFrame([(d, m) for d, ms in M.MATRIX.items() for m in ms], "dataset string, method string")
+    known = known.join(results.select("method").distinct(), "method", "left_semi")
     return known.join(results.select("dataset", "method", F.col(value).alias("value")), ["dataset", "method"], "left")
 
 
@@ -133,15 +134,18 @@ def pair_similarity(vectors: DataFrame, a, b, metric: str = "cosine") -> float:
     return row["score"]
 
 
+def domain_ensemble(vectors: DataFrame, weights: tuple[float, float] = DEFAULT_WEIGHTS) -> DataFrame:
+    """`domain1, domain2, sbert_score, tfidf_score, similarity`: dot products of unit means and n-gram similarities of the
+    domains' terms, by weights scaled to sum 1."""
+    terms = vectors.select(F.col("term").cast("string").alias("term"), "domain")
+    return S.ensemble(unit_pairs(vectors), L.ngram_similarity(terms), *N.normalized_weights(*weights))
+
+
 def unit_pairs(vectors: DataFrame) -> DataFrame:
     """Dot products of unit means, the vector part of the ensemble of two domains."""
     return S.domain_pairs(C.unit_centroids(vectors), "dot")
 
 
-def as_vector(column: Column) -> Column:
-    return V.as_doubles(column)
-
-
 def dataset_status(spark: SparkSession, results: DataFrame) -> DataFrame:
     """`dataset, methods, done`: how many of each data set's methods have results."""
     m = suite_matrix(results)

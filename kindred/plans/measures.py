@@ -144,6 +144,14 @@ def results_best(spark, folder):
     return rounded(M.best_methods(D.results(spark, folder)), "value")
 
 
+def results_top(spark, folder):
+    return rounded(M.top_methods(D.results(spark, folder)).select("dataset", "method", "spearman"), "spearman")
+
+
+def results_maximum(spark, folder):
+    return rounded(M.matrix_maximum(D.results(spark, folder), "spearman"), "max_spearman")
+
+
 def questions_judged(spark, folder):
     r = D.history(spark, folder).groupBy("dataset", (F.col("id") % 4).alias("k")).agg((F.avg("spearman") / 100).alias("spearman"))
     named = r.select("dataset", "spearman", F.element_at(F.array(*(F.lit(m) for m in ("sbert", "doc2vec", "wordnet_lin", "rag_centroid"))), (F.col("k") + 1).cast("int")).alias("method"))
@@ -249,6 +257,8 @@ SQL = {
     "results_matrix": "WITH r AS (SELECT o_orderpriority AS method, o_orderstatus AS d, avg(o_totalprice) / 500000 AS s FROM orders GROUP BY ALL), m AS (SELECT method, max(s) FILTER (d = 'F') AS f, max(s) FILTER (d = 'O') AS o, max(s) FILTER (d = 'P') AS p FROM r GROUP BY 1) SELECT method, round(f, 6) AS f_score, round(o, 6) AS o_score, round(p, 6) AS p_score, round((coalesce(f, 0) + coalesce(o, 0) + coalesce(p, 0)) / 3, 6) AS mean FROM m",
     "results_averages": "SELECT method, round(avg(s), 6) AS mean FROM (SELECT o_orderpriority AS method, o_orderstatus, avg(o_totalprice) / 500000 AS s FROM orders GROUP BY ALL) GROUP BY method",
     "results_best": "SELECT dataset, arg_max(method, s) AS method, round(max(s), 6) AS value FROM (SELECT o_orderpriority AS method, o_orderstatus AS dataset, avg(o_totalprice) / 500000 AS s FROM orders GROUP BY ALL) GROUP BY dataset",
+    "results_top": "SELECT o_orderstatus AS dataset, o_orderpriority AS method, round(avg(o_totalprice) / 500000, 6) AS spearman FROM orders GROUP BY ALL ORDER BY avg(o_totalprice) DESC, method, dataset LIMIT 3",
+    "results_maximum": "SELECT round(max(s), 6) AS max_spearman FROM (SELECT avg(o_totalprice) / 500000 AS s FROM orders GROUP BY o_orderstatus, o_orderpriority)",
     "questions_judged": "WITH r AS (SELECT event_type AS dataset, ['sbert', 'doc2vec', 'wordnet_lin', 'rag_centroid'][event_id % 4 + 1] AS method, avg(value) / 100 AS s FROM events GROUP BY event_type, event_id % 4), c(rq, method, min_spearman) AS (VALUES ('RQ1', 'sbert', 0.5), ('RQ1', 'doc2vec', 0.0), ('RQ2', 'sbert', 0.6), ('RQ2', 'wordnet_lin', 0.2), ('RQ3', 'rag_centroid', 0.5), ('RQ3', 'sbert', 0.5)) SELECT rq, dataset, method, round(s, 6) AS spearman, min_spearman::DOUBLE AS min_spearman, s >= min_spearman AS met FROM r JOIN c USING (method)",
     "questions_methods": "SELECT * FROM (VALUES ('RQ1', 'sbert'), ('RQ1', 'doc2vec'), ('RQ2', 'wordnet_lin'), ('RQ2', 'sbert'), ('RQ2', 'tfidf'), ('RQ3', 'sbert'), ('RQ3', 'tfidf'), ('RQ3', 'rag_centroid')) AS v(rq, method)",
     "history_current": "SELECT event_type AS dataset, arg_max(event_id, row(ts, event_id)) AS id, arg_max(value, row(ts, event_id)) AS spearman, max(ts) AS ts, min(ts) AS created_at FROM events GROUP BY 1",

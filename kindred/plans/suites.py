@@ -24,6 +24,10 @@ def ensemble_units(spark, folder):
     return rounded(SU.unit_pairs(D.vectors(spark, folder)), "score")
 
 
+def ensemble_domains(spark, folder):
+    return rounded(SU.domain_ensemble(D.vectors(spark, folder)), "similarity")
+
+
 def embedded_terms(spark, folder):
     """A provider that encodes a term by its length and its first letter."""
     terms = D.terms(spark, folder).select("term").distinct()
@@ -40,7 +44,7 @@ def benchmark_matrix(spark, folder):
     """The matrix of every data set's methods, filled from events."""
     e = D.history(spark, folder).groupBy((F.col("id") % 3).alias("d"), (F.col("id") % 5).alias("m")).agg((F.avg("spearman") / 100).alias("spearman"))
     name = lambda words, key: F.element_at(F.array(*(F.lit(w) for w in words)), (F.col(key) + 1).cast("int"))
-    results = e.select(name(("hj-rg", "simlex999_rus", "simlex999"), "d").alias("dataset"), name(("sbert", "wordnet_lin", "hybrid", "lda", "doc2vec"), "m").alias("method"), "spearman")
+    results = e.select(name(("hj-rg", "simlex999_rus", "simlex999"), "d").alias("dataset"), name(("sbert", "wordnet_lin", "hybrid", "lda", "wordnet_lin_en"), "m").alias("method"), "spearman")
     return rounded(SU.suite_matrix(results), "value")
 
 
@@ -60,14 +64,15 @@ def topics_mixtures(spark, folder):
 
 GRAMS = "tg AS (SELECT vec_id::VARCHAR AS term, label AS domain FROM embeddings), gp AS (SELECT DISTINCT domain, term, substr(term, i, n) AS gram FROM (SELECT domain, term, n, unnest(generate_series(1, length(term) - n + 1)) AS i FROM tg, (VALUES (2), (3)) AS g(n) WHERE length(term) >= n)), gz AS (SELECT domain, count(*) AS n FROM tg GROUP BY 1), gw AS (SELECT domain, gram, count(*) / any_value(gz.n) AS w FROM gp JOIN gz USING (domain) GROUP BY domain, gram), gn AS (SELECT domain, sqrt(sum(w * w)) AS n FROM gw GROUP BY 1), gd AS (SELECT a.domain AS domain1, b.domain AS domain2, sum(a.w * b.w) AS d FROM gw a JOIN gw b ON a.gram = b.gram AND a.domain < b.domain GROUP BY ALL), gs AS (SELECT x.domain AS domain1, y.domain AS domain2, coalesce(d, 0) / (x.n * y.n) AS score FROM gn x JOIN gn y ON x.domain < y.domain LEFT JOIN gd ON gd.domain1 = x.domain AND gd.domain2 = y.domain)"
 EDGE = "domain1::VARCHAR AS source, domain2::VARCHAR AS target"
-RU = "('sbert'), ('sbert_tfidf'), ('sbert_zscore'), ('wordnet_lin'), ('wordnet_wup'), ('hybrid'), ('bertopic'), ('doc2vec'), ('lda')"
+RU = "('sbert'), ('sbert_tfidf'), ('sbert_zscore'), ('wordnet_lin'), ('wordnet_wup'), ('hybrid')"
 
 SQL = {
     "graph_by_method": f"WITH {PAIRS}, {GRAMS} SELECT {EDGE}, round({SCORE}, 6) AS weight, 'similarity' AS type, 'sbert' AS method FROM p WHERE {SCORE} >= 0.1 UNION ALL SELECT {EDGE}, round(score, 6), 'similarity', 'tfidf' FROM gs WHERE score >= 0.1 UNION ALL SELECT {EDGE}, round(dot * 0.7 + score * 0.3, 6), 'similarity', 'ensemble' FROM p JOIN gs USING (domain1, domain2) WHERE dot * 0.7 + score * 0.3 >= 0.1",
     "ensemble_units": f"WITH {PAIRS} SELECT domain1, domain2, round(dot / (na * nb), 6) AS score FROM p",
+    "ensemble_domains": f"WITH {PAIRS}, {GRAMS} SELECT domain1, domain2, round(dot / (na * nb), 4) AS sbert_score, round(score, 4) AS tfidf_score, round(dot / (na * nb) * 0.8334 + score * 0.1666, 6) AS similarity FROM p JOIN gs USING (domain1, domain2)",
     "embedded_terms": "SELECT DISTINCT p_name AS term, length(p_name) AS size, ascii(p_name) AS first FROM part",
     "pooled_vectors": f"WITH {LONG} SELECT domain, i, round(avg(v), 6) AS value FROM long WHERE term % 2 = 0 GROUP BY ALL",
-    "benchmark_matrix": f"WITH k AS (SELECT 'hj-rg' AS dataset, m AS method FROM (VALUES {RU}) AS t(m) UNION ALL SELECT 'simlex999_rus', m FROM (VALUES {RU}) AS t(m) UNION ALL SELECT 'simlex999', m FROM (VALUES ('sbert'), ('wordnet_lin'), ('wordnet_wup')) AS t(m)), r AS (SELECT ['hj-rg', 'simlex999_rus', 'simlex999'][event_id % 3 + 1] AS dataset, ['sbert', 'wordnet_lin', 'hybrid', 'lda', 'doc2vec'][event_id % 5 + 1] AS method, avg(value) / 100 AS s FROM events GROUP BY event_id % 3, event_id % 5) SELECT dataset, method, round(s, 6) AS value FROM k LEFT JOIN r USING (dataset, method)",
+    "benchmark_matrix": f"WITH k AS (SELECT 'hj-rg' AS dataset, m AS method FROM (VALUES {RU}) AS t(m) UNION ALL SELECT 'simlex999_rus', m FROM (VALUES {RU}) AS t(m) UNION ALL SELECT 'simlex999', m FROM (VALUES ('sbert'), ('wordnet_lin_en'), ('wordnet_wup_en')) AS t(m)), r AS (SELECT ['hj-rg', 'simlex999_rus', 'simlex999'][event_id % 3 + 1] AS dataset, ['sbert', 'wordnet_lin', 'hybrid', 'lda', 'wordnet_lin_en'][event_id % 5 + 1] AS method, avg(value) / 100 AS s FROM events GROUP BY event_id % 3, event_id % 5) SELECT dataset, method, round(s, 6) AS value FROM k LEFT JOIN r USING (dataset, method) WHERE method IN (SELECT method FROM r)",
 }
 #: Seeded methods of Spark ML have no SQL.
 QUERIES = {name: globals()[name] for name in (*SQL, "topics_clustered", "topics_documents", "topics_mixtures")}

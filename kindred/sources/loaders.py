@@ -127,11 +127,11 @@ def article_documents(articles: DataFrame, domain: Column) -> DataFrame:
 
 
 def resumed_terms(spark: SparkSession, path: str) -> DataFrame:
-    """Terms of an earlier harvest: each line cut at its first two commas; an unreadable frequency is 1; one row for
-    each term."""
+    """Terms of an earlier harvest: each line of three fields or more is cut at its first two commas; an unreadable
+    frequency is 1; of lines with one term the last one counts."""
     parts = F.split("value", ",", 3)
-    rows = spark.read.text(path).filter(F.size(parts) >= 2).select(F.trim(parts[0]).alias("term"), F.trim(parts[1]).alias("domain"), F.coalesce(F.expr("try_cast(trim(get(split(value, ',', 3), 2)) AS int)"), F.lit(1)).alias("frequency"))
-    return rows.filter((F.col("term") != "term") & (F.col("term") != "")).groupBy("term").agg(F.min("domain").alias("domain"), F.max("frequency").alias("frequency"))
+    rows = spark.read.text(path).filter(F.size(parts) == 3).select(F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_at"), F.trim(parts[0]).alias("term"), F.trim(parts[1]).alias("domain"), F.coalesce(F.expr("try_cast(trim(get(split(value, ',', 3), 2)) AS int)"), F.lit(1)).alias("frequency"))
+    return rows.filter((F.col("term") != "term") & (F.col("term") != "")).groupBy("term").agg(F.max_by("domain", "_at").alias("domain"), F.max_by("frequency", "_at").alias("frequency"))
 
 
 def dataset_catalogue(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

@@ -35,8 +35,7 @@ def read_pairs(spark: SparkSession, path: str, method: str | None = None) -> Dat
 
 
 def clear_pairs(spark: SparkSession, path: str, method: str | None = None) -> int:
-    """Delete one method's scores, or all; returns how many rows went. Others are rewritten beside and put in place
-    by dynamic partition overwrite."""
+    """Delete one method's scores, or all, by the folders they lie in; returns how many rows went."""
     rows = spark.read.schema(PAIR_SCHEMA).parquet(path)
     gone = rows if method is None else rows.filter(F.col("method") == method)
     count = gone.count()
@@ -115,6 +114,25 @@ def write_terms(terms: DataFrame, path: str) -> None:
     out.write.mode("overwrite").csv(path, header=True)
 
 
+def write_domain_terms(terms: DataFrame, path: str) -> None:
+    """All columns as JSON and term, domain and frequency as CSV, a folder for each domain, most frequent terms first."""
+    own = terms.withColumn("_domain", F.col("domain")).repartition("_domain").sortWithinPartitions("_domain", F.desc("frequency"), "term")
+    own.write.mode("overwrite").partitionBy("_domain").json(f"{path}/full")
+    own.select("term", "domain", "frequency", "_domain").write.mode("overwrite").partitionBy("_domain").csv(f"{path}/minimal", header=True)
+
+
+def extended_corpus(terms: DataFrame, more: DataFrame, least: int = 100, force: bool = False) -> DataFrame:
+    """`term, place`: the distinct terms of `terms` (`term, place`) in their order, then terms of `more` that are not
+    among them: up to `least` in all, or every one with `force`. The limit is the operation's own."""
+    own = terms.groupBy("term").agg(F.min("place").cast("long").alias("place"))
+    n, last = own.agg(F.count("*"), F.max("place")).first()
+    if n >= least and not force:
+        return own
+    unseen = more.groupBy("term").agg(F.min("place").cast("long").alias("place")).join(own, "term", "left_anti")
+    added = unseen if force else unseen.orderBy("place", "term").limit(least - n)
+    return own.unionByName(added.withColumn("place", F.col("place") + ((last or 0) + 1)))
+
+
 def combined_terms(*harvests: DataFrame) -> DataFrame:
     """The harvests' terms, one row for each term and domain: of the earliest harvest, there the most frequent."""
     out = None
@@ -127,3 +145,9 @@ def combined_terms(*harvests: DataFrame) -> DataFrame:
 def result_table(results: DataFrame) -> DataFrame:
     """`line`: the results as rows of a Markdown table, four decimals."""
     return results.orderBy("method").select(F.format_string("| %s | %.4f | %.4f | %.4f | %d |", "method", "spearman", "pearson", "mse", "missing").alias("line"))
+
+
+def result_report(results: DataFrame, dataset: str, size: int, seconds: float) -> str:
+    """The results of a data set, a row for each method, as Markdown with its header."""
+    head = [f"## Results: {dataset}", f"(n={size}, time={seconds:.1f}s)", "", "| Method | Spearman | Pearson | MSE | Missing |", "|-|-|-|-|-|"]
+    return "\n".join([*head, *(r["line"] for r in result_table(results).collect())])

@@ -30,14 +30,22 @@ def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def upsert_into(path: str, task: str = "task_id"):
-    """A `foreachBatch` function that keeps the latest state of each task in a Parquet folder, one version a batch."""
+def upsert_into(path: str, task: str = "task_id", order: str | None = None):
+    """A `foreachBatch` function that keeps the latest state of each task in a Parquet folder, one version a batch. Of a
+    task's rows in a batch the one with the largest `order` counts. A batch follows the newest version before it."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = None
-        if number > 0:
-            before = spark.read.parquet(f"{path}/v{number - 1}")
+        if order is not None:
+            newest = F.max_by(F.struct(*batch.columns), order).alias("s")
+            batch = batch.groupBy(task).agg(newest).select("s.*")
+        else:
+            batch = batch.dropDuplicates([task])
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+        versions = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and int(n[1:]) < number]
+        before = spark.read.parquet(f"{path}/v{max(versions)}") if versions else None
         rows = batch if before is None else before.join(batch.select(task), task, "left_anti").unionByName(batch)
         rows.write.mode("overwrite").parquet(f"{path}/v{number}")
 

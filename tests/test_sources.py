@@ -90,6 +90,49 @@ def test_upserts(spark, tmp_path):
     assert {(r["task_id"], r["status"]) for r in spark.read.parquet(str(tmp_path / "state/v1")).collect()} == {(1, "running"), (2, "done")}
 
 
+def test_upserts_take_the_newest_row(spark, tmp_path):
+    write = P.upsert_into(str(tmp_path / "state"), order="t")
+    write(spark.createDataFrame([(1, 5, "done"), (1, 3, "running")], "task_id int, t int, status string"), 4)
+    write(spark.createDataFrame([(2, 1, "running")], "task_id int, t int, status string"), 7)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "state/v7")).collect())) == [(1, 5, "done"), (2, 1, "running")]
+
+
+def test_the_last_line_of_a_term_counts(spark, tmp_path):
+    path = write(tmp_path / "t.csv", "term,domain,frequency\na,x,9\nb,y\na,w,2\nc,z,many\n")
+    assert sorted(map(tuple, LD.resumed_terms(spark, path).collect())) == [("a", "w", 2), ("c", "z", 1)]
+
+
+def test_domain_exports_and_report(spark, tmp_path):
+    ST.write_domain_terms(LD.terms_of(spark, [("a", "x", 1), ("b", "x", 5), ("c", "y/z", 2)]), str(tmp_path))
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "minimal"), header=True).select("term", "domain").collect())) == [("a", "x"), ("b", "x"), ("c", "y/z")]
+    assert [r["term"] for r in spark.read.json(str(tmp_path / "full/_domain=x")).collect()] == ["b", "a"]
+    results = spark.createDataFrame([("sbert", 0.5, 0.25, 0.125, 3)], "method string, spearman double, pearson double, mse double, missing long")
+    lines = ST.result_report(results, "hj-rg", 65, 1.25).splitlines()
+    assert lines[0].endswith("hj-rg") and lines[-1] == "| sbert | 0.5000 | 0.2500 | 0.1250 | 3 |"
+
+
+def test_extended_corpus(spark):
+    some = lambda names: spark.createDataFrame(list(enumerate(names)), "place long, term string")
+    listed = lambda df: [r["term"] for r in df.orderBy("place").collect()]
+    assert listed(ST.extended_corpus(some(["z", "a"]), some(["a", "b", "c", "d"]), least=4)) == ["z", "a", "b", "c"]
+    assert listed(ST.extended_corpus(some(["z", "a"]), some(["b"]), least=2)) == ["z", "a"]
+    assert listed(ST.extended_corpus(some(["z", "a"]), some(["a", "b"]), least=2, force=True)) == ["z", "a", "b"]
+
+
+def test_methods_of_data_sets():
+    from kindred.operators import metrics as M
+
+    assert [len(M.methods_of(d)) for d in ("hj-rg", "simlex999_rus", "simlex999", "other")] == [9, 9, 6, 1]
+
+
+def test_terms_by_a_condition_on_words(spark):
+    from kindred.operators import harvest as H
+
+    docs = spark.createDataFrame([(i, "d", "red apples grow" + " here" * (i % 2)) for i in range(8)], "doc_id long, domain string, text string")
+    found = H.extracted_terms(docs, min_df=1, max_df=1.0, content=lambda w: w != "grow")
+    assert {r["term"] for r in found.collect()} == {"red", "apples", "here", "red apples", "apples here", "red apples here"}
+
+
 def test_seeded_topics(spark, folder):
     from kindred.operators import metrics as M
     from kindred.operators import topics as TP
