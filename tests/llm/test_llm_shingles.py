@@ -133,3 +133,22 @@ def test_five_hundred_planted_copies(spark):
     bases = [[f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 260))] for _ in range(100)]
     texts = [" ".join(b) for b in bases] + [edited(rng, b, len(b) // 60) for b in bases for _ in range(5)]
     assert components_match(spark, texts) > 500
+
+
+def test_a_star_of_copies_amid_texts_with_its_passage(spark):
+    """Copies alike to their original only, which has no small id, and texts that share most words but are not alike."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for k in range(120):
+        near = list(base)
+        for at in rng.sample(range(60), 2):
+            near[at] = f"x{k}-{at}"
+        texts.append(" ".join(near))
+        texts.append(" ".join(base[:44] + [f"y{k}-{i}" for i in range(rng.randrange(8, 24))]))
+    texts.insert(150, " ".join(base))
+    sets = [set(shingles.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    wanted = {(a, b) for b in range(len(texts)) for a in range(b) if cosine(sets[a], sets[b]) >= 0.8}
+    found = shingles.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = {(r["a"], r["b"]) for r in found.collect()}
+    assert rows <= wanted and parts(rows, len(texts)) == parts(wanted, len(texts))
