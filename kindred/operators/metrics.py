@@ -10,38 +10,63 @@ from pyspark.sql import functions as F
 from kindred.functions import numbers as N
 from kindred.functions import text as X
 from kindred.functions import vectors as V
+from kindred.operators.ranks import average_ranks
+from kindred.stores.lineage import kept
 
 
 def with_vectors(pairs: DataFrame, vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """The pairs with both words' vectors, null where a word has none."""
+    """The pairs (`word1, word2, human_score`, repeated ones too) with both words' vectors, null where a word has none.
+    Words meet the vectors in one join, whichever side of a pair they are on."""
     one = vectors.groupBy("term").agg(F.min(V.as_doubles(F.col(vector))).alias("_v"))
-    out = pairs.join(one.select(F.col("term").alias("word1"), F.col("_v").alias("vector1")), "word1", "left")
-    return out.join(one.select(F.col("term").alias("word2"), F.col("_v").alias("vector2")), "word2", "left")
+    own = pairs.groupBy("word1", "word2", "human_score").agg(F.count("*").alias("_n"))
+    pair = F.struct("word1", "word2", "human_score", "_n").alias("_p")
+    sides = own.select(pair, F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col("word1").alias("term")), F.struct(F.lit(2).alias("k"), F.col("word2").alias("term")))).alias("_s"))
+    met = sides.select("_p", "_s.k", "_s.term").join(one, "term", "left")
+    both = met.groupBy("_p").agg(*(F.max(F.when(F.col("k") == k, F.col("_v"))).alias(f"vector{k}") for k in (1, 2)))
+    return both.select("_p.word1", "_p.word2", "_p.human_score", "vector1", "vector2", F.explode(F.array_repeat(F.lit(0), F.col("_p._n").cast("int"))).alias("_0")).drop("_0")
 
 
 def predictions(rows: DataFrame, method: str, score: Column) -> DataFrame:
     return rows.select(F.lit(method).alias("method"), "word1", "word2", "human_score", score.cast("double").alias("score"))
 
 
+def predictions_by(rows: DataFrame, scores: dict[str, Column]) -> DataFrame:
+    """Predictions of several methods from one frame of pairs, in one pass over it."""
+    each = F.array(*(F.struct(F.lit(m).alias("method"), c.cast("double").alias("score")) for m, c in scores.items()))
+    return rows.select("word1", "word2", "human_score", F.explode(each).alias("_m")).select("_m.method", "word1", "word2", "human_score", "_m.score")
+
+
+def cosine_of(rows: DataFrame) -> Column:
+    """The cosine of `vector1` and `vector2`, null where one is missing."""
+    return F.when(F.col("vector1").isNotNull() & F.col("vector2").isNotNull(), V.cosine(F.col("vector1"), F.col("vector2")))
+
+
+def vector_scores(cosine: Column, weight: Column | None = None) -> dict[str, Column]:
+    """The vector methods' scores: the shifted cosine; the cosine weighted by the words' idf (without one half the
+    cosine); the logistic curve over the cosine."""
+    return {"sbert": N.half_shift(cosine), "sbert_tfidf": N.clip01(cosine * (0.5 + 0.5 * (F.lit(0.0) if weight is None else weight))), "sbert_zscore": N.logistic_score(cosine)}
+
+
+def idf_weight(rows: DataFrame, idf: DataFrame) -> DataFrame:
+    """The rows with `_weight`: the mean of both words' idf, scaled to [0, 1] over all terms; a word without one has the
+    least."""
+    idf = kept(idf.select("term", "idf"))
+    span = idf.agg(F.min("idf").alias("_low"), F.max("idf").alias("_high"))
+    for k in ("1", "2"):
+        rows = rows.join(idf.select(F.col("term").alias(f"word{k}"), F.col("idf").alias(f"_i{k}")), f"word{k}", "left")
+    rows = rows.join(F.broadcast(span))  # of one row
+    scaled = [F.coalesce(F.try_divide(F.coalesce(f"_i{k}", "_low") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)) for k in ("1", "2")]
+    return rows.withColumn("_weight", (scaled[0] + scaled[1]) / 2).drop("_i1", "_i2", "_low", "_high")
+
+
 def vector_methods(pairs: DataFrame, vectors: DataFrame, idf: DataFrame | None = None) -> DataFrame:
-    """Predictions of the vector methods: the shifted cosine; the cosine weighted by the words' idf (0 where `idf` is
-    not given, so half the cosine); the logistic curve over the cosine. A word without a vector makes a pair missing."""
+    """Predictions of the vector methods, all from one join of pairs and vectors. A word without a vector makes a pair
+    missing; without `idf` the idf method takes half the cosine."""
     rows = with_vectors(pairs, vectors)
-    cosine = F.when(F.col("vector1").isNotNull() & F.col("vector2").isNotNull(), V.cosine(F.col("vector1"), F.col("vector2")))
-    rows = rows.withColumn("_cos", cosine)
-    weight: Column = F.lit(0.0)
+    rows = rows.select("word1", "word2", "human_score", cosine_of(rows).alias("_cos"))
     if idf is not None:
-        span = idf.agg(F.min("idf").alias("_low"), F.max("idf").alias("_high"))
-        for k in ("1", "2"):
-            rows = rows.join(idf.select(F.col("term").alias(f"word{k}"), F.col("idf").alias(f"_i{k}")), f"word{k}", "left")
-        rows = rows.join(F.broadcast(span))  # of one row
-        scaled = [F.coalesce(F.try_divide(F.coalesce(f"_i{k}", "_low") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)) for k in ("1", "2")]
-        weight = (scaled[0] + scaled[1]) / 2
-    return (
-        predictions(rows, "sbert", N.half_shift(F.col("_cos")))
-        .unionByName(predictions(rows, "sbert_tfidf", N.clip01(F.col("_cos") * (0.5 + 0.5 * weight))))
-        .unionByName(predictions(rows, "sbert_zscore", N.logistic_score(F.col("_cos"))))
-    )
+        rows = idf_weight(rows, idf)
+    return predictions_by(rows, vector_scores(F.col("_cos"), None if idf is None else F.col("_weight")))
 
 
 def hybrid(sbert: DataFrame, lin: DataFrame) -> DataFrame:
@@ -54,23 +79,18 @@ def evaluated(scores: DataFrame, by: tuple[str, ...] = ("method",)) -> DataFrame
     """`by..., spearman, pearson, mse, missing, predictions_count` of `score` against `human_score`.
 
     Null and NaN scores count as missing. Under two predictions, or with a constant side, the three are 0, 0 and 1.
-    Ranks share their mean at ties. They are taken from counts of distinct values, so that rows of a method do not meet
-    in one task before they are counted."""
+    Ranks share their mean at ties. They are those of the distinct values, by ranges (`ranks.average_ranks`), so that a
+    method's rows never meet in one task. The predictions are computed once and kept."""
     by = list(by)
-    valid = scores.filter(F.col("score").isNotNull() & ~F.isnan("score")).select(*by, "score", "human_score")
-    ranked = valid
-    from pyspark.sql import Window as W
-
+    scores = kept(scores.select(*by, F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double")).alias("score"), "human_score"))
+    ranked = valid = scores.filter(F.col("score").isNotNull())
     for value, name in (("score", "_rs"), ("human_score", "_rh")):
-        counts = valid.groupBy(*by, value).agg(F.count("*").alias("_n"))
-        before = F.sum("_n").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1))
-        ranks = counts.select(*by, value, (F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
-        ranked = ranked.join(ranks, [*by, value])
+        ranked = ranked.join(average_ranks(valid, value, *by, name=name), [*by, value])
     found = ranked.groupBy(*by).agg(
         F.count("*").alias("_n"), N.safe_pearson(F.col("_rs"), F.col("_rh")).alias("_spearman"), N.safe_pearson(F.col("score"), F.col("human_score")).alias("_pearson"),
         F.avg(F.pow(F.col("score") - F.col("human_score"), F.lit(2.0))).alias("_mse"), F.stddev_pop("score").alias("_s1"), F.stddev_pop("human_score").alias("_s2"),
     )
-    totals = scores.groupBy(*by).agg(F.count_if(F.col("score").isNull() | F.isnan("score")).alias("missing"))
+    totals = scores.groupBy(*by).agg(F.count_if(F.col("score").isNull()).alias("missing"))
     fine = (F.col("_n") >= 2) & (F.col("_s1") > 0) & (F.col("_s2") > 0)
     return totals.join(found, by, "left").select(
         *by, F.when(fine, F.col("_spearman")).otherwise(0.0).alias("spearman"), F.when(fine, F.col("_pearson")).otherwise(0.0).alias("pearson"),
@@ -82,24 +102,24 @@ def rank_ensemble(scores: DataFrame, weights: dict[str, float] | None = None, it
     """`item, score` in [0, 1]: each method's scores as average ranks, z-scored, scaled to [0, 1] (0.5 where constant)
     and summed by weight, equal ones by default. `scores` is `method, item, score`.
 
-    Every method must score every item, and weights must be given for each method or for none."""
-    methods = sorted(r["method"] for r in scores.select("method").distinct().collect())  # names of methods
+    Every method must score every item, and weights must be given for each method or for none. The scores are computed
+    once and kept; ranks are by ranges, and the least and largest of a method come from one aggregate."""
+    scores = kept(scores.select("method", item, "score"))
+    counts = {r["method"]: r["n"] for r in scores.groupBy("method").agg(F.countDistinct(item).alias("n")).collect()}  # a row a method
+    methods = sorted(counts)
     if weights is not None and set(weights) != set(methods):
         raise ValueError(f"weights are needed for {methods}")
     if not methods:
         return scores.select(item, "score")
-    counts = {r["n"] for r in scores.groupBy("method").agg(F.countDistinct(item).alias("n")).collect()}
-    if len(counts) > 1:
+    if len(set(counts.values())) > 1:
         raise ValueError("all methods must score the same items")
     whole = sum(weights.values()) if weights else float(len(methods))
     share = F.create_map(*(F.lit(x) for m in methods for x in (m, (weights[m] if weights else 1.0) / whole)))
-    from pyspark.sql import Window as W
-
-    values = scores.groupBy("method", "score").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.partitionBy("method").orderBy("score").rowsBetween(W.unboundedPreceding, -1))
-    ranks = values.select("method", "score", (F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2).alias("_rank"))
-    scaled = ranks.withColumn("_x", N.min_max(F.col("_rank"), W.partitionBy("method")))
-    return scores.join(scaled, ["method", "score"]).groupBy(item).agg(F.sum(F.col("_x") * share[F.col("method")]).alias("score"))
+    ranks = average_ranks(scores, "score", "method", name="_rank")
+    span = ranks.groupBy("method").agg(F.min("_rank").alias("_low"), F.max("_rank").alias("_high"))
+    scaled = F.coalesce(F.try_divide(F.col("_rank") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.5))
+    ranks = ranks.join(F.broadcast(span), "method").select("method", "score", (scaled * share[F.col("method")]).alias("_x"))  # a row a method
+    return scores.join(ranks, ["method", "score"]).groupBy(item).agg(F.sum("_x").alias("score"))
 
 
 def method_matrix(results: DataFrame, datasets: list[str], value: str = "spearman") -> DataFrame:

@@ -26,12 +26,15 @@ def before(sums: DataFrame, value: str, *by: str) -> DataFrame:
     return sums.select(*by, "_range", F.coalesce(F.sum(value).over(earlier), F.lit(0)).alias("_start"))
 
 
-def placed(rows: DataFrame, *order: str | Column, name: str = "place") -> DataFrame:
-    """`rows` with their place in the order, 1, 2, 3 and so on. Rows that tie in all of `order` come in any order, and
-    in one task: end the order with what tells rows apart."""
-    ranged = in_ranges(rows, *order)
-    starts = before(ranged.groupBy("_range").agg(F.count("*").alias("_n")), "_n")
-    return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_range", "_at", "_start")  # a row for each range
+def placed(rows: DataFrame, *order: str | Column, by: tuple[str, ...] = (), name: str = "place") -> DataFrame:
+    """`rows` with their place in the order, 1, 2, 3 and so on, among all rows or those of their group. Rows that tie in
+    all of `order` come in any order, and in one task: end the order with what tells rows apart."""
+    ranged = in_ranges(rows, *by, *order)
+    stretches = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    starts = before(stretches, "_n", *by).join(stretches.select(*by, "_range", "_first"), [*by, "_range"])
+    if not by:
+        starts = F.broadcast(starts)  # a row for each range
+    return ranged.join(starts, [*by, "_range"]).withColumn(name, F.col("_start") + F.col("_at") - F.col("_first") + 1).drop("_range", "_at", "_start", "_first")
 
 
 def average_ranks(rows: DataFrame, value: str, *by: str, name: str = "rank") -> DataFrame:

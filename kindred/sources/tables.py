@@ -30,9 +30,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def vector_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Each vector with the next one; human scores are 10 within a domain, else made up of the id."""
     own = vectors(spark, folder).select("term", "domain")
-    after = own.select((F.col("term") - 1).alias("term"), F.col("domain").alias("_d"))
-    score = F.when(F.col("domain") == F.col("_d"), 10.0).otherwise((F.col("term") * 7 % 10).cast("double"))
-    return own.join(after, "term").select(F.col("term").alias("word1"), (F.col("term") + 1).alias("word2"), score.alias("human_score"))
+    sides = own.select(F.explode(F.array(F.struct("term", F.col("domain").alias("a"), F.lit(None).alias("b")), F.struct((F.col("term") - 1).alias("term"), F.lit(None).alias("a"), F.col("domain").alias("b")))).alias("s"))
+    met = sides.select("s.*").groupBy("term").agg(F.max("a").alias("a"), F.max("b").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    score = F.when(F.col("a") == F.col("b"), 10.0).otherwise((F.col("term") * 7 % 10).cast("double"))
+    return met.select(F.col("term").alias("word1"), (F.col("term") + 1).alias("word2"), score.alias("human_score"))
 
 
 def term_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,6 +70,22 @@ def sense_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return s.join(after, "s_suppkey").select(F.col("s_name").alias("word1"), "word2")
 
 
+def supplier_pairs(spark: SparkSession, folder: str, *after: int) -> DataFrame:
+    """Each supplier with the ones that many numbers on; human scores are 10 within a nation, 6 within a region, else made
+    up of the number."""
+    s, n = read(spark, folder, "supplier"), read(spark, folder, "nation").select("n_nationkey", "n_regionkey")
+    own = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", F.struct("s_nationkey", "n_regionkey").alias("at"))  # 25 nations
+    there = own.select(F.explode(F.array(*(F.col("s_suppkey") - k for k in after))).alias("s_suppkey"), F.col("s_name").alias("word2"), F.col("at").alias("_at"))
+    score = F.when(F.col("at.s_nationkey") == F.col("_at.s_nationkey"), 10.0).when(F.col("at.n_regionkey") == F.col("_at.n_regionkey"), 6.0).otherwise((F.col("s_suppkey") * 7 % 5).cast("double"))
+    return own.join(there, "s_suppkey").select(F.col("s_name").alias("word1"), "word2", score.alias("human_score"))
+
+
+def supplier_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors that have a supplier's number, as the suppliers' own."""
+    s = read(spark, folder, "supplier").select(F.col("s_suppkey").cast("long").alias("vec_id"), F.col("s_name").alias("term"), F.col("s_nationkey").alias("domain"))
+    return s.join(read(spark, folder, "embeddings").select("vec_id", "embedding"), "vec_id").drop("vec_id")
+
+
 def progress(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "events").select("event_id", "ts", F.col("user_id").alias("task_id"), F.col("event_type").alias("status"), F.col("value").alias("progress"))
 
