@@ -9,9 +9,11 @@ from kindred.functions import vectors as V
 from kindred.operators import centroids as C
 from kindred.operators import graph as G
 from kindred.operators import knn as K
+from kindred.operators import metrics as M
 from kindred.operators import similarity as S
 from kindred.operators import taxonomy as T
 from kindred.sources import tables as D
+from kindred.stores.lineage import kept
 
 LONG = "long AS (SELECT vec_id AS term, label AS domain, unnest(generate_series(0, len(embedding) - 1)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
 CENT = f"{LONG}, m AS (SELECT domain, i, avg(v) AS c FROM long GROUP BY ALL)"
@@ -92,33 +94,30 @@ def graph_counts(spark, folder):
     return G.counts(*G.detailed(D.vectors(spark, folder), cosine_pairs(spark, folder), 0.0))
 
 
-def neighbours(spark, folder, k=5):
-    own = K.index(D.vectors(spark, folder))
+def neighbours(vectors, k=5):
+    own = K.index(vectors)
     return K.nearest(own, own, k)
 
 
 def knn(spark, folder):
-    return rounded(neighbours(spark, folder), "score")
+    return rounded(neighbours(D.vectors(spark, folder)), "score")
 
 
 def rag_domains(spark, folder):
-    v = D.vectors(spark, folder)
-    terms = K.augmented_terms(v, neighbours(spark, folder))
-    return rounded(S.domain_pairs(K.domain_means(v, terms)), "score")
+    v = kept(D.vectors(spark, folder))
+    return rounded(S.domain_pairs(K.domain_means(v, K.augmented_terms(v, neighbours(v)))), "score")
 
 
 def graph_rag_domains(spark, folder):
-    v = D.vectors(spark, folder)
-    terms = K.blended_terms(v, neighbours(spark, folder), 0.5)
-    return rounded(S.domain_pairs(K.domain_means(v, terms)), "score")
+    v = kept(D.vectors(spark, folder))
+    return rounded(S.domain_pairs(K.domain_means(v, K.blended_terms(v, neighbours(v), 0.5))), "score")
 
 
 def rag_pairs(spark, folder):
-    v = D.vectors(spark, folder)
-    terms = K.blended_terms(v, neighbours(spark, folder), 0.5)
-    a, b = (terms.select(F.col("term").alias(f"word{k}"), F.col("vector").alias(f"v{k}")) for k in (1, 2))
-    rows = D.vector_pairs(spark, folder).join(a, "word1").join(b, "word2")
-    return rounded(rows.select("word1", "word2", V.cosine(F.col("v1"), F.col("v2")).alias("score")), "score")
+    v = kept(D.vectors(spark, folder))
+    terms = K.blended_terms(v, neighbours(v), 0.5).select("term", F.col("vector").alias("embedding"))
+    rows = M.with_vectors(D.vector_pairs(spark, folder), terms).filter("vector1 IS NOT NULL AND vector2 IS NOT NULL")
+    return rounded(rows.select("word1", "word2", M.cosine_of(rows).alias("score")), "score")
 
 
 def rag_status(spark, folder):
