@@ -21,10 +21,10 @@ idea importance insight introduction journal literature novelty overview page pa
 reference remark review section statement summary survey table today topic volume year
 """.split()
 
-# English function words.
+# The default English stop set of Apache Lucene. A longer list is a parameter of those who have one.
 FUNCTION_WORDS = """
-a an the of in to for with on at by from as is was are were been be have has had do does did and or but if then else
-when where while i you he she it we they this that these those who which what also more most very just only so not no
+a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was
+will with
 """.split()
 
 # Names shown for method ids.

@@ -108,7 +108,7 @@ def harvest_terms(spark, folder):
 
 
 def harvest_terms_whole(spark, folder):
-    """Terms of up to three words; `harvest_terms` stops at two, as its SQL does."""
+    """Terms of up to three words; `harvest_terms` stops at two."""
     found = H.extracted_terms(D.documents(spark, folder))
     return rounded(found.select("domain", "term", "frequency", "tfidf_score"), "tfidf_score", places=5)
 
@@ -128,7 +128,7 @@ def harvest_tree(spark, folder):
 
 
 def harvest_tree_whole(spark, folder):
-    """With each order as a page of its own; `harvest_tree` folds them into 500, as its SQL does."""
+    """With each order as a page of its own; `harvest_tree` folds them into 500."""
     t = tree(spark, folder, "o_orderkey")
     start = t.filter("kind = 'subcat'").select(F.col("category").alias("domain"), "category").distinct()
     return H.tree_pages(t, start, 2, 40)
@@ -168,8 +168,11 @@ def listed(words) -> str:
     return ", ".join(f"'{w}'" for w in sorted(set(words)))
 
 
-HARVEST = f"""WITH c AS (SELECT doc_id, lang AS domain, list_filter(regexp_extract_all({CLEAN}, '[a-zA-Z][a-zA-Z]+'), lambda x: x NOT IN ({listed(X.FUNCTION_WORDS)})) AS w FROM documents),
-one AS (SELECT domain, doc_id, unnest(w) AS term FROM c UNION ALL SELECT domain, doc_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) FROM c WHERE len(w) >= 2),
+def harvest_sql(words: int) -> str:
+    """Terms of up to two or three words."""
+    three = " UNION ALL SELECT domain, doc_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM c WHERE len(w) >= 3" if words == 3 else ""
+    return f"""WITH c AS (SELECT doc_id, lang AS domain, list_filter(regexp_extract_all({CLEAN}, '[a-zA-Z][a-zA-Z]+'), lambda x: x NOT IN ({listed(X.FUNCTION_WORDS)})) AS w FROM documents),
+one AS (SELECT domain, doc_id, unnest(w) AS term FROM c UNION ALL SELECT domain, doc_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) FROM c WHERE len(w) >= 2{three}),
 t AS (SELECT domain, doc_id, term, count(*) AS tf FROM one GROUP BY ALL), n AS (SELECT lang AS domain, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1),
 f AS (SELECT domain, term, count(*) AS df, sum(tf) AS total, any_value(n) AS n FROM t JOIN n USING (domain) GROUP BY domain, term HAVING count(*) >= 3 AND count(*) <= 0.8 * any_value(n)),
 v AS (SELECT domain, term, df, n, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY total DESC, term) AS p FROM f) WHERE p <= 10000),
@@ -194,12 +197,14 @@ SQL = {
     "text_tokens": f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({TOKEN}) AS token FROM documents) GROUP BY token",
     "text_preprocessed": f"SELECT item_id, array_to_string(list_filter({TOKEN}, lambda x: x NOT IN ('the', 'of', 'and')), ' ') AS words FROM benchmark",
     "text_cleaned": f"SELECT doc_id, sha256({CLEAN}) AS cleaned_sha256 FROM documents",
-    "harvest_terms": HARVEST,
+    "harvest_terms": harvest_sql(2),
+    "harvest_terms_whole": harvest_sql(3),
     "harvest_tree": "WITH e AS (SELECT DISTINCT 'P:' || o_orderpriority AS p, 'P:' || o_orderpriority || '/' || o_orderstatus AS s, 'order ' || (o_orderkey % 500)::VARCHAR AS page FROM orders), m AS (SELECT p, s, page, row_number() OVER (PARTITION BY s ORDER BY page) AS r FROM e) SELECT p AS domain, page, 1 AS depth, count(*) AS sightings FROM m WHERE r <= 40 GROUP BY ALL",
+    "harvest_tree_whole": "WITH e AS (SELECT DISTINCT 'P:' || o_orderpriority AS p, 'P:' || o_orderpriority || '/' || o_orderstatus AS s, 'order ' || o_orderkey::VARCHAR AS page FROM orders), m AS (SELECT p, s, page, row_number() OVER (PARTITION BY s ORDER BY page) AS r FROM e) SELECT p AS domain, page, 1 AS depth, count(*) AS sightings FROM m WHERE r <= 40 GROUP BY ALL",
     "harvest_combined": "SELECT p_name AS term, p_type AS domain, count(*) AS frequency FROM part GROUP BY ALL",
     "pairs_inverted": "SELECT p_name AS word1, p_brand AS word2, (SELECT max(p_size) FROM part)::DOUBLE - p_size AS human_score FROM part",
     "domain_names": "SELECT p_type AS domain, count(DISTINCT p_name) AS n_terms FROM part GROUP BY 1",
     "matrix_unpivoted": "SELECT o_orderpriority AS d1, s AS d2, nullif(count(*) FILTER (o_orderstatus = s), 0)::DOUBLE AS score FROM orders, (VALUES ('F'), ('O'), ('P')) AS v(s) GROUP BY ALL",
 }
-#: Those whose SQL covers a part of the job come whole too, without SQL.
-QUERIES = {name: globals()[name] for name in (*SQL, "harvest_terms_whole", "tfidf_most_similar_whole", "harvest_tree_whole")}
+#: The nearest texts of all names come without SQL.
+QUERIES = {name: globals()[name] for name in (*SQL, "tfidf_most_similar_whole")}
