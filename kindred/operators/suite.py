@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -19,6 +20,7 @@ from kindred.operators import lexical as L
 from kindred.operators import metrics as M
 from kindred.operators import similarity as S
 from kindred.operators import topics as TP
+from kindred.stores.lineage import kept
 
 Provider = Callable[[list[str]], list[list[float]]]
 _PROVIDERS: dict[str, Provider] = {}
@@ -45,47 +47,90 @@ def mean_pooled(tokens: DataFrame, by: str = "term", vector: str = "embedding",
     return C.mean_centroids(tokens.filter(F.col(mask) > 0), by, vector).withColumnRenamed("centroid", "embedding")
 
 
-def predictions_of(method: str, pairs: DataFrame, vectors: DataFrame, taxonomy: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Predictions of one method. `taxonomy` holds `word1, word2, score` frames for `lin` and `wup`; without one its
-    methods are missing everywhere."""
-    vector_methods = {"sbert", "sbert_tfidf", "sbert_zscore"}
-    if method in vector_methods:
-        return M.vector_methods(pairs, vectors).filter(F.col("method") == method)
-    if method in ("wordnet_lin", "wordnet_wup", "wordnet_lin_en", "wordnet_wup_en"):
-        found = (taxonomy or {}).get(method.removeprefix("wordnet_").removesuffix("_en"))
-        if found is None:
-            return TP.missing(pairs, method)
-        return M.predictions(pairs.join(found, ["word1", "word2"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))), method, F.col("score"))
-    if method == "hybrid":
-        sbert = M.vector_methods(pairs, vectors).filter("method = 'sbert'")
-        return M.hybrid(sbert, (taxonomy or {}).get("lin", sbert.select("word1", "word2", F.lit(0.0).alias("score"))))
-    if method == "bertopic":
-        return TP.clustered(pairs, vectors)
-    if method == "doc2vec":
-        return TP.document_vectors(pairs)
-    if method == "lda":
-        return TP.topic_mixtures(pairs)
-    raise ValueError(f"unknown method {method!r}")
-
-
-def run_suite(dataset: str, pairs: DataFrame, vectors: DataFrame, taxonomy: dict[str, DataFrame] | None = None, methods: tuple[str, ...] | None = None) -> DataFrame:
-    """`dataset, method, spearman, pearson, mse, missing, predictions_count` of a data set's methods."""
-    chosen = methods or M.methods_of(dataset)
-    rows = reduce(lambda a, b: a.unionByName(b), (predictions_of(m, pairs, vectors, taxonomy) for m in chosen))
-    return M.evaluated(rows).select(F.lit(dataset).alias("dataset"), "*")
-
-
-def run_suites(datasets: dict[str, DataFrame], vectors: DataFrame, taxonomy: dict[str, DataFrame] | None = None) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), (run_suite(k, p, vectors, taxonomy) for k, p in sorted(datasets.items())))
-
-
-def run_and_store(path: str, dataset: str, pairs: DataFrame, vectors: DataFrame, **options) -> DataFrame:
-    """Run a suite, append its rows to the Parquet history at `path` with the time it took, and return what is stored."""
-    began = time.time()
-    found = run_suite(dataset, pairs, vectors, **options)
-    run = f"{path}/run={int(began * 1000)}"
-    found.withColumn("created_at", F.current_timestamp()).write.parquet(run)
-    return found.sparkSession.read.parquet(run).withColumn("execution_time_sec", F.lit(time.time() - began))
+#: Methods that come from a seeded model; the others come from one pass over the pairs.
+SEEDED = ("bertopic", "doc2vec", "lda")
+TAXONOMY = {"wordnet_lin": "lin", "wordnet_wup": "wup", "wordnet_lin_en": "lin", "wordnet_wup_en": "wup"}
+
+
+def predictions_of(methods: tuple[str, ...], pairs: DataFrame, vectors: DataFrame, taxonomy: DataFrame | None = None, idf: DataFrame | None = None) -> DataFrame:
+    """`method, word1, word2, human_score, score` of several methods. Those without a model of their own share one join of
+    the pairs with `vectors` and one with `taxonomy`, and a pair's scores come as one array.
+
+    `taxonomy` is `word1, word2, lin, wup`; a pair that it lacks scores 0. Without one its methods are missing everywhere
+    and `hybrid` is the vector score."""
+    if unknown := sorted(set(methods) - {"sbert", "sbert_tfidf", "sbert_zscore", "hybrid", *TAXONOMY, *SEEDED}):
+        raise ValueError(f"unknown methods: {', '.join(unknown)}")
+    pairs, frames = pairs.select("word1", "word2", "human_score"), []
+    if plain := [m for m in methods if m not in SEEDED]:
+        rows = M.with_vectors(pairs, vectors)
+        rows = rows.select("word1", "word2", "human_score", M.cosine_of(rows).alias("_cos"))
+        if idf is not None:
+            rows = M.idf_weight(rows, idf)
+        measures = {k: F.lit(None).cast("double") for k in ("lin", "wup")}
+        if taxonomy is not None:
+            rows = rows.join(taxonomy.select("word1", "word2", F.col("lin").alias("_lin"), F.col("wup").alias("_wup")), ["word1", "word2"], "left")
+            measures = {k: F.coalesce(f"_{k}", F.lit(0.0)) for k in measures}
+        scores = M.vector_scores(F.col("_cos"), None if idf is None else F.col("_weight"))
+        scores |= {m: measures[k] for m, k in TAXONOMY.items()}
+        scores["hybrid"] = F.when(measures["lin"] > 0, (scores["sbert"] + measures["lin"]) / 2).otherwise(scores["sbert"])
+        frames.append(M.predictions_by(rows, {m: scores[m] for m in plain}))
+    models = {"bertopic": lambda: TP.clustered(pairs, vectors), "doc2vec": lambda: TP.document_vectors(pairs), "lda": lambda: TP.topic_mixtures(pairs)}
+    return reduce(DataFrame.unionByName, frames + [models[m]() for m in methods if m in SEEDED])
+
+
+def run_suite(dataset: str, pairs: DataFrame, vectors: DataFrame, taxonomy: DataFrame | None = None, methods: tuple[str, ...] | None = None, seeded: bool = True) -> DataFrame:
+    """`dataset, method, spearman, pearson, mse, missing, predictions_count` of a data set's methods, or of those given;
+    without those of seeded models, if not `seeded`."""
+    chosen = [m for m in methods or M.methods_of(dataset) if seeded or m not in SEEDED]
+    return M.evaluated(predictions_of(tuple(chosen), pairs, vectors, taxonomy)).select(F.lit(dataset).alias("dataset"), "*")
+
+
+def run_suites(datasets: dict[str, DataFrame], vectors: DataFrame, taxonomy: DataFrame | None = None, seeded: bool = True) -> DataFrame:
+    """The suites of several data sets in one frame. Vectors and taxonomy are computed once for all of them."""
+    vectors, taxonomy = kept(vectors), taxonomy if taxonomy is None else kept(taxonomy)
+    return reduce(DataFrame.unionByName, (run_suite(name, pairs, vectors, taxonomy, seeded=seeded) for name, pairs in sorted(datasets.items())))
+
+
+# The states that a job goes through, and how far it is in each.
+STATES = ((0, "Loading dataset"), (20, "Running experiments"), (90, "Formatting results"), (100, "Completed"))
+JOB_SCHEMA = "task_id string, dataset string, step int, progress int, status string, error string, ts timestamp"
+
+
+def job_states(spark: SparkSession, path: str) -> DataFrame:
+    """`task_id, dataset, step, progress, status, error, ts`: the last state of each job stored under `path`."""
+    rows = spark.read.schema(JOB_SCHEMA).parquet(f"{path}/jobs")
+    return rows.groupBy("task_id").agg(F.max_by(F.struct("dataset", "step", "progress", "status", "error", "ts"), F.struct("step", "ts")).alias("_s")).select("task_id", "_s.*")
+
+
+def stored_runs(spark: SparkSession, path: str) -> DataFrame:
+    """What the jobs under `path` stored: `task_id, dataset, method, spearman, ..., execution_time_sec, created_at`."""
+    return spark.read.parquet(f"{path}/results")
+
+
+def run_job(path: str, dataset: str, load: Callable[[], DataFrame], vectors: DataFrame, task_id: str | None = None, **options) -> str:
+    """Run a suite as a job and return its `task_id`. Its states are appended under `path`, as is its result, which is
+    seen once it is whole. `load` gives the pairs. A job that fails ends in the state `Failed` with the error's text and
+    stores no result; the job, not its caller, has failed, so nothing is raised."""
+    spark, task_id, began, at = vectors.sparkSession, task_id or uuid.uuid4().hex, time.time(), 0
+
+    def tell(step: int, progress: int, status: str, error: str | None = None) -> None:
+        row = spark.createDataFrame([(task_id, dataset, step, progress, status, error)], "task_id string, dataset string, step int, progress int, status string, error string")
+        row.withColumn("ts", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/jobs")
+
+    try:
+        tell(0, *STATES[0])
+        pairs = kept(load())
+        at = 1
+        tell(1, *STATES[1])
+        found = kept(run_suite(dataset, pairs, vectors, **options))
+        at = 2
+        tell(2, *STATES[2])
+        stamped = found.select(F.lit(task_id).alias("task_id"), "*", F.lit(time.time() - began).alias("execution_time_sec"), F.current_timestamp().alias("created_at"))
+        stamped.coalesce(1).write.mode("append").parquet(f"{path}/results")  # a row a method
+        tell(3, *STATES[3])
+    except Exception as error:  # whatever ends the job is its result
+        tell(len(STATES), STATES[at][0], "Failed", str(error).splitlines()[0] if str(error) else type(error).__name__)
+    return task_id
 
 
 def suite_matrix(results: DataFrame, value: str = "spearman") -> DataFrame:
@@ -125,15 +170,6 @@ def graph_by_method(method: str, vectors: DataFrame, threshold: float = 0.5, sho
     return G.detailed(vectors, pairs_by_method(method, vectors, **options), threshold, show_terms)
 
 
-def pair_similarity(vectors: DataFrame, a, b, metric: str = "cosine") -> float:
-    """The similarity of two domains."""
-    own = vectors.filter(F.col("domain").isin(a, b))
-    row = S.domain_pairs(C.mean_centroids(own), metric).first()
-    if row is None:
-        raise ValueError(f"two known domains are needed, not {a!r} and {b!r}")
-    return row["score"]
-
-
 def domain_ensemble(vectors: DataFrame, weights: tuple[float, float] = DEFAULT_WEIGHTS) -> DataFrame:
     """`domain1, domain2, sbert_score, tfidf_score, similarity`: dot products of unit means and n-gram similarities of the
     domains' terms, by weights scaled to sum 1."""
@@ -145,8 +181,3 @@ def unit_pairs(vectors: DataFrame) -> DataFrame:
     """Dot products of unit means, the vector part of the ensemble of two domains."""
     return S.domain_pairs(C.unit_centroids(vectors), "dot")
 
-
-def dataset_status(spark: SparkSession, results: DataFrame) -> DataFrame:
-    """`dataset, methods, done`: how many of each data set's methods have results."""
-    m = suite_matrix(results)
-    return m.groupBy("dataset").agg(F.count("*").alias("methods"), F.count("value").alias("done"))

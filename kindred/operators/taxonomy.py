@@ -6,6 +6,8 @@ synset; they are found once for all synsets by doubling-free level joins and reu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from kindred.functions import numbers as N
 from kindred.functions import vectors as V
 from kindred.operators.centroids import mean_centroids
+from kindred.stores.lineage import kept
 
 #: Steps of a chain at most.
 MOST_STEPS = 100
@@ -31,18 +34,17 @@ def first_parents(hypernyms: DataFrame) -> DataFrame:
 def chains(synsets: DataFrame, hypernyms: DataFrame, most: int = MOST_STEPS) -> DataFrame:
     """`synset_id, ancestor, steps`: each synset (0 steps) and those up its first-parent chain. A chain ends where it
     would meet itself again, or after `most` steps. `synsets` has a column `synset_id`."""
-    spark = synsets.sparkSession
-    parents = first_parents(hypernyms)
-    synsets.select("synset_id").distinct().createOrReplaceTempView("_kindred_synsets")
-    parents.createOrReplaceTempView("_kindred_parents")
-    return spark.sql(f"""
-        WITH RECURSIVE up (synset_id, ancestor, steps, path) MAX RECURSION LEVEL {most + 2} AS (
-          SELECT synset_id, synset_id, 0, array(synset_id) FROM _kindred_synsets
-          UNION ALL
-          SELECT u.synset_id, p.parent, u.steps + 1, u.path || array(p.parent)
-          FROM up u JOIN _kindred_parents p ON u.ancestor = p.child
-          WHERE NOT array_contains(u.path, p.parent) AND u.steps < {most}
-        ) SELECT synset_id, ancestor, steps FROM up""")
+    own = F.array("synset_id")
+    parents = kept(first_parents(hypernyms))
+    front = kept(synsets.select("synset_id").distinct().select("synset_id", F.col("synset_id").alias("ancestor"), F.lit(0).alias("steps"), own.alias("path")))
+    found = [front.drop("path")]
+    for step in range(1, most + 1):
+        up = front.join(parents, F.col("ancestor") == F.col("child")).filter(~F.array_contains("path", F.col("parent")))
+        front = kept(up.select("synset_id", F.col("parent").alias("ancestor"), F.lit(step).alias("steps"), F.concat("path", F.array("parent")).alias("path")))
+        if front.isEmpty():
+            break
+        found.append(front.drop("path"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def depths(chain: DataFrame) -> DataFrame:
@@ -71,20 +73,31 @@ def common_ancestors(pairs: DataFrame, chain: DataFrame, hypernyms: DataFrame, r
 def shortest_paths(pairs: DataFrame, hypernyms: DataFrame, most: int = 20) -> DataFrame:
     """`s1, s2, length` over all hypernym edges, both ways: 0 for a synset with itself, -1 where `most` steps find none.
 
-    The frontiers of all first synsets advance together, a join a level, and each keeps what it has not seen."""
-    from kindred.stores.lineage import kept
-
+    The search goes from both ends of each pair at once. Frontiers belong to synsets, not to pairs, so pairs that share an
+    end share its frontier, and each level is one join with the edges. The level of both ends rises in turn: after i levels
+    of the first and j of the second all pairs up to i + j apart have met. A pair that has met leaves, and with it the
+    frontiers that only it needed. So a search reaches half as deep as a path is long, and stops with the last open pair."""
     edges = kept(hypernyms.select(F.col("child").alias("a"), F.col("parent").alias("b")).union(hypernyms.select("parent", "child")).distinct())
     wanted = kept(pairs.select("s1", "s2").distinct())
-    seen = kept(wanted.select("s1", F.col("s1").alias("at")).distinct().withColumn("length", F.lit(0)))
-    front = seen
-    for step in range(1, most + 1):
-        front = kept(front.join(edges, F.col("at") == F.col("a")).select("s1", F.col("b").alias("at")).distinct().join(seen, ["s1", "at"], "left_anti").withColumn("length", F.lit(step)))
-        if front.isEmpty():
+    done = [kept(wanted.filter(F.col("s1") == F.col("s2")).withColumn("length", F.lit(0)))]
+    open_ = kept(wanted.filter(F.col("s1") != F.col("s2")))
+    sides, fronts = {}, {}
+    for k in ("s1", "s2"):
+        fronts[k] = sides[k] = kept(open_.select(F.col(k).alias("end"), F.col(k).alias("at")).distinct())
+    for length in range(1, most + 1):
+        k, other = ("s1", "s2") if length % 2 else ("s2", "s1")
+        if open_.isEmpty():
             break
-        seen = seen.unionByName(front)
-    found = seen.select("s1", F.col("at").alias("s2"), "length")
-    return wanted.join(found, ["s1", "s2"], "left").withColumn("length", F.coalesce("length", F.lit(-1)))
+        needed = open_.select(F.col(k).alias("end")).distinct()
+        steps = fronts[k].join(needed, "end", "left_semi").join(edges, F.col("at") == F.col("a")).select("end", F.col("b").alias("at")).distinct()
+        fronts[k] = kept(steps.join(sides[k], ["end", "at"], "left_anti"))
+        sides[k] = kept(sides[k].join(needed, "end", "left_semi").unionByName(fronts[k]))
+        # what is met for the first time now lies on both outermost levels
+        met = open_.join(fronts[k].select(F.col("end").alias(k), "at"), k).join(fronts[other].select(F.col("end").alias(other), "at"), [other, "at"], "left_semi").select("s1", "s2").distinct()
+        met = kept(met.withColumn("length", F.lit(length)))
+        done.append(met)
+        open_ = kept(open_.join(met, ["s1", "s2"], "left_anti"))
+    return reduce(DataFrame.unionByName, done).unionByName(open_.withColumn("length", F.lit(-1)))
 
 
 def synset_similarities(pairs: DataFrame, chain: DataFrame, hypernyms: DataFrame, ic: DataFrame, paths: DataFrame | None = None, roots_count: bool = False) -> DataFrame:
@@ -114,6 +127,17 @@ def term_similarities(pairs: DataFrame, senses: DataFrame, scores: DataFrame, al
     return out.join(scores.select("s1", "s2", F.col(algorithm).alias("_s")), ["s1", "s2"], "left").select("word1", "word2", F.coalesce("_s", F.lit(0.0)).alias("score"))
 
 
+def term_scores(pairs: DataFrame, senses: DataFrame, scores: DataFrame, *algorithms: str) -> DataFrame:
+    """`word1, word2` and a column for each algorithm, from scores of synset pairs in one join; 0 where a word has no
+    synset."""
+    first = kept(first_senses(senses))
+    out = pairs.select("word1", "word2", F.lower(F.trim("word1")).alias("_1"), F.lower(F.trim("word2")).alias("_2")).distinct()
+    for k in (1, 2):
+        out = out.join(first.select(F.col("term").alias(f"_{k}"), F.col("synset_id").alias(f"s{k}")), f"_{k}", "left")
+    found = scores.select("s1", "s2", *(F.col(a).alias(f"_s_{a}") for a in algorithms))
+    return out.join(found, ["s1", "s2"], "left").select("word1", "word2", *(F.coalesce(f"_s_{a}", F.lit(0.0)).alias(a) for a in algorithms))
+
+
 def sense_pairs(pairs: DataFrame, senses: DataFrame) -> DataFrame:
     """`s1, s2`: the distinct synset pairs of the words' first senses."""
     first = first_senses(senses)

@@ -60,8 +60,15 @@ def scores(spark, folder, pairs=None):
 def taxonomy_pairs(spark, folder):
     found = kept(scores(spark, folder))
     terms, senses = D.sense_pairs(spark, folder), D.senses(spark, folder)
-    frames = [T.term_similarities(terms, senses, found, a).select("word1", "word2", F.lit(a).alias("algorithm"), "score") for a in T.ALGORITHMS]
-    return rounded(reduce(lambda a, b: a.unionByName(b), frames), "score")
+    wide = T.term_scores(terms, senses, found, *T.ALGORITHMS)
+    return rounded(wide.unpivot(["word1", "word2"], list(T.ALGORITHMS), "algorithm", "score"), "score")
+
+
+def taxonomy_scores(spark, folder, pairs):
+    """`word1, word2, lin, wup` of pairs of suppliers."""
+    senses = D.senses(spark, folder)
+    found = T.synset_similarities(T.sense_pairs(pairs, senses), kept(chain(spark, folder)), D.hypernyms(spark, folder), T.contents(D.synsets(spark, folder), members(spark, folder)))
+    return T.term_scores(pairs, senses, found, "lin", "wup")
 
 
 def supplier_terms(spark, folder):
@@ -221,6 +228,11 @@ def progress_windows(spark, folder):
     return rounded(P.windowed(D.progress(spark, folder), "1 day"), "progress")
 
 
+def progress_live(spark, folder):
+    """Tasks that are listed when the last event comes: purchases and errors end a task, which stays a week more."""
+    return rounded(P.live_at(D.progress(spark, folder), finished=("purchase", "error"), seconds=7 * 86_400), "progress")
+
+
 def numbers_scaled(spark, folder):
     v = F.col("p_size").cast("double")
     p = D.read(spark, folder, "part")
@@ -273,6 +285,7 @@ SQL = {
     "store_fresh": "SELECT event_id AS id, event_type AS dataset FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 3 DAY",
     "progress_latest": "SELECT user_id AS task_id, max(ts) AS ts, arg_max(event_type, row(ts, event_id)) AS status, arg_max(value, row(ts, event_id)) AS progress, count(*) AS events FROM events GROUP BY 1",
     "progress_windows": "SELECT date_trunc('day', ts) AS begin, event_type AS status, count(*) AS events, round(avg(value), 6) AS progress FROM events GROUP BY ALL",
+    "progress_live": "WITH l AS (SELECT user_id AS task_id, max(ts) AS ts, arg_max(event_type, row(ts, event_id)) AS status, arg_max(value, row(ts, event_id)) AS progress FROM events GROUP BY 1) SELECT task_id, ts, status, round(progress, 6) AS progress FROM l WHERE NOT (status IN ('purchase', 'error') AND ts + INTERVAL 7 DAY <= (SELECT max(ts) FROM events))",
     "numbers_scaled": "SELECT p_partkey, round(greatest(least((p_size + 10) / 50, 1), 0), 6) AS scaled, round(greatest(least(1 - p_size / 30, 1), 0), 6) AS similar, round(1 / (1 + p_size), 6) AS inverse, round(1 / (1 + exp(-(p_size / 50 - 0.5) / 0.15)), 6) AS logistic, round((p_size / 50 + 1) / 2, 6) AS shifted, p_brand AS name FROM part",
 }
 QUERIES = {name: globals()[name] for name in SQL}
