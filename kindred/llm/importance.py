@@ -124,15 +124,28 @@ def counted(texts: DataFrame, kind: str, keys_of, fields: str) -> DataFrame:
     return texts.mapInArrow(run, ", ".join(f"{n} {kind}" for n in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int, *keys: str) -> list:
+    """The `most` rows with the largest `n`, of equal ones the first by key. How many rows there are by the power of two
+    that `n` reaches comes first, so that only rows of the powers that are needed are sent and sorted."""
+    counts = checkpointed(counts.filter("n > 1"))
+    powers = counts.groupBy(F.floor(F.log2(F.col("n").cast("double"))).alias("power")).agg(F.count("*").alias("rows")).orderBy(F.desc("power")).collect()  # 64 at most
+    known, least = 0, 0
+    for r in powers:
+        known, least = known + r["rows"], r["power"]
+        if known >= most:
+            break
+    return counts.filter(F.col("n") >= F.lit(2**least)).orderBy(F.desc("n"), *keys).limit(most).collect()
+
+
 def fit_head(texts: DataFrame, most: int, buckets: int, n_words: int = HEAD_WORDS, n_pairs: int = HEAD_PAIRS) -> Head:
     """The head of the texts, by counts over all of them: its words, and pairs of those words."""
     often = counted(texts, "binary", lambda words: [w for w in words if len(w) <= HEAD_BYTES], "word")
-    words = [bytes(r["word"]) for r in often.filter("n > 1").orderBy(F.desc("n"), "word").limit(n_words).collect()]
+    words = [bytes(r["word"]) for r in most_frequent(often, n_words, "word")]
     pairs: list[tuple[bytes, bytes]] = []
     if most == 2 and words:
         known = texts.sparkSession.sparkContext.broadcast(frozenset(words))
         of_two = counted(texts, "binary", lambda words: [(a, b) for a, b in zip(words, words[1:], strict=False) if a in known.value and b in known.value], "a b")
-        pairs = [(bytes(r["a"]), bytes(r["b"])) for r in of_two.filter("n > 1").orderBy(F.desc("n"), "a", "b").limit(n_pairs).collect()]
+        pairs = [(bytes(r["a"]), bytes(r["b"])) for r in most_frequent(of_two, n_pairs, "a", "b")]
     return head_of(words, pairs, buckets)
 
 
