@@ -1,20 +1,17 @@
 """Exact nearest neighbours by inner product of unit vectors, and centroids augmented with neighbours.
 
-Queries are dealt to the rows of a grid and the corpus to its columns. Each query goes once to each column and each corpus
-vector once to each row, by the key of the cell, in one shuffle. A cell's corpus streams past its queries in Arrow batches,
-each a matrix product, and only the running best of each query are kept; the answers of a row's cells are then merged.
-The work is |queries| x |corpus| by its nature. No task holds more than a row's queries and one batch, whatever the corpus.
+Queries and corpus meet on a grid (`grid.best`): a cell's corpus streams past its queries in Arrow batches, each a matrix
+product, and only the running best of each query are kept; the answers of a row's cells are then merged. The work is
+|queries| x |corpus| by its nature. No task holds more than a row's queries and one batch, whatever the corpus.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kindred.functions import vectors as V
+from kindred.operators import grid
 from kindred.operators.centroids import long_vectors, mean_centroids
 from kindred.stores.lineage import kept
 
@@ -28,100 +25,15 @@ def index(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return one.withColumn("vector", V.unit(F.col("vector")))
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """A list column as the rows of a matrix."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-class Best:
-    """The best `most` of each query so far, in order of score, then of arrival. Scores that agree in nine places tie."""
-
-    def __init__(self, most: int):
-        self.most, self.queries, self.ids, self.scores = most, [], None, None
-        self.names: list = []
-
-    def add_queries(self, ids: list, vectors: np.ndarray) -> None:
-        self.names += ids
-        self.queries.append(vectors)
-
-    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        if not self.names:
-            return
-        if len(self.queries) > 1:
-            self.queries = [np.concatenate(self.queries)]
-        scores = self.queries[0] @ vectors.T
-        known = np.broadcast_to(ids, scores.shape)
-        if self.scores is not None:
-            scores, known = np.hstack([self.scores, scores]), np.hstack([self.ids, known])
-        if scores.shape[1] > self.most:
-            tied = np.round(scores, 9)
-            least = np.partition(tied, -self.most, axis=1)[:, -self.most, None]
-            rows, columns = np.nonzero(tied >= least)  # all that tie with the last one too
-            order = np.lexsort((columns, -tied[rows, columns], rows))
-            rows, columns = rows[order], columns[order]
-            first = np.arange(len(rows)) - np.searchsorted(rows, rows) < self.most
-            columns = columns[first].reshape(len(scores), self.most)
-        else:
-            columns = np.argsort(-np.round(scores, 9), axis=1, kind="stable")
-        self.scores, self.ids = np.take_along_axis(scores, columns, axis=1), np.take_along_axis(known, columns, axis=1)
-
-    def rows(self, kind: pa.DataType) -> pa.RecordBatch | None:
-        if self.scores is None:
-            return None
-        queries = np.repeat(np.array(self.names, dtype=object), self.scores.shape[1])
-        return pa.record_batch([pa.array(queries, kind), pa.array(self.ids.ravel().tolist(), kind), pa.array(self.scores.ravel())], names=["query", "neighbour", "score"])
-
-
-def grid(n_queries: int, n_corpus: int, parallelism: int, row: int = ROW, column: int = COLUMN) -> tuple[int, int]:
-    """Rows and columns: rows so that a row's queries fit a task, columns so that all cores work and a cell takes a bounded
-    time. More columns make more answers to merge, more rows more copies of the corpus."""
-    rows = max(1, -(-n_queries // row))
-    return rows, max(1, min(-(-n_corpus // BATCH), max(-(-n_corpus // column), -(-parallelism // rows))))
-
-
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, row: int = ROW, column: int = COLUMN) -> DataFrame:
     """`query, neighbour, score, place`: of each query's k + 1 best in the corpus those with another id, k at most.
 
     `corpus` and `queries` are `term, vector` frames of unit vectors, a row for each term; ties go in order of id. Fewer
     rows come back where the corpus is smaller."""
-    spark, same = corpus.sparkSession, queries is corpus
-    kind = dict(corpus.dtypes)["term"]
+    same = queries is corpus
     corpus = kept(corpus.select("term", "vector"))
     queries = corpus if same else kept(queries.select("term", "vector"))
-    n = corpus.count()
-    n_rows, n_columns = grid(n if same else queries.count(), n, spark.sparkContext.defaultParallelism, row, column)
-    dealt = lambda count: F.pmod(F.xxhash64("term"), F.lit(count)).cast("int")
-    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    asked = queries.select(dealt(n_rows).alias("row"), all_of(n_columns).alias("column"), F.lit(0).alias("side"), "term", "vector")
-    given = corpus.select(all_of(n_rows).alias("row"), dealt(n_columns).alias("column"), F.lit(1).alias("side"), "term", "vector")
-    cells = asked.unionByName(given).repartition(n_rows * n_columns, "row", "column").sortWithinPartitions("row", "column", "side", "term")
-
-    def best(batches):
-        cell = None
-        for whole in batches:
-            for batch in (whole.slice(i, BATCH) for i in range(0, whole.num_rows, BATCH)):
-                keys = np.stack([batch.column(c).to_numpy() for c in ("row", "column", "side")], axis=1)
-                cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    if cell != tuple(keys[a, :2]):
-                        if cell is not None and (done := found.rows(terms)) is not None:
-                            yield done
-                        cell, found, terms = tuple(keys[a, :2]), Best(k + 1), batch.column("term").type
-                    ids, vectors = batch.column("term").slice(a, b - a).to_pylist(), matrix(batch.column("vector").slice(a, b - a))
-                    if keys[a, 2] == 0:
-                        found.add_queries(ids, vectors)
-                    else:
-                        known = np.empty(len(ids), dtype=object)
-                        known[:] = ids
-                        found.meet(known, vectors)
-        if cell is not None and (done := found.rows(terms)) is not None:
-            yield done
-
-    found = cells.mapInArrow(best, f"query {kind}, neighbour {kind}, score double")
-    at = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "neighbour"))  # k + 1 rows a column
-    first = found.withColumn("_at", at).filter(F.col("_at") <= k + 1).filter(F.col("neighbour") != F.col("query"))
-    place = F.row_number().over(W.partitionBy("query").orderBy("_at"))
-    return first.withColumn("place", place).filter(F.col("place") <= k).select("query", "neighbour", "score", "place")
+    return grid.best(queries, corpus, k, lambda rows: grid.matrix(rows.column("vector")), lambda own, rows: own @ grid.matrix(rows.column("vector")).T, row, column, BATCH)
 
 
 def neighbour_means(neighbours: DataFrame, vectors: DataFrame, vector: str = "embedding", with_self: bool = False) -> DataFrame:

@@ -52,6 +52,12 @@ def tfidf_matrix(spark, folder):
     return rounded(model(spark, folder).matrix(), "score")
 
 
+def tfidf_square(spark, folder):
+    """Both triangles and the diagonal; a text of one letter has no n-gram."""
+    terms = D.terms(spark, folder).select("term")
+    return rounded(L.TfIdf(terms.unionByName(terms.select(F.substring("term", 1, 1).alias("term"))), 2, 4).square(), "score")
+
+
 def tfidf_most_similar(spark, folder):
     queries = D.terms(spark, folder).select("term").distinct().filter(F.col("term").startswith("red"))
     return rounded(model(spark, folder).most_similar(queries, 5), "score")
@@ -189,6 +195,8 @@ SQL = {
     "tfidf_info": f"WITH {TF} SELECT (SELECT count(*) FROM texts) AS corpus_size, count(*) AS vocabulary_size, round(min(idf), 6) AS min_idf, round(max(idf), 6) AS max_idf FROM idf",
     "tfidf_pairs": f"WITH {TF}, {PAIRS}, d AS (SELECT a.term AS word1, b.term AS word2, sum(a.w * b.w) AS dot FROM w a JOIN w b USING (gram) GROUP BY ALL) SELECT word1, word2, round((coalesce(dot, 0) + 1) / 2, 6) AS score FROM prs LEFT JOIN d USING (word1, word2)",
     "tfidf_matrix": f"WITH {TF}, d AS (SELECT a.term AS term1, b.term AS term2, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.gram = b.gram AND a.term < b.term GROUP BY ALL) SELECT x.term AS term1, y.term AS term2, round((coalesce(dot, 0) + 1) / 2, 6) AS score FROM texts x JOIN texts y ON x.term < y.term LEFT JOIN d ON d.term1 = x.term AND d.term2 = y.term",
+    "tfidf_square": f"WITH {TF.replace('SELECT DISTINCT p_name AS term FROM part', 'SELECT p_name AS term FROM part UNION SELECT substr(p_name, 1, 1) FROM part')}, d AS (SELECT a.term AS term1, b.term AS term2, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.gram = b.gram GROUP BY ALL) SELECT x.term AS term1, y.term AS term2, round((coalesce(dot, 0) + 1) / 2, 6) AS score FROM texts x, texts y LEFT JOIN d ON d.term1 = x.term AND d.term2 = y.term",
+    "tfidf_most_similar_whole": f"WITH {TF}, d AS (SELECT a.term AS query, b.term AS term, sum(a.w * b.w) AS dot FROM w a JOIN w b USING (gram) GROUP BY ALL), s AS (SELECT q.term AS query, t.term, (coalesce(dot, 0) + 1) / 2 AS score FROM texts q JOIN texts t ON q.term <> t.term LEFT JOIN d ON d.query = q.term AND d.term = t.term), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, term) AS place FROM s) SELECT query, term, round(score, 6) AS score, place FROM r WHERE place <= 5",
     "tfidf_most_similar": f"WITH {TF}, d AS (SELECT a.term AS query, b.term AS term, sum(a.w * b.w) AS dot FROM w a JOIN w b USING (gram) GROUP BY ALL), s AS (SELECT q.term AS query, t.term, (coalesce(dot, 0) + 1) / 2 AS score FROM texts q JOIN texts t ON q.term <> t.term LEFT JOIN d ON d.query = q.term AND d.term = t.term WHERE q.term LIKE 'red%'), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, term) AS place FROM s) SELECT query, term, round(score, 6) AS score, place FROM r WHERE place <= 5",
     "tfidf_term_idf": f"WITH {TF}, q AS (SELECT term FROM texts UNION SELECT substr(term, 1, 3) FROM texts UNION SELECT substr(term, 2, 4) FROM texts) SELECT q.term, round(coalesce(idf, 0), 6) AS idf FROM q LEFT JOIN idf ON lower(q.term) = idf.gram",
     "tfidf_transfer": f"WITH {TF.replace('FROM part)', 'FROM part)', 1)}, t2 AS (SELECT DISTINCT p_name AS term FROM part WHERE p_type < 'P'), i2 AS (SELECT gram, ln((1 + (SELECT count(*) FROM t2)) / (1 + count(*))) + 1 AS idf FROM gc JOIN t2 USING (term) GROUP BY gram), v0 AS (SELECT term, gram, (1 + ln(c)) * i2.idf AS w FROM gc JOIN i2 USING (gram)), v AS (SELECT term, w / sqrt(sum(w * w) OVER (PARTITION BY term)) AS w FROM v0) SELECT term, count(*) AS grams, round(sum(w), 6) AS weight FROM v GROUP BY term",
@@ -206,5 +214,4 @@ SQL = {
     "domain_names": "SELECT p_type AS domain, count(DISTINCT p_name) AS n_terms FROM part GROUP BY 1",
     "matrix_unpivoted": "SELECT o_orderpriority AS d1, s AS d2, nullif(count(*) FILTER (o_orderstatus = s), 0)::DOUBLE AS score FROM orders, (VALUES ('F'), ('O'), ('P')) AS v(s) GROUP BY ALL",
 }
-#: The nearest texts of all names come without SQL.
-QUERIES = {name: globals()[name] for name in (*SQL, "tfidf_most_similar_whole")}
+QUERIES = {name: globals()[name] for name in SQL}

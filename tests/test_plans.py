@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.operators import grid
 from kindred.operators import knn as K
+from kindred.operators import lexical as L
 from kindred.operators import metrics as M
 from kindred.operators import taxonomy as T
 from kindred.plans.registry import QUERIES
@@ -55,8 +57,8 @@ def test_a_small_corpus_gives_fewer_neighbours(spark):
 
 
 def test_the_grid_grows_with_both_sides():
-    assert K.grid(100, 100, 8) == (1, 1)
-    rows, columns = K.grid(10_000_000, 50_000_000, 1000)
+    assert grid.shape(100, 100, 8, K.ROW, K.COLUMN) == (1, 1)
+    rows, columns = grid.shape(10_000_000, 50_000_000, 1000, K.ROW, K.COLUMN)
     assert rows * K.ROW >= 10_000_000 and columns * K.COLUMN >= 50_000_000
 
 
@@ -136,3 +138,42 @@ def test_ensemble_reads_its_input_once(spark):
     rows = spark.createDataFrame([(m, i, float((i * k) % 7)) for k, m in ((2, "a"), (3, "b")) for i in range(20)], "method string, item long, score double")
     counted = rows.mapInPandas(count, rows.schema)
     assert len(M.rank_ensemble(counted).collect()) == 20 and seen.value == 40
+
+
+def plain_tfidf(texts, low, high):
+    grams = {t: [t.lower()[i : i + n] for n in range(low, high + 1) for i in range(len(t) - n + 1)] for t in texts}
+    df = defaultdict(int)
+    for g in grams.values():
+        for x in set(g):
+            df[x] += 1
+    out = {}
+    for t, g in grams.items():
+        own = {x: (1 + np.log(g.count(x))) * (np.log((1 + len(texts)) / (1 + df[x])) + 1) for x in set(g)}
+        norm = np.sqrt(sum(v * v for v in own.values()))
+        out[t] = {x: v / norm for x, v in own.items()}
+    return out
+
+
+def test_the_square_and_the_nearest_texts_are_exact_in_any_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))) for _ in range(60)} | {"x", "zzzz"})
+    weights = plain_tfidf(texts, 2, 3)
+    score = lambda a, b: (sum(w * weights[b].get(g, 0) for g, w in weights[a].items()) + 1) / 2
+    frame = spark.createDataFrame([(t,) for t in texts], "term string")
+    for block in (7, 512):
+        monkeypatch.setattr(L, "BLOCK", block)
+        monkeypatch.setattr(L, "ROW", block)
+        monkeypatch.setattr(L, "BATCH", block)
+        found = {(r["term1"], r["term2"]): r["score"] for r in L.TfIdf(frame, 2, 3).square().collect()}
+        assert len(found) == len(texts) ** 2 and all(abs(found[a, b] - score(a, b)) < 1e-9 for a in texts for b in texts)
+        near = defaultdict(list)
+        for r in L.TfIdf(frame, 2, 3).most_similar(frame, 4).orderBy("query", "place").collect():
+            near[r["query"]].append(r["term"])
+        known = [t for t in texts if weights[t]]
+        assert dict(near) == {q: [t for _, t in sorted((-round(score(q, t), 9), t) for t in known if t != q)][:4] for q in known}
+
+
+def test_tfidf_reads_its_texts_once(spark, folder):
+    for name in ("tfidf_matrix", "tfidf_most_similar_whole", "tfidf_square"):
+        text = plan(QUERIES[name](spark, folder))
+        assert "Relation [" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
