@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TERM_SCHEMA = "term string, domain string, frequency int"
@@ -13,27 +14,59 @@ PAGE_SCHEMA = "pageid long, title string, links array<string>, categories array<
 SCORE_COLUMNS, DISTANCE_COLUMN = ("sim", "distance", "distanceij", "similarity"), "distance"
 
 
+#: Rows that an error names.
+NAMED_ROWS = 5
+
+
 class LoadError(ValueError):
     """A file that lacks what it must have."""
 
 
-def clean_terms(rows: DataFrame) -> DataFrame:
-    """`term, domain, frequency`: trimmed; a missing or unreadable frequency is 1. Empty terms or domains are an
-    error that counts them."""
+def with_rows(read: DataFrame, first: int = 1) -> DataFrame:
+    """The rows of a frame just read from files, with `_file` and `_row`: the number of the row in its file, from `first`.
+
+    A file may be read in several splits. Each split counts its own rows, the counts of the splits before it are added
+    up (a row for each split), and a row adds its place in its split."""
+    own = read.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = own.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    earlier = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)  # a row for each split of a file
+    starts = splits.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = own.join(starts, ["_file", "_block"]).withColumn("_row", F.col("_before") + F.col("_id") - F.col("_first") + first)
+    return placed.drop("_block", "_id", "_first", "_before")
+
+
+def checked(rows: DataFrame, *keep: str) -> DataFrame:
+    """`term, domain, frequency`, trimmed, and the columns to keep."""
     missing = sorted({"term", "domain"} - set(rows.columns))
     if missing:
         raise LoadError(f"missing columns: {', '.join(missing)}")
     frequency = F.expr("try_cast(frequency AS int)") if "frequency" in rows.columns else F.lit(None).cast("int")
-    out = rows.select(F.trim(F.col("term").cast("string")).alias("term"), F.trim(F.col("domain").cast("string")).alias("domain"), F.coalesce(frequency, F.lit(1)).alias("frequency"))
-    empty = lambda c: F.count_if(F.coalesce(F.length(c), F.lit(0)) == 0)
-    bad = out.agg(empty("term").alias("terms"), empty("domain").alias("domains")).first()
+    return rows.select(F.trim(F.col("term").cast("string")).alias("term"), F.trim(F.col("domain").cast("string")).alias("domain"), F.coalesce(frequency, F.lit(1)).alias("frequency"), *keep)
+
+
+def is_empty(column: str) -> Column:
+    return F.coalesce(F.length(column), F.lit(0)) == 0
+
+
+def clean_terms(rows: DataFrame, in_files: bool = False) -> DataFrame:
+    """`term, domain, frequency`: trimmed; a missing or unreadable frequency is 1. Empty terms or domains are an
+    error that counts them and, for rows just read from files, names the first of them by file and row; the header is
+    row 1 there. Rows are numbered only if there is an error."""
+    out = checked(rows)
+    bad = out.agg(F.count_if(is_empty("term")).alias("terms"), F.count_if(is_empty("domain")).alias("domains")).first()
     if bad["terms"] or bad["domains"]:
-        raise LoadError(f"{bad['terms']} rows without a term, {bad['domains']} without a domain")
+        text = f"{bad['terms']} rows without a term, {bad['domains']} without a domain"
+        if in_files:
+            first = checked(with_rows(rows, 2), "_file", "_row").filter(is_empty("term") | is_empty("domain")).orderBy("_file", "_row").limit(NAMED_ROWS).collect()
+            text += ": " + "; ".join(f"row {r['_row']} of {r['_file'].rsplit('/', 1)[-1]} has no {'domain' if r['term'] else 'term'}" for r in first)
+        raise LoadError(text)
     return out
 
 
-def read_terms_csv(spark: SparkSession, path: str) -> DataFrame:
-    return clean_terms(spark.read.csv(path, header=True, multiLine=True, escape='"'))
+def read_terms_csv(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Terms of CSV files with a header. With `lines` each record is a line, and large files are read in splits; without,
+    a quoted field may run over several lines, and a file is read by one task."""
+    return clean_terms(spark.read.csv(path, header=True, multiLine=not lines, escape='"'), in_files=True)
 
 
 def from_domains(rows: DataFrame) -> DataFrame:
@@ -128,9 +161,10 @@ def article_documents(articles: DataFrame, domain: Column) -> DataFrame:
 
 def resumed_terms(spark: SparkSession, path: str) -> DataFrame:
     """Terms of an earlier harvest: each line of three fields or more is cut at its first two commas; an unreadable
-    frequency is 1; of lines with one term the last one counts."""
+    frequency is 1; of lines with one term the last one counts, by file name and line number."""
     parts = F.split("value", ",", 3)
-    rows = spark.read.text(path).filter(F.size(parts) == 3).select(F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_at"), F.trim(parts[0]).alias("term"), F.trim(parts[1]).alias("domain"), F.coalesce(F.expr("try_cast(trim(get(split(value, ',', 3), 2)) AS int)"), F.lit(1)).alias("frequency"))
+    lines = with_rows(spark.read.text(path)).filter(F.size(parts) == 3)
+    rows = lines.select(F.struct("_file", "_row").alias("_at"), F.trim(parts[0]).alias("term"), F.trim(parts[1]).alias("domain"), F.coalesce(F.expr("try_cast(trim(get(split(value, ',', 3), 2)) AS int)"), F.lit(1)).alias("frequency"))
     return rows.filter((F.col("term") != "term") & (F.col("term") != "")).groupBy("term").agg(F.max_by("domain", "_at").alias("domain"), F.max_by("frequency", "_at").alias("frequency"))
 
 

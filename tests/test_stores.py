@@ -11,6 +11,7 @@ from kindred.sources import loaders
 from kindred.stores import embeddings as EM
 from kindred.stores import files
 from kindred.stores import indexes as IX
+from kindred.stores.levels import Level, TwoLevels, pair_name
 from kindred.streaming import progress as P
 
 ROWS = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.6, 0.8])]
@@ -150,3 +151,92 @@ def test_a_task_that_goes_on_is_listed(spark):
     events = spark.createDataFrame(rows, EVENTS)
     assert sorted(r["task_id"] for r in P.live_at(events).collect()) == [1, 3, 4]
     assert sorted(r["task_id"] for r in P.live_at(events, F.lit(at(9))).collect()) == [1, 2, 4]
+
+
+def put(spark, rows):
+    return spark.createDataFrame(rows, "key string, value array<double>")
+
+
+def keys(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "key string")
+
+
+def got(frame):
+    return {r["key"]: (r["value"] and r["value"][0], r["level"]) for r in frame.collect()}
+
+
+def test_a_hit_below_is_above_afterwards_until_it_ends(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    later = lambda s: start + dt.timedelta(seconds=s)
+    both = TwoLevels(spark, f"{tmp_path}/up", f"{tmp_path}/low", seconds=60)
+    both.lower.put("sim", put(spark, [("a", [0.5]), ("b", [0.25])]), start)
+    both.upper.put("sim", put(spark, [("b", [0.75])]), start)
+    assert got(both.get("sim", keys(spark, "a", "b", "c", "a"), later(1))) == {"a": (0.5, "lower"), "b": (0.75, "upper"), "c": (None, None)}
+    assert got(both.get("sim", keys(spark, "a"), later(2))) == {"a": (0.5, "upper")}
+    assert got(both.get("sim", keys(spark, "a", "b"), later(60))) == {"a": (0.5, "upper"), "b": (0.25, "lower")}  # b ended above
+    assert got(both.get("sim", keys(spark, "a"), later(61))) == {"a": (0.5, "lower")}
+    assert both.upper.compact("sim", later(100)) == 2 and both.upper.compact("sim", later(1000)) == 0
+    assert both.upper.all("sim", later(1000)).collect() == [] and both.lower.compact("sim", later(1000)) == 2
+
+
+def test_what_neither_level_has_is_computed_once(spark, tmp_path):
+    both, asked = TwoLevels(spark, f"{tmp_path}/up", f"{tmp_path}/low"), []
+
+    def compute(missed):
+        asked.append(sorted(r["key"] for r in missed.collect()))
+        return missed.withColumn("value", F.array(F.length("key").cast("double")))
+
+    assert got(both.get_or("emb", keys(spark, "aa", "b"), compute)) == {"aa": (2.0, "new"), "b": (1.0, "new")}
+    assert got(both.get_or("emb", keys(spark, "aa", "ccc"), compute)) == {"aa": (2.0, "upper"), "ccc": (3.0, "new")}
+    both.upper.clear("emb")
+    assert got(both.get_or("emb", keys(spark, "aa"), compute)) == {"aa": (2.0, "lower")}
+    assert asked == [["aa", "b"], ["ccc"]]
+    both.lower.put("sim", put(spark, [("x", [1.0])]))
+    both.lower.clear("emb")
+    assert got(both.get("sim", keys(spark, "x"))) == {"x": (1.0, "lower")} and both.lower.all("emb").collect() == []
+    with pytest.raises(ValueError, match="unknown kind"):
+        both.lower.clear("other")
+
+
+def test_newest_value_counts_and_pairs_have_one_key(spark, tmp_path):
+    level = Level(spark, str(tmp_path), 10)
+    level.put("centroid", put(spark, [("d", [1.0, 2.0])]), dt.datetime(2024, 1, 1))
+    level.put("centroid", put(spark, [("d", [3.0, 4.0])]), dt.datetime(2024, 1, 1, 0, 0, 5), seconds=1)
+    assert level.get("centroid", keys(spark, "d"), dt.datetime(2024, 1, 1, 0, 0, 5)).first()["value"] == [3.0, 4.0]
+    assert level.all("centroid", dt.datetime(2024, 1, 1, 0, 0, 7)).collect() == []  # an older value does not come back
+    row = spark.range(1).select(pair_name("sbert", "cosine", F.lit("B"), F.lit("a")).alias("x"), pair_name("sbert", "cosine", F.lit("a"), F.lit("B")).alias("y")).first()
+    assert row["x"] == row["y"] == "sbert:a:B:cosine"
+
+
+def csv_file(path, n, bad):
+    lines = ["term,domain,frequency"] + [f"{'' if i in bad else f't{i}'},{' ' if -i in bad else f'd{i % 7}'},{i}" for i in range(2, n + 2)]
+    path.write_text("\n".join(lines) + "\n", encoding="utf-8")
+    return str(path)
+
+
+def test_errors_name_their_rows_over_splits(spark, tmp_path):
+    path = csv_file(tmp_path / "terms.csv", 900, {17, 733, -734})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        read = spark.read.csv(path, header=True)
+        assert read.rdd.getNumPartitions() > 5
+        assert [r["frequency"] for r in loaders.with_rows(read, 2).orderBy("_row").collect()] == [str(i) for i in range(2, 902)]
+        assert all(int(r["frequency"]) == r["_row"] for r in loaders.with_rows(read, 2).collect())
+        for lines in (True, False):
+            with pytest.raises(loaders.LoadError, match="^2 rows without a term, 1 without a domain: row 17 of terms.csv has no term; row 733 of terms.csv has no term; row 734 of terms.csv has no domain$"):
+                loaders.read_terms_csv(spark, path, lines)
+        assert loaders.read_terms_csv(spark, csv_file(tmp_path / "fine.csv", 300, set()), True).count() == 300
+        (tmp_path / "old.csv").write_text("term,domain,frequency\n" + "".join(f"t{i % 50},d{i},{i}\n" for i in range(400)), encoding="utf-8")
+        found = {r["term"]: (r["domain"], r["frequency"]) for r in loaders.resumed_terms(spark, str(tmp_path / "old.csv")).collect()}
+        assert found == {f"t{i % 50}": (f"d{i}", i) for i in range(350, 400)}  # the last line of each
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_quoted_field_over_lines_is_one_row(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('term,domain\n"a\nb",x\nc,\n', encoding="utf-8")
+    with pytest.raises(loaders.LoadError, match="row 3 of q.csv has no domain"):
+        loaders.read_terms_csv(spark, str(path))
