@@ -1,9 +1,9 @@
-"""Topic and document-vector methods on Spark ML. Seeded; their values are approximations, not fixed results."""
+"""Topic methods on Spark ML and paragraph vectors. Seeded; their values are approximations, not fixed results."""
 
 from __future__ import annotations
 
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import CountVectorizer, Word2Vec
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,8 @@ from kindred.functions import numbers as N
 from kindred.functions import text as X
 from kindred.functions import vectors as V
 from kindred.operators.centroids import mean_centroids
-from kindred.operators.metrics import predictions, with_vectors
+from kindred.operators.metrics import cosine_of, predictions, with_vectors
+from kindred.operators.paragraphs import Training, paragraph_vectors
 
 
 def words_of(pairs: DataFrame) -> DataFrame:
@@ -43,16 +44,19 @@ def clustered(pairs: DataFrame, vectors: DataFrame, seed: int = 42) -> DataFrame
 
 
 def document_vectors(pairs: DataFrame, corpus: DataFrame | None = None, size: int = 100, seed: int = 42) -> DataFrame:
-    """Shifted cosines of the terms' mean word vectors, trained on the terms and the corpus; under three terms missing."""
+    """Shifted cosines of the terms' paragraph vectors, trained on the terms and the corpus; under three terms missing."""
     own = words_of(pairs)
     texts = own if corpus is None else own.unionByName(corpus.select("term")).distinct()
     if texts.limit(3).count() < 3:
         return missing(pairs, "doc2vec")
-    data = texts.select("term", X.document_tokens(F.col("term")).alias("tokens"))
-    model = Word2Vec(vectorSize=size, minCount=1, seed=seed, inputCol="tokens", outputCol="v").fit(data)
-    found = model.transform(own.select("term", X.document_tokens(F.col("term")).alias("tokens"))).select("term", vector_to_array("v").alias("embedding"))
-    rows = with_vectors(pairs, found)
-    return predictions(rows, "doc2vec", N.half_shift(V.cosine(F.col("vector1"), F.col("vector2"))))
+    found = paragraph_vectors(texts.select("term", X.document_tokens(F.col("term")).alias("tokens")), Training(size=size, seed=seed))
+    return predictions(*scored(pairs, found, "doc2vec"))
+
+
+def scored(pairs: DataFrame, vectors: DataFrame, method: str):
+    """The pairs with their vectors, the method, and the shifted cosine."""
+    rows = with_vectors(pairs, vectors)
+    return rows, method, N.half_shift(cosine_of(rows))
 
 
 def topic_mixtures(pairs: DataFrame, seed: int = 42) -> DataFrame:
@@ -65,5 +69,4 @@ def topic_mixtures(pairs: DataFrame, seed: int = 42) -> DataFrame:
     model = LDA(k=min(10, max(2, n // 3)), seed=seed, maxIter=10).fit(counted)
     mixed = model.transform(counted).select("term", vector_to_array("topicDistribution").alias("embedding"))
     mixed = mixed.withColumn("embedding", F.when(V.total(F.col("embedding")) >= 0.1, F.col("embedding")))
-    rows = with_vectors(pairs, mixed)
-    return predictions(rows, "lda", F.when(F.col("vector1").isNotNull() & F.col("vector2").isNotNull(), N.half_shift(V.cosine(F.col("vector1"), F.col("vector2")))))
+    return predictions(*scored(pairs, mixed, "lda"))

@@ -153,7 +153,7 @@ def topics_clustered(spark, folder):
 
 def topics_documents(spark, folder):
     p = D.vector_pairs(spark, folder).withColumns({w: F.concat(F.lit("t"), F.col(w).cast("string")) for w in ("word1", "word2")})
-    return M.evaluated(TP.document_vectors(p, size=16))
+    return M.evaluated(TP.document_vectors(p))
 
 
 def topics_mixtures(spark, folder):
