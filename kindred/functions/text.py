@@ -130,6 +130,11 @@ def has_cyrillic(text: Column) -> Column:
     return text.rlike("[а-яА-Я]")
 
 
+def is_cyrillic(terms: Column, first: int = 5) -> Column:
+    """Whether one of the first terms of an array has a Cyrillic letter; false for none."""
+    return F.coalesce(F.exists(F.slice(terms, 1, first), has_cyrillic), F.lit(False))
+
+
 def last_segment(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

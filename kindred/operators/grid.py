@@ -88,6 +88,17 @@ def shape(n_rows: int, n_columns: int, parallelism: int, row: int, column: int)
     return rows, max(1, min(-(-n_columns // 1_000), max(-(-n_columns // column), -(-parallelism // rows))))
 
 
+def pairs(left: DataFrame, right: DataFrame, block: int = 2_000) -> DataFrame:
+    """Every row of `left` with every one of `right`, whose columns differ: rows and columns of blocks, joined by the key of
+    their cell. Both are read twice, so they should be checkpoints or tables."""
+    n, m = (max(1, -(-frame.count() // block)) for frame in (left, right))
+    dealt = lambda frame, count: F.pmod(F.xxhash64(*frame.columns), F.lit(count)).cast("int")
+    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    a = left.withColumn("_row", dealt(left, n)).withColumn("_column", all_of(m))
+    b = right.withColumn("_column", dealt(right, m)).withColumn("_row", all_of(n))
+    return a.join(b.hint("shuffle_hash"), ["_row", "_column"]).drop("_row", "_column")
+
+
 def best(asked: DataFrame, given: DataFrame, k: int, prepare: Prepare, score: Score, row: int, column: int, batch: int, others: bool = True) -> DataFrame:
     """`query, neighbour, score, place`: for each row of `asked` the k rows of `given` that score highest; with `others`
     those of another `term` only. Both are checkpoints or tables with `term`, once each, and the columns that `prepare`

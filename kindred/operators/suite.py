@@ -170,6 +170,15 @@ def graph_by_method(method: str, vectors: DataFrame, threshold: float = 0.5, sho
     return G.detailed(vectors, pairs_by_method(method, vectors, **options), threshold, show_terms)
 
 
+def pair_similarity(vectors: DataFrame, a, b, metric: str = "cosine") -> float:
+    """The similarity of two domains."""
+    own = vectors.filter(F.col("domain").isin(a, b))
+    row = S.domain_pairs(C.mean_centroids(own), metric).first()
+    if row is None:
+        raise ValueError(f"two known domains are needed, not {a!r} and {b!r}")
+    return row["score"]
+
+
 def domain_ensemble(vectors: DataFrame, weights: tuple[float, float] = DEFAULT_WEIGHTS) -> DataFrame:
     """`domain1, domain2, sbert_score, tfidf_score, similarity`: dot products of unit means and n-gram similarities of the
     domains' terms, by weights scaled to sum 1."""
@@ -181,3 +190,7 @@ def unit_pairs(vectors: DataFrame) -> DataFrame:
     """Dot products of unit means, the vector part of the ensemble of two domains."""
     return S.domain_pairs(C.unit_centroids(vectors), "dot")
 
+
+def dataset_status(results: DataFrame) -> DataFrame:
+    """`dataset, methods, done`: how many of each data set's methods have results."""
+    return suite_matrix(results).groupBy("dataset").agg(F.count("*").alias("methods"), F.count("value").alias("done"))

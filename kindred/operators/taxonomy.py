@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import numbers as N
 from kindred.functions import vectors as V
+from kindred.operators import grid
 from kindred.operators.centroids import mean_centroids
 from kindred.stores.lineage import kept
 
@@ -149,20 +150,36 @@ def sense_pairs(pairs: DataFrame, senses: DataFrame) -> DataFrame:
 AGGREGATIONS = {"max": F.max, "mean": F.avg, "min": F.min}
 
 
+def domain_synsets(terms: DataFrame, senses: DataFrame) -> DataFrame:
+    """`domain, synset_id, n`: how many of a domain's terms have the synset as first sense; a null one for those without."""
+    own = terms.select("domain", F.lower(F.trim("term")).alias("term")).join(first_senses(senses), "term", "left")
+    return own.groupBy("domain", "synset_id").agg(F.count("*").alias("n"))
+
+
+def domain_synset_pairs(counts: DataFrame) -> DataFrame:
+    """`domain1, s1, n1, domain2, s2, n2` for domain1 < domain2: synsets that the similarity of two domains compares, a
+    product of both by its definition. By a grid of cells."""
+    counts = kept(counts)
+    a, b = (counts.select(F.col("domain").alias(f"domain{k}"), F.col("synset_id").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
+    return grid.pairs(a, b).filter(F.col("domain1") < F.col("domain2"))
+
+
+def domain_similarities(pairs: DataFrame, scores: DataFrame, algorithm: str, *aggregations: str) -> DataFrame:
+    """`domain1, domain2` and a column for each aggregation of the similarities of the domains' term pairs, from
+    `domain_synset_pairs`. A synset pair without a score counts 0."""
+    if unknown := sorted(set(aggregations) - set(AGGREGATIONS)):
+        raise ValueError(f"unknown aggregation {unknown[0]!r}; use one of {sorted(AGGREGATIONS)}")
+    met = pairs.join(scores.select("s1", "s2", F.col(algorithm).alias("_s")), ["s1", "s2"], "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
+    weight = F.col("n1") * F.col("n2")
+    found = {"max": F.max("_s"), "min": F.min("_s"), "mean": F.sum(F.col("_s") * weight) / F.sum(weight)}
+    return met.groupBy("domain1", "domain2").agg(*(found[a].alias(a) for a in aggregations))
+
+
 def domain_similarity(terms: DataFrame, senses: DataFrame, scores: DataFrame, algorithm: str = "lin", aggregation: str = "max") -> DataFrame:
     """`domain1, domain2, score`: the best, mean or least similarity of the domains' term pairs.
 
     Terms are first counted by domain and synset (none: 0 with everything), so the pairs formed are of synsets."""
-    if aggregation not in AGGREGATIONS:
-        raise ValueError(f"unknown aggregation {aggregation!r}; use one of {sorted(AGGREGATIONS)}")
-    own = terms.select("domain", F.lower(F.trim("term")).alias("term")).join(first_senses(senses), "term", "left")
-    counts = own.groupBy("domain", "synset_id").agg(F.count("*").alias("n"))
-    a = counts.select(F.col("domain").alias("domain1"), F.col("synset_id").alias("s1"), F.col("n").alias("n1"))
-    b = counts.select(F.col("domain").alias("domain2"), F.col("synset_id").alias("s2"), F.col("n").alias("n2"))
-    pairs = a.join(b, F.col("domain1") < F.col("domain2")).join(scores.select("s1", "s2", F.col(algorithm).alias("_s")), ["s1", "s2"], "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
-    if aggregation == "mean":
-        return pairs.groupBy("domain1", "domain2").agg((F.sum(F.col("_s") * F.col("n1") * F.col("n2")) / F.sum(F.col("n1") * F.col("n2"))).alias("score"))
-    return pairs.groupBy("domain1", "domain2").agg(AGGREGATIONS[aggregation]("_s").alias("score"))
+    return domain_similarities(domain_synset_pairs(domain_synsets(terms, senses)), scores, algorithm, aggregation).withColumnRenamed(aggregation, "score")
 
 
 def synset_weights(terms: DataFrame, senses: DataFrame, chain: DataFrame, decay: float = 0.7, most: int = 10) -> DataFrame:

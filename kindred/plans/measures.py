@@ -77,21 +77,13 @@ def supplier_terms(spark, folder):
     return s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("n_regionkey").alias("domain"), F.col("s_name").alias("term"))
 
 
-def domain_scores(spark, folder):
-    """Scores of all pairs of suppliers' nations, which stand for their suppliers here."""
-    s = D.senses(spark, folder).select("synset_id")
-    nations = D.hypernyms(spark, folder).filter(F.col("parent").startswith("R")).select(F.col("child").alias("n"))
-    pairs = nations.select(F.col("n").alias("s1")).join(nations.select(F.col("n").alias("s2")))  # 25 nations
-    return scores(spark, folder, pairs), s
-
-
 def taxonomy_domains(spark, folder):
-    nations = D.read(spark, folder, "nation")
-    terms = nations.select(F.col("n_regionkey").alias("domain"), F.col("n_name").alias("term"))
-    senses = nations.select(F.col("n_name").alias("term"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("synset_id"), F.lit(0).alias("ord"))
-    found = kept(domain_scores(spark, folder)[0])
-    frames = [T.domain_similarity(terms, senses, found, "lin", a).select("domain1", "domain2", F.lit(a).alias("aggregation"), "score") for a in T.AGGREGATIONS]
-    return rounded(reduce(lambda a, b: a.unionByName(b), frames), "score")
+    """Regions by the taxonomy similarities of their suppliers, each with each."""
+    pairs = kept(T.domain_synset_pairs(T.domain_synsets(supplier_terms(spark, folder), D.senses(spark, folder))))
+    ic = T.contents(D.synsets(spark, folder), members(spark, folder))
+    found = T.synset_similarities(pairs.select("s1", "s2").distinct(), kept(chain(spark, folder)), D.hypernyms(spark, folder), ic)
+    wide = T.domain_similarities(pairs, found, "lin", *T.AGGREGATIONS)
+    return rounded(wide.unpivot(["domain1", "domain2"], list(T.AGGREGATIONS), "aggregation", "score"), "score")
 
 
 def taxonomy_weights(spark, folder):
@@ -165,8 +157,26 @@ def questions_judged(spark, folder):
     return rounded(M.judged_questions(named), "spearman")
 
 
+def named_results(spark, folder):
+    """Events as results of four methods."""
+    names = F.array(*(F.lit(m) for m in ("sbert", "doc2vec", "wordnet_lin", "rag_centroid")))
+    return D.history(spark, folder).select("dataset", "spearman", F.element_at(names, (F.col("id") % 4 + 1).cast("int")).alias("method"))
+
+
 def questions_methods(spark, folder):
-    return M.question_methods(spark)
+    """The methods of each question, and how many results each has."""
+    counts = named_results(spark, folder).groupBy("method").agg(F.count("*").alias("results"))
+    return M.question_methods(spark).join(counts, "method", "left").select("rq", "method", F.coalesce("results", F.lit(0)).alias("results")).orderBy("rq", "method")
+
+
+def questions_contrasts(spark, folder):
+    """The contrasts of two methods by data set: the difference of their mean results."""
+    means = kept(named_results(spark, folder).groupBy("dataset", "method").agg(F.avg("spearman").alias("mean")))
+    both = M.contrasts_with(spark, "sbert").unionByName(M.contrasts_with(spark, "wordnet_lin")).distinct()
+    a = means.select("dataset", F.col("method").alias("method_a"), F.col("mean").alias("_a"))
+    b = means.select("dataset", F.col("method").alias("method_b"), F.col("mean").alias("_b"))
+    found = both.join(a, "method_a").join(b, ["dataset", "method_b"]).select("rq", "dataset", "method_a", "method_b", (F.col("_a") - F.col("_b")).alias("difference"))
+    return rounded(found, "difference")
 
 
 def history_current(spark, folder):
@@ -241,7 +251,7 @@ def numbers_scaled(spark, folder):
 
 TAX = "h AS (SELECT 'S' || s_suppkey AS child, 'N' || s_nationkey AS parent FROM supplier UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION ALL SELECT 'R' || r_regionkey, 'WORLD' FROM region), sy AS (SELECT child AS s FROM h UNION SELECT parent FROM h), ch AS (SELECT s AS synset_id, s AS ancestor, 0 AS steps FROM sy UNION ALL SELECT c.synset_id, h.parent, c.steps + 1 FROM ch c JOIN h ON c.ancestor = h.child), dp AS (SELECT synset_id, max(steps) AS depth FROM ch GROUP BY 1), ic AS (SELECT s AS synset_id, count(h.parent) AS senses, CASE WHEN count(h.parent) = 0 THEN 1 ELSE log2(1 + count(h.parent)) / log2(101) END AS ic FROM sy LEFT JOIN h ON h.parent = s GROUP BY 1), inner_ch AS (SELECT * FROM ch WHERE ancestor IN (SELECT child FROM h))"
 SPAIRS = "tp AS (SELECT a.s_name AS word1, b.s_name AS word2, 'S' || a.s_suppkey AS s1, 'S' || b.s_suppkey AS s2 FROM supplier a JOIN supplier b ON b.s_suppkey IN (a.s_suppkey + 1, a.s_suppkey + 2)), sp AS (SELECT DISTINCT s1, s2 FROM tp)"
-NPAIRS = "sp AS (SELECT 'N' || a.n_nationkey AS s1, 'N' || b.n_nationkey AS s2 FROM nation a, nation b)"
+RPAIRS = "st AS (SELECT n_regionkey AS domain, 'S' || s_suppkey AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey), sp AS (SELECT a.s AS s1, b.s AS s2 FROM st a JOIN st b ON a.domain < b.domain)"
 LCS = "lc AS (SELECT p.s1, p.s2, arg_min(x.ancestor, y.steps) AS lcs FROM sp p LEFT JOIN (inner_ch x JOIN inner_ch y ON x.ancestor = y.ancestor AND x.steps >= 1) ON x.synset_id = p.s1 AND y.synset_id = p.s2 GROUP BY ALL)"
 PATH = "pa AS (SELECT p.s1, p.s2, min(x.steps + y.steps) AS length FROM sp p JOIN ch x ON x.synset_id = p.s1 JOIN ch y ON y.synset_id = p.s2 AND x.ancestor = y.ancestor GROUP BY ALL)"
 SYN = "sc AS (SELECT lc.s1, lc.s2, greatest(least(coalesce(2 * il.ic / (i1.ic + i2.ic), 0), 1), 0) AS lin, coalesce(2.0 * dl.depth / (d1.depth + d2.depth), 0) AS wup, 1 / (1 + pa.length) AS path FROM lc JOIN pa USING (s1, s2) JOIN ic i1 ON i1.synset_id = s1 JOIN ic i2 ON i2.synset_id = s2 JOIN dp d1 ON d1.synset_id = s1 JOIN dp d2 ON d2.synset_id = s2 LEFT JOIN ic il ON il.synset_id = lcs LEFT JOIN dp dl ON dl.synset_id = lcs)"
@@ -249,6 +259,7 @@ SW = "st AS (SELECT n_regionkey AS domain, 'S' || s_suppkey AS s FROM supplier J
 VP = "vp AS (SELECT a.vec_id AS word1, b.vec_id AS word2, CASE WHEN a.label = b.label THEN 10.0::DOUBLE ELSE (a.vec_id * 7 % 10)::DOUBLE END AS human_score, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id), cs AS (SELECT word1, word2, human_score, list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y)) AS c FROM vp), pr AS (SELECT 'sbert' AS method, word1, word2, human_score, (c + 1) / 2 AS score FROM cs UNION ALL SELECT 'sbert_tfidf', word1, word2, human_score, greatest(least(c * 0.5, 1), 0) FROM cs UNION ALL SELECT 'sbert_zscore', word1, word2, human_score, 1 / (1 + exp(-(c - 0.5) / 0.15)) FROM cs)"
 EVAL = "rk AS (SELECT *, rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2 AS rs, rank() OVER (PARTITION BY method ORDER BY human_score) + (count(*) OVER (PARTITION BY method, human_score) - 1) / 2 AS rh FROM pr WHERE score IS NOT NULL), ev AS (SELECT method, round(corr(rs, rh), 6) AS spearman, round(corr(score, human_score), 6) AS pearson, round(avg(pow(score - human_score, 2)), 6) AS mse, count(*) AS predictions_count FROM rk GROUP BY method)"
 STORED = "so AS (SELECT (CASE WHEN o_orderkey % 3 = 0 THEN 'D' ELSE 'd' END) || (o_custkey % 23) AS domain1, (CASE WHEN o_orderkey % 3 = 1 THEN 'D' ELSE 'd' END) || ((o_custkey + 1) % 23) AS domain2, CASE o_orderstatus WHEN 'F' THEN 'sbert' WHEN 'O' THEN 'tfidf' ELSE 'rag' END AS method, 'cosine' AS metric, o_totalprice / 1000000 AS score, o_orderdate AS ts FROM orders), nw AS (SELECT least(lower(domain1), lower(domain2)) AS a, greatest(lower(domain1), lower(domain2)) AS b, method, metric, max(row(ts, score)) AS m FROM so GROUP BY ALL), np AS (SELECT a, b, method, metric, m[2] AS score, m[1] AS ts FROM nw)"
+NAMED = "nr AS (SELECT event_type AS dataset, value AS spearman, ['sbert', 'doc2vec', 'wordnet_lin', 'rag_centroid'][event_id % 4 + 1] AS method FROM events)"
 
 SQL = {
     "taxonomy_chains": f"WITH RECURSIVE {TAX} SELECT * FROM ch",
@@ -257,7 +268,7 @@ SQL = {
     "taxonomy_ancestors": f"WITH RECURSIVE {TAX}, {SPAIRS}, {LCS} SELECT * FROM lc",
     "taxonomy_paths": f"WITH RECURSIVE {TAX}, {SPAIRS}, {PATH} SELECT * FROM pa",
     "taxonomy_pairs": f"WITH RECURSIVE {TAX}, {SPAIRS}, {LCS}, {PATH}, {SYN} SELECT word1, word2, 'lin' AS algorithm, round(lin, 6) AS score FROM tp JOIN sc USING (s1, s2) UNION ALL SELECT word1, word2, 'wup', round(wup, 6) FROM tp JOIN sc USING (s1, s2) UNION ALL SELECT word1, word2, 'path', round(path, 6) FROM tp JOIN sc USING (s1, s2)",
-    "taxonomy_domains": f"WITH RECURSIVE {TAX}, {NPAIRS}, {LCS}, {PATH}, {SYN}, nd AS (SELECT 'N' || n_nationkey AS s, n_regionkey AS domain FROM nation), x AS (SELECT a.domain AS domain1, b.domain AS domain2, lin FROM nd a JOIN nd b ON a.domain < b.domain JOIN sc ON s1 = a.s AND s2 = b.s) SELECT domain1, domain2, 'max' AS aggregation, round(max(lin), 6) AS score FROM x GROUP BY ALL UNION ALL SELECT domain1, domain2, 'mean', round(avg(lin), 6) FROM x GROUP BY ALL UNION ALL SELECT domain1, domain2, 'min', round(min(lin), 6) FROM x GROUP BY ALL",
+    "taxonomy_domains": f"WITH RECURSIVE {TAX}, {RPAIRS}, {LCS}, {PATH}, {SYN}, x AS (SELECT a.domain AS domain1, b.domain AS domain2, lin FROM st a JOIN st b ON a.domain < b.domain JOIN sc ON s1 = a.s AND s2 = b.s) SELECT domain1, domain2, 'max' AS aggregation, round(max(lin), 6) AS score FROM x GROUP BY ALL UNION ALL SELECT domain1, domain2, 'mean', round(avg(lin), 6) FROM x GROUP BY ALL UNION ALL SELECT domain1, domain2, 'min', round(min(lin), 6) FROM x GROUP BY ALL",
     "taxonomy_weights": f"WITH RECURSIVE {TAX}, {SW} SELECT domain, synset_id, round(weight, 6) AS weight FROM sw",
     "taxonomy_centroids": f"WITH RECURSIVE {TAX}, {SW}, nr AS (SELECT domain, sqrt(sum(weight * weight)) AS n FROM sw GROUP BY 1) SELECT a.domain AS domain1, b.domain AS domain2, round(sum(a.weight * b.weight) / (any_value(x.n) * any_value(y.n)), 6) AS score FROM sw a JOIN sw b ON a.synset_id = b.synset_id AND a.domain < b.domain JOIN nr x ON x.domain = a.domain JOIN nr y ON y.domain = b.domain GROUP BY ALL",
     "benchmark_predictions": f"WITH {VP} SELECT method, word1, word2, human_score, round(score, 6) AS score FROM pr",
@@ -272,7 +283,8 @@ SQL = {
     "results_top": "SELECT o_orderstatus AS dataset, o_orderpriority AS method, round(avg(o_totalprice) / 500000, 6) AS spearman FROM orders GROUP BY ALL ORDER BY avg(o_totalprice) DESC, method, dataset LIMIT 3",
     "results_maximum": "SELECT round(max(s), 6) AS max_spearman FROM (SELECT avg(o_totalprice) / 500000 AS s FROM orders GROUP BY o_orderstatus, o_orderpriority)",
     "questions_judged": "WITH r AS (SELECT event_type AS dataset, ['sbert', 'doc2vec', 'wordnet_lin', 'rag_centroid'][event_id % 4 + 1] AS method, avg(value) / 100 AS s FROM events GROUP BY event_type, event_id % 4), c(rq, method, min_spearman) AS (VALUES ('RQ1', 'sbert', 0.5), ('RQ1', 'doc2vec', 0.0), ('RQ2', 'sbert', 0.6), ('RQ2', 'wordnet_lin', 0.2), ('RQ3', 'rag_centroid', 0.5), ('RQ3', 'sbert', 0.5)) SELECT rq, dataset, method, round(s, 6) AS spearman, min_spearman::DOUBLE AS min_spearman, s >= min_spearman AS met FROM r JOIN c USING (method)",
-    "questions_methods": "SELECT * FROM (VALUES ('RQ1', 'sbert'), ('RQ1', 'doc2vec'), ('RQ2', 'wordnet_lin'), ('RQ2', 'sbert'), ('RQ2', 'tfidf'), ('RQ3', 'sbert'), ('RQ3', 'tfidf'), ('RQ3', 'rag_centroid')) AS v(rq, method)",
+    "questions_methods": f"WITH {NAMED} SELECT rq, v.method, count(nr.method) AS results FROM (VALUES ('RQ1', 'sbert'), ('RQ1', 'doc2vec'), ('RQ2', 'wordnet_lin'), ('RQ2', 'sbert'), ('RQ2', 'tfidf'), ('RQ3', 'sbert'), ('RQ3', 'tfidf'), ('RQ3', 'rag_centroid')) AS v(rq, method) LEFT JOIN nr ON nr.method = v.method GROUP BY ALL",
+    "questions_contrasts": f"WITH {NAMED}, m AS (SELECT dataset, method, avg(spearman) AS s FROM nr GROUP BY ALL) SELECT rq, a.dataset, method_a, method_b, round(a.s - b.s, 6) AS difference FROM (VALUES ('RQ1', 'sbert', 'doc2vec'), ('RQ2', 'wordnet_lin', 'sbert'), ('RQ2', 'wordnet_lin', 'tfidf'), ('RQ3', 'sbert', 'rag_centroid')) AS c(rq, method_a, method_b) JOIN m a ON a.method = method_a JOIN m b ON b.method = method_b AND a.dataset = b.dataset",
     "history_current": "SELECT event_type AS dataset, arg_max(event_id, row(ts, event_id)) AS id, arg_max(value, row(ts, event_id)) AS spearman, max(ts) AS ts, min(ts) AS created_at FROM events GROUP BY 1",
     "history_newest": "SELECT * FROM (SELECT event_id AS id, event_type AS dataset, value AS spearman, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 10",
     "history_datasets": "SELECT event_type AS dataset, max(ts) AS updated_at FROM events GROUP BY 1",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.plans import domains, measures, suites, words
+from kindred.plans import domains, measures, records, suites, words
 
-QUERIES = {**domains.QUERIES, **words.QUERIES, **measures.QUERIES, **suites.QUERIES}
-SQL = {**domains.SQL, **words.SQL, **measures.SQL, **suites.SQL}
+QUERIES = {**domains.QUERIES, **words.QUERIES, **measures.QUERIES, **suites.QUERIES, **records.QUERIES}
+SQL = {**domains.SQL, **words.SQL, **measures.SQL, **suites.SQL, **records.SQL}

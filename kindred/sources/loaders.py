@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kindred.functions import text as X
+
 TERM_SCHEMA = "term string, domain string, frequency int"
 DOMAINS_SCHEMA = "domains array<struct<name:string, terms:array<struct<name:string, frequency:int>>>>"
 ARTICLE_SCHEMA = "id string, title string, summary string, tags array<string>, authors array<string>, published string"
@@ -152,7 +154,7 @@ def unpivoted(matrix: DataFrame, id_col: str) -> DataFrame:
 def article_records(feed: DataFrame) -> DataFrame:
     """`id, title, abstract, categories, authors, published` of feed entries: the id's last segment, one-line texts."""
     line = lambda c: F.trim(F.regexp_replace(c, r"\n", " "))
-    return feed.select(F.element_at(F.split("id", "/"), -1).alias("id"), line(F.col("title")).alias("title"), line(F.col("summary")).alias("abstract"), F.col("tags").alias("categories"), "authors", "published")
+    return feed.select(X.last_segment(F.col("id")).alias("id"), line(F.col("title")).alias("title"), line(F.col("summary")).alias("abstract"), F.col("tags").alias("categories"), "authors", "published")
 
 
 def article_documents(articles: DataFrame, domain: Column) -> DataFrame:

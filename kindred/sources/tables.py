@@ -81,8 +81,9 @@ def supplier_pairs(spark: SparkSession, folder: str, *after: int) -> DataFrame:
 
 
 def supplier_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """The vectors that have a supplier's number, as the suppliers' own."""
-    s = read(spark, folder, "supplier").select(F.col("s_suppkey").cast("long").alias("vec_id"), F.col("s_name").alias("term"), F.col("s_nationkey").alias("domain"))
+    """The vectors that have a supplier's number, as the suppliers' own; their region's number is their domain."""
+    n = read(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("domain"))
+    s = read(spark, folder, "supplier").join(F.broadcast(n), "s_nationkey").select(F.col("s_suppkey").cast("long").alias("vec_id"), F.col("s_name").alias("term"), "domain")  # 25 nations
     return s.join(read(spark, folder, "embeddings").select("vec_id", "embedding"), "vec_id").drop("vec_id")
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kindred.stores.lineage import kept
+
 # The methods whose scores are stored.
 METHODS = ("sbert", "rag", "wordnet", "bert", "tfidf", "ensemble")
 PAIR_SCHEMA = "domain1 string, domain2 string, method string, metric string, score double, ts timestamp"
@@ -115,12 +119,24 @@ def write_terms(terms: DataFrame, path: str) -> None:
 
 
 def write_domain_terms(terms: DataFrame, path: str) -> None:
-    """All columns as JSON and term, domain and frequency as CSV, a folder for each domain, most frequent terms first."""
-    own = terms.withColumn("_domain", F.col("domain")).repartition("_domain").sortWithinPartitions("_domain", F.desc("frequency"), "term")
+    """All columns as JSON and term, domain and frequency as CSV, a folder for each domain, most frequent terms first.
+
+    Rows are dealt by ranges of domain, frequency and term, so a large domain is several files, which follow each other by
+    name, and is never in one task. The ranges are drawn once for both."""
+    own = kept(terms.withColumn("_domain", F.col("domain")).repartitionByRange("_domain", F.desc("frequency"), "term").sortWithinPartitions("_domain", F.desc("frequency"), "term"))
     own.write.mode("overwrite").partitionBy("_domain").json(f"{path}/full")
     own.select("term", "domain", "frequency", "_domain").write.mode("overwrite").partitionBy("_domain").csv(f"{path}/minimal", header=True)
 
 
+def write_combined(harvests: list[DataFrame], path: str) -> None:
+    """The terms of all harvests: every row as JSON, and as CSV one row for each term and domain, of the earliest harvest;
+    both by domain, most frequent terms first."""
+    order = ["domain", F.desc("frequency"), "term"]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), harvests)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(f"{path}/full")
+    combined_terms(*harvests).select("term", "domain", "frequency").repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").csv(f"{path}/minimal", header=True)
+
+
 def extended_corpus(terms: DataFrame, more: DataFrame, least: int = 100, force: bool = False) -> DataFrame:
     """`term, place`: the distinct terms of `terms` (`term, place`) in their order, then terms of `more` that are not
     among them: up to `least` in all, or every one with `force`. The limit is the operation's own."""

@@ -99,17 +99,14 @@ def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def upsert_into(path: str, task: str = "task_id", order: str | None = None):
+def upsert_into(path: str, order: str, task: str = "task_id"):
     """A `foreachBatch` function that keeps the latest state of each task in a Parquet folder, one version a batch. Of a
     task's rows in a batch the one with the largest `order` counts. A batch follows the newest version before it."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if order is not None:
-            newest = F.max_by(F.struct(*batch.columns), order).alias("s")
-            batch = batch.groupBy(task).agg(newest).select("s.*")
-        else:
-            batch = batch.dropDuplicates([task])
+        columns = [F.col(order), *(F.col(c) for c in batch.columns if c != order)]  # of equal ones the largest row
+        batch = batch.groupBy(task).agg(F.max(F.struct(*columns)).alias("s")).select("s.*").select(*batch.columns)
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
         names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.functions import text as X
+from kindred.operators import suite as SU
 from kindred.sources import loaders as LD
 from kindred.sources import tables as D
 from kindred.stores import tables as ST
@@ -83,7 +85,7 @@ def test_stream_equals_batch(spark, folder, tmp_path):
 
 
 def test_upserts(spark, tmp_path):
-    write = P.upsert_into(str(tmp_path / "state"))
+    write = P.upsert_into(str(tmp_path / "state"), order="status")
     first = spark.createDataFrame([(1, "running"), (2, "running")], "task_id int, status string")
     write(first, 0)
     write(spark.createDataFrame([(2, "done")], "task_id int, status string"), 1)
@@ -172,3 +174,53 @@ def test_whole_queries(spark, folder):
     # 40 of each category's pages, of all orders and not of 500 numbers
     pages = QUERIES["harvest_tree_whole"](spark, folder).select(F.regexp_extract("page", r"(\d+)", 1).cast("long").alias("n"))
     assert pages.filter("n >= 500").count() > 0
+
+
+def test_upserts_of_rows_that_tie(spark, tmp_path):
+    """Of rows that are equal in order the largest counts, whichever comes first."""
+    rows = [(1, 5, "b"), (1, 5, "c"), (1, 5, "a")]
+    for k, given in enumerate((rows, rows[::-1])):
+        P.upsert_into(str(tmp_path / f"state{k}"), order="t")(spark.createDataFrame(given, "task_id int, t int, status string").repartition(3), 0)
+        assert list(map(tuple, spark.read.parquet(str(tmp_path / f"state{k}/v0")).collect())) == [(1, 5, "c")]
+
+
+def test_a_large_domain_is_several_files(spark, tmp_path):
+    """Its rows follow each other over the files, by frequency."""
+    terms = spark.range(20_000).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("term"), F.when(F.col("id") < 19_000, "big").otherwise("small").alias("domain"), (F.col("id") % 997).cast("int").alias("frequency"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ST.write_domain_terms(terms, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    files = sorted((tmp_path / "minimal/_domain=big").glob("part-*"))
+    rows = [line.split(",") for f in files for line in f.read_text().splitlines()[1:]]
+    assert len(files) > 1 and len(rows) == 19_000
+    assert [(-int(f), t) for t, _, f in rows] == sorted((-int(f), t) for t, _, f in rows)
+
+
+def test_combined_files(spark, tmp_path):
+    one, two = LD.terms_of(spark, [("a", "x", 1), ("b", "x", 5)]), LD.terms_of(spark, [("a", "x", 9), ("c", "w", 2)]).withColumn("depth", F.lit(1))
+    ST.write_combined([one, two], str(tmp_path))
+    rows = spark.read.csv(str(tmp_path / "minimal"), header=True, schema="term string, domain string, frequency int")
+    assert sorted(map(tuple, rows.collect())) == [("a", "x", 1), ("b", "x", 5), ("c", "w", 2)]
+    assert spark.read.json(str(tmp_path / "full")).count() == 4
+
+
+def test_the_catalogue_lists_what_can_be_read(spark, tmp_path):
+    paths = {"one": write(tmp_path / "one.csv", "word1,word2,sim\na,b,1\nc,d,2\n"), "none": str(tmp_path / "none.csv")}
+    assert [(r["dataset"], r["n_rows"]) for r in LD.dataset_catalogue(spark, paths).collect()] == [("one", 2)]
+
+
+def test_status_of_data_sets_and_one_pair(spark):
+    results = spark.createDataFrame([("hj-rg", "sbert", 0.5), ("hj-rg", "hybrid", 0.4), ("simlex999", "sbert", 0.3)], "dataset string, method string, spearman double")
+    assert {r["dataset"]: (r["methods"], r["done"]) for r in SU.dataset_status(results).collect()} == {"hj-rg": (2, 2), "simlex999_rus": (2, 0), "simlex999": (1, 1)}
+    vectors = spark.createDataFrame([("a", "x", [1.0, 0.0]), ("b", "y", [1.0, 1.0])], "term string, domain string, embedding array<float>")
+    assert abs(SU.pair_similarity(vectors, "x", "y") - 0.5**0.5) < 1e-9
+    with pytest.raises(ValueError, match="two known domains"):
+        SU.pair_similarity(vectors, "x", "z")
+
+
+def test_first_five_terms_tell_the_script(spark):
+    rows = spark.createDataFrame([(["a", "b", "c", "d", "e", "ё"],), (["a", "я"],), ([],)], "terms array<string>")
+    assert [r["c"] for r in rows.select(X.is_cyrillic(F.col("terms")).alias("c")).collect()] == [False, True, False]
