@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from kindred.operators.ranks import placed
 from kindred.stores.lineage import kept
 
+#: Scores this near may tie when they are rounded to nine places.
+NEAR = 1e-8
+
 #: What a cell makes of its first side, and the scores (rows by columns) that this and a batch of the other side give.
 Prepare = Callable[[pa.Table], object]
 Score = Callable[[object, pa.RecordBatch], np.ndarray]
@@ -65,20 +68,25 @@ class Running:
         self.most, self.ids, self.scores = most, None, None
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        known = np.broadcast_to(ids, scores.shape)
-        if self.scores is not None:
-            scores, known = np.hstack([self.scores, scores]), np.hstack([self.ids, known])
-        if scores.shape[1] > self.most:
-            tied = np.round(scores, 9)
-            least = np.partition(tied, -self.most, axis=1)[:, -self.most, None]
-            rows, columns = np.nonzero(tied >= least)  # all that tie with the last one too
-            order = np.lexsort((columns, -tied[rows, columns], rows))
-            rows, columns = rows[order], columns[order]
-            first = np.arange(len(rows)) - np.searchsorted(rows, rows) < self.most
-            columns = columns[first].reshape(len(scores), self.most)
+        """Once `most` are known, only what reaches the worst of them is looked at."""
+        if self.scores is not None and self.scores.shape[1] == self.most:
+            rows, columns = np.nonzero(scores >= self.scores[:, -1:] - NEAR)
+            if not len(rows):
+                return
+            n = len(scores)
+            rows, arrival = np.concatenate([np.repeat(np.arange(n), self.most), rows]), np.concatenate([np.tile(np.arange(self.most), n), self.most + columns])
+            values, known = np.concatenate([self.scores.ravel(), scores[rows[n * self.most :], columns]]), np.concatenate([self.ids.ravel(), ids[columns]])
         else:
-            columns = np.argsort(-np.round(scores, 9), axis=1, kind="stable")
-        self.scores, self.ids = np.take_along_axis(scores, columns, axis=1), np.take_along_axis(known, columns, axis=1)
+            known = np.broadcast_to(ids, scores.shape)
+            if self.scores is not None:
+                scores, known = np.hstack([self.scores, scores]), np.hstack([self.ids, known])
+            least = np.partition(scores, -self.most, axis=1)[:, -self.most, None] if scores.shape[1] > self.most else -np.inf
+            rows, arrival = np.nonzero(scores >= least - NEAR)
+            values, known = scores[rows, arrival], known[rows, arrival]
+        order = np.lexsort((arrival, -np.round(values, 9), rows))
+        first = order[np.arange(len(rows)) - np.searchsorted(rows[order], rows[order]) < self.most]
+        width = len(first) // (int(rows[first[-1]]) + 1) if len(first) else 0
+        self.scores, self.ids = values[first].reshape(-1, width), known[first].reshape(-1, width)
 
 
 def shape(n_rows: int, n_columns: int, parallelism: int, row: int, column: int) -> tuple[int, int]:

@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,31 +21,16 @@ from kindred.operators import similarity as S
 from kindred.operators import topics as TP
 from kindred.stores.lineage import kept
 
-Provider = Callable[[list[str]], list[list[float]]]
-_PROVIDERS: dict[str, Provider] = {}
-
-
-def register_provider(name: str, provider: Provider) -> None:
-    """Make a text encoder known by a name; it gets lists of texts and returns a vector for each."""
-    _PROVIDERS[name] = provider
-
-
-def embedded(terms: DataFrame, provider: str | Provider, column: str = "term") -> DataFrame:
-    """The frame with `embedding`, each distinct text encoded once, in Arrow batches."""
-    encode = _PROVIDERS[provider] if isinstance(provider, str) else provider
-
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(encode(texts.tolist())))
-
-    own = terms.select(column).distinct().withColumn("embedding", F.pandas_udf(run, "array<float>")(column))
-    return terms.join(own, column)
-
-
 def mean_pooled(tokens: DataFrame, by: str = "term", vector: str = "embedding", mask: str = "mask") -> DataFrame:
     """A text's vector from its tokens' vectors, tokens with mask 0 left out."""
     return C.mean_centroids(tokens.filter(F.col(mask) > 0), by, vector).withColumnRenamed("centroid", "embedding")
 
 
+def cls_pooled(tokens: DataFrame, by: str = "term", vector: str = "embedding", at: str = "position") -> DataFrame:
+    """A text's vector is that of its first token."""
+    return tokens.groupBy(by).agg(F.min_by(vector, at).alias("embedding"))
+
+
 #: Methods that come from a seeded model; the others come from one pass over the pairs.
 SEEDED = ("bertopic", "doc2vec", "lda")
 TAXONOMY = {"wordnet_lin": "lin", "wordnet_wup": "wup", "wordnet_lin_en": "lin", "wordnet_wup_en": "wup"}

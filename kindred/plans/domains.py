@@ -103,6 +103,12 @@ def knn(spark, folder):
     return rounded(neighbours(D.vectors(spark, folder)), "score")
 
 
+def knn_search(spark, folder):
+    """Neighbours of the vectors whose id is divisible by 100, among all vectors."""
+    own = kept(K.index(D.vectors(spark, folder)))
+    return rounded(K.nearest(own, own.filter("term % 100 = 0"), 10), "score")
+
+
 def rag_domains(spark, folder):
     v = kept(D.vectors(spark, folder))
     return rounded(S.domain_pairs(K.domain_means(v, K.augmented_terms(v, neighbours(v)))), "score")
@@ -172,6 +178,7 @@ SQL = {
     "graph_detailed_edges": f"WITH {PAIRS} SELECT domain1::VARCHAR AS source, domain2::VARCHAR AS target, round({SCORE}, 6) AS weight, 'similarity' AS type FROM p WHERE {SCORE} >= 0 UNION ALL SELECT label::VARCHAR || '_term_' || (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::VARCHAR, label::VARCHAR, 1.0, 'belongs_to' FROM embeddings",
     "graph_counts": f"WITH {PAIRS} SELECT (SELECT count(DISTINCT label) FROM embeddings) AS domains, (SELECT count(*) FROM embeddings) AS terms, (SELECT count(*) FROM p WHERE {SCORE} >= 0) AS similarity_edges",
     "knn": f"WITH {KNN} SELECT query, neighbour, round(score, 6) AS score, place FROM kn",
+    "knn_search": f"WITH {KNN.replace('FROM l a, l b', 'FROM l a, l b WHERE a.term % 100 = 0').replace('pos <= 6', 'pos <= 11').replace('place <= 5', 'place <= 10')} SELECT query, neighbour, round(score, 6) AS score, place FROM kn",
     "rag_domains": f"WITH {KNN}, g AS (SELECT query AS term, neighbour AS other FROM kn UNION ALL SELECT DISTINCT query, query FROM kn), gm AS (SELECT g.term, o.i, avg(o.v) AS v FROM g JOIN long o ON g.other = o.term GROUP BY ALL), tv AS (SELECT gm.term, l.domain, gm.i, gm.v / sqrt(sum(gm.v * gm.v) OVER (PARTITION BY gm.term)) AS v FROM gm JOIN long l ON gm.term = l.term AND gm.i = l.i), {DOMAIN_OF_TERMS}",
     "graph_rag_domains": f"WITH {KNN}, gm AS (SELECT k.query AS term, o.i, avg(o.v) AS v FROM kn k JOIN long o ON k.neighbour = o.term GROUP BY ALL), tv AS (SELECT l.term, l.domain, l.i, 0.5 * l.v + 0.5 * gm.v AS v FROM long l JOIN gm ON l.term = gm.term AND l.i = gm.i), {DOMAIN_OF_TERMS}",
     "rag_pairs": f"WITH {KNN}, gm AS (SELECT k.query AS term, o.i, avg(o.v) AS v FROM kn k JOIN long o ON k.neighbour = o.term GROUP BY ALL), tv AS (SELECT l.term, l.i, 0.5 * l.v + 0.5 * gm.v AS v FROM long l JOIN gm ON l.term = gm.term AND l.i = gm.i) SELECT a.term AS word1, b.term AS word2, round(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)), 6) AS score FROM tv a JOIN tv b ON a.term + 1 = b.term AND a.i = b.i GROUP BY ALL",

@@ -13,7 +13,7 @@ from kindred.operators import metrics as M
 from kindred.operators import suite as SU
 from kindred.operators import topics as TP
 from kindred.plans.domains import KNN, LONG, PAIRS, SCORE, rounded
-from kindred.plans.measures import EVAL, LCS, PATH, SYN, TAX, taxonomy_scores
+from kindred.plans.measures import EVAL, LCS, PATH, SYN, TAX, VP, taxonomy_scores
 from kindred.sources import loaders
 from kindred.sources import tables as D
 from kindred.stores import embeddings as EM
@@ -44,9 +44,11 @@ def ensemble_domains(spark, folder):
 
 
 def embedded_terms(spark, folder):
-    """A provider that encodes a term by its length and its first letter."""
-    terms = D.terms(spark, folder).select("term").distinct()
-    return SU.embedded(terms, lambda texts: [[float(len(t)), float(ord(t[0]))] for t in texts]).select("term", F.col("embedding")[0].cast("int").alias("size"), F.col("embedding")[1].cast("int").alias("first"))
+    """Names encoded by their length and first letter, in batches."""
+    encoders = EM.Encoders("letters")
+    encoders.register("letters", lambda: letters)
+    found = encoders.encode(D.terms(spark, folder).select("term").distinct())
+    return found.select("term", F.col("embedding")[0].cast("int").alias("size"), F.col("embedding")[1].cast("int").alias("first"))
 
 
 def pooled_vectors(spark, folder):
@@ -55,6 +57,21 @@ def pooled_vectors(spark, folder):
     return rounded(SU.mean_pooled(v, "domain").select("domain", F.posexplode("embedding").alias("i", "value")), "value")
 
 
+def pooled_first(spark, folder):
+    """Each domain's first vector, as the first token's stands for a text."""
+    v = D.vectors(spark, folder).withColumn("position", F.col("term"))
+    return rounded(SU.cls_pooled(v, "domain").select("domain", F.posexplode("embedding").alias("i", "value")), "value")
+
+
+def benchmark_idf(spark, folder):
+    """The vector methods with idf: of a vector's domain among all vectors; those of domain 3 have none."""
+    v = kept(D.vectors(spark, folder))
+    size, df = v.agg(F.count("*").alias("_n")), v.groupBy("domain").agg(F.count("*").alias("_c"))
+    idf = v.filter("domain <> 3").join(df, "domain").join(F.broadcast(size)).select("term", F.ln(F.col("_n") / F.col("_c")).alias("idf"))  # of one row
+    found = M.vector_methods(D.vector_pairs(spark, folder), v, idf).filter("method = 'sbert_tfidf'")
+    return rounded(found, "score")
+
+
 def benchmark_matrix(spark, folder):
     """The matrix of every data set's methods, filled from events."""
     e = D.history(spark, folder).groupBy((F.col("id") % 3).alias("d"), (F.col("id") % 5).alias("m")).agg((F.avg("spearman") / 100).alias("spearman"))
@@ -196,6 +213,8 @@ SQL = {
     "ensemble_domains": f"WITH {PAIRS}, {GRAMS} SELECT domain1, domain2, round(dot / (na * nb), 4) AS sbert_score, round(score, 4) AS tfidf_score, round(dot / (na * nb) * 0.8334 + score * 0.1666, 6) AS similarity FROM p JOIN gs USING (domain1, domain2)",
     "embedded_terms": "SELECT DISTINCT p_name AS term, length(p_name) AS size, ascii(p_name) AS first FROM part",
     "pooled_vectors": f"WITH {LONG} SELECT domain, i, round(avg(v), 6) AS value FROM long WHERE term % 2 = 0 GROUP BY ALL",
+    "pooled_first": f"WITH {LONG} SELECT domain, i, round(v, 6) AS value FROM long WHERE term IN (SELECT min(vec_id) FROM embeddings GROUP BY label)",
+    "benchmark_idf": f"WITH {VP}, c AS (SELECT label, ln((SELECT count(*) FROM embeddings) / count(*)) AS x FROM embeddings GROUP BY 1), i AS (SELECT vec_id, CASE WHEN label <> 3 THEN x END AS x FROM embeddings JOIN c USING (label)), s AS (SELECT vec_id, coalesce((x - (SELECT min(x) FROM i)) / nullif((SELECT max(x) - min(x) FROM i), 0), 0) AS w FROM i) SELECT 'sbert_tfidf' AS method, word1, word2, human_score, round(greatest(least(c * (0.5 + 0.5 * (a.w + b.w) / 2), 1), 0), 6) AS score FROM cs JOIN s a ON a.vec_id = word1 JOIN s b ON b.vec_id = word2",
     "benchmark_matrix": f"WITH k AS (SELECT 'hj-rg' AS dataset, m AS method FROM (VALUES {RU}) AS t(m) UNION ALL SELECT 'simlex999_rus', m FROM (VALUES {RU}) AS t(m) UNION ALL SELECT 'simlex999', m FROM (VALUES ('sbert'), ('wordnet_lin_en'), ('wordnet_wup_en')) AS t(m)), r AS (SELECT ['hj-rg', 'simlex999_rus', 'simlex999'][event_id % 3 + 1] AS dataset, ['sbert', 'wordnet_lin', 'hybrid', 'lda', 'wordnet_lin_en'][event_id % 5 + 1] AS method, avg(value) / 100 AS s FROM events GROUP BY event_id % 3, event_id % 5) SELECT dataset, method, round(s, 6) AS value FROM k LEFT JOIN r USING (dataset, method) WHERE method IN (SELECT method FROM r)",
 }
 #: Seeded methods of Spark ML have no SQL.

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import text as X
 from kindred.operators import suite as SU
+from kindred.operators import topics as TP
 from kindred.sources import loaders as LD
 from kindred.sources import tables as D
 from kindred.stores import tables as ST
@@ -224,3 +225,23 @@ def test_status_of_data_sets_and_one_pair(spark):
 def test_first_five_terms_tell_the_script(spark):
     rows = spark.createDataFrame([(["a", "b", "c", "d", "e", "ё"],), (["a", "я"],), ([],)], "terms array<string>")
     assert [r["c"] for r in rows.select(X.is_cyrillic(F.col("terms")).alias("c")).collect()] == [False, True, False]
+
+
+def test_clusters_that_are_apart(spark):
+    """Words of one cluster score 0.9, others by their clusters' means; a word without a vector is missing."""
+    near = [("a", [1.0, 0.02]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0]), ("d", [0.02, 1.0]), ("e", [-1.0, 0.0]), ("f", [-1.0, 0.02]), ("g", [0.0, -1.0])]
+    vectors = spark.createDataFrame([(t, "x", v) for t, v in near], "term string, domain string, embedding array<float>")
+    pairs = [("a", "b"), ("c", "d"), ("e", "f"), ("a", "c"), ("a", "e"), ("c", "g"), ("g", "g"), ("a", "none")]
+    frame = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "word1 string, word2 string, human_score double")
+    found = {(r["word1"], r["word2"]): r["score"] for r in TP.clustered(frame, vectors).collect()}
+    assert found["a", "b"] == found["g", "g"] == 0.9 and found["a", "none"] is None
+    assert all(v == 0.9 or v < 0.6 for v in found.values() if v is not None) and found["a", "e"] < 0.5
+
+
+def test_a_mixture_without_mass_is_missing(spark):
+    """A text without a token of the vocabulary has no topics; under three words all are missing."""
+    frame = spark.createDataFrame([("red apple", "green apple", 1.0), ("red pear", "green pear", 2.0)], "word1 string, word2 string, human_score double")
+    found = TP.topic_mixtures(frame).collect()
+    assert len(found) == 2 and all(0 <= r["score"] <= 1 for r in found)
+    assert [r["score"] for r in TP.topic_mixtures(frame.limit(1)).collect()] == [None]
+    assert spark.range(1).select(X.topic_tokens(F.lit("Ab")).alias("t"), X.topic_tokens(F.lit("ab cd")).alias("u"), X.document_tokens(F.lit("A-b. c")).alias("d"), X.document_tokens(F.lit("-")).alias("e")).first().asDict() == {"t": ["a", "b"], "u": ["ab", "cd"], "d": ["a", "b", "c"], "e": ["-"]}
