@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.llm import shingles
 
@@ -152,3 +153,45 @@ def test_a_star_of_copies_amid_texts_with_its_passage(spark):
     found = shingles.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     rows = {(r["a"], r["b"]) for r in found.collect()}
     assert rows <= wanted and parts(rows, len(texts)) == parts(wanted, len(texts))
+
+
+def keyed_rows(spark, sizes, at):
+    rows = [(i, size, at, 7, i) for i, size in enumerate(sizes)]
+    return spark.createDataFrame(rows, "doc_id long, size int, at int, key long, label long")
+
+
+def joined_rows(frame):
+    """Rows that the join itself makes, before the filters after it."""
+    found = []
+    original = shingles.needed
+    try:
+        shingles.needed = lambda a, b, similarity: F.lit(-1.0)
+        found = frame()
+    finally:
+        shingles.needed = original
+    return found.count()
+
+
+def test_a_shared_passage_that_is_too_short_joins_nothing(spark):
+    """5,000 texts share 70 of 100 shingles: the passage's keys come after 30 others, so none can reach 0.8."""
+    rows = keyed_rows(spark, [100 + i % 7 for i in range(5_000)], 30)
+    assert joined_rows(lambda: shingles.met(rows, rows, 0.8, False)) <= 20 * 5_000
+    hubs = rows.filter("doc_id < 8")
+    assert joined_rows(lambda: shingles.met(hubs, rows, 0.8, True)) <= 20 * 5_000
+    assert shingles.met(rows, rows, 0.8, False).count() == 0
+
+
+def test_bands_lose_no_pair_that_the_bounds_allow(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(1, 90)) for i in range(160)]
+    rows = [(i, size, rng.randrange(0, size), rng.randrange(3), i) for i, size in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, size int, at int, key long, label long")
+    wanted = set()
+    for a, n, p, k, _ in rows:
+        for b, m, q, j, _ in rows:
+            need = 0.8 * (n * m) ** 0.5 - 1e-6
+            if a < b and k == j and min(n - p, m - q) >= need and min(n, m) >= need:
+                wanted.add((a, b))
+    assert wanted and {tuple(r) for r in shingles.met(frame, frame, 0.8, False).collect()} == wanted
+    hubs = frame.filter("doc_id % 5 = 0")
+    assert {tuple(r) for r in shingles.met(hubs, frame, 0.8, True).collect()} == {(a, b) for a, b in wanted if a % 5 == 0 or b % 5 == 0}
