@@ -25,15 +25,15 @@ def index(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return one.withColumn("vector", V.unit(F.col("vector")))
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, row: int = ROW, column: int = COLUMN) -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, block: int = ROW, column: int = COLUMN) -> DataFrame:
     """`query, neighbour, score, place`: of each query's k + 1 best in the corpus those with another id, k at most.
 
     `corpus` and `queries` are `term, vector` frames of unit vectors, a row for each term; ties go in order of id. Fewer
-    rows come back where the corpus is smaller."""
+    rows come back where the corpus is smaller. block: queries of a grid row; column: corpus vectors of a column."""
     same = queries is corpus
     corpus = kept(corpus.select("term", "vector"))
     queries = corpus if same else kept(queries.select("term", "vector"))
-    return grid.best(queries, corpus, k, lambda rows: grid.matrix(rows.column("vector")), lambda own, rows: own @ grid.matrix(rows.column("vector")).T, row, column, BATCH)
+    return grid.best(queries, corpus, k, lambda rows: grid.matrix(rows.column("vector")), lambda own, rows: own @ grid.matrix(rows.column("vector")).T, block, column, BATCH)
 
 
 def neighbour_means(neighbours: DataFrame, vectors: DataFrame, vector: str = "embedding", with_self: bool = False) -> DataFrame:

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from kindred.functions import vectors as V
 from kindred.functions.numbers import normalized_weights
+from kindred.stores.lineage import kept
 
 
 def domain_pairs(centroids: DataFrame, metric: str = "cosine", by: str = "domain", vector: str = "centroid") -> DataFrame:
     """`domain1, domain2, score` for domain1 < domain2: each unordered pair once.
 
-    This is a product of domains by its nature: D domains have D (D - 1) / 2 pairs. It holds aggregates only."""
+    This is a product of domains by its nature: D domains have D (D - 1) / 2 pairs. It holds aggregates only, which are
+    computed once and kept."""
     score = V.metric(metric)
+    centroids = kept(centroids.select(by, vector))
     a = centroids.select(F.col(by).alias("domain1"), F.col(vector).alias("_a"))
     b = centroids.select(F.col(by).alias("domain2"), F.col(vector).alias("_b"))
     return a.join(b, F.col("domain1") < F.col("domain2")).select("domain1", "domain2", score(F.col("_a"), F.col("_b")).alias("score"))
