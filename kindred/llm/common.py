@@ -43,6 +43,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that a task of a small frame takes on average.
+TASK_ROWS = 20_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """The frame in as many parts as `rows` rows, an upper bound of what it has, are worth, and in no more than it has.
+    Few rows in a great many parts cost a task and files for each part in every shuffle that follows. A frame of many
+    rows stays as it is."""
+    return df.coalesce(parts_for(rows, TASK_ROWS))
+
+
 #: Keys that `attached` takes as hot: so many at most, each of more rows than LEAST_HOT.
 HOT_KEYS, LEAST_HOT = 500, 200
 
