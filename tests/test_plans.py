@@ -112,6 +112,18 @@ def test_shortest_paths_from_both_ends(spark, most):
     assert {(r["s1"], r["s2"]): r["length"] for r in found.collect()} == {(a, b): breadth_first(edges, a, b, most) for a, b in pairs}
 
 
+def test_shortest_paths_below_wide_parents(spark, monkeypatch):
+    """Two parents of 150 leaves each: what a search keeps does not grow with leaves times leaves."""
+    sizes, keep = [], T.kept
+    monkeypatch.setattr(T, "kept", lambda frame: sizes.append((found := keep(frame)).count()) or found)
+    edges = [(f"{p}{i}", p) for p in "ab" for i in range(150)] + [("a", "top"), ("b", "top"), ("u", "v"), ("w", "w")]
+    pairs = [(f"a{i}", f"b{(i * 7) % 150}") for i in range(150)] + [("a0", "a1"), ("a0", "a"), ("a0", "top"), ("a0", "a0"), ("u", "v"), ("v", "u"), ("u", "a0"), ("w", "w"), ("w", "a0")]
+    for most in (20, 3):
+        found = T.shortest_paths(spark.createDataFrame(pairs, "s1 string, s2 string"), spark.createDataFrame(edges, "child string, parent string"), most)
+        assert {(r["s1"], r["s2"]): r["length"] for r in found.collect()} == {(a, b): breadth_first(edges, a, b, most) for a, b in pairs}
+    assert max(sizes) <= 2 * len(edges)
+
+
 def test_two_chains_at_once(spark):
     """Plans built side by side do not share names."""
     one = T.chains(spark.createDataFrame([("a",)], "synset_id string"), spark.createDataFrame([("a", "b", 0)], "child string, parent string, ord int"))
