@@ -124,6 +124,35 @@ def test_shortest_paths_below_wide_parents(spark, monkeypatch):
     assert max(sizes) <= 2 * len(edges)
 
 
+def test_domains_compare_a_row_for_interchangeable_synsets(spark):
+    """The similarities are those of all pairs; the rows do not grow with the synsets below a parent."""
+    rng = random.Random(11)
+    edges = [(f"s{i}", f"n{rng.randrange(4)}", 0) for i in range(120)] + [(f"n{i}", f"r{i % 2}", 0) for i in range(4)] + [(f"r{i}", "top", 0) for i in range(2)] + [("x", "y", 0), ("y", "x", 0), ("z", "x", 0)]
+    h = spark.createDataFrame(edges, "child string, parent string, ord int")
+    s = spark.createDataFrame([(n,) for n in sorted({e[0] for e in edges} | {e[1] for e in edges} | {"alone"})], "synset_id string")
+    members = spark.createDataFrame([(f"s{i}",) for i in range(0, 120, 3)] + [("n0",), ("r0",), ("r0",), ("r1",)], "synset_id string")
+    terms = [(i % 3, f"s{i}") for i in range(120)] + [(0, "n1"), (1, "n1"), (1, "x"), (2, "y"), (2, "z"), (0, "alone"), (1, "alone"), (0, "s1"), (2, "none")]
+    counts = T.domain_synsets(spark.createDataFrame(terms, "domain int, term string"), s.select(F.col("synset_id").alias("term"), "synset_id", F.lit(0).alias("ord")))
+    chain, ic = T.kept(T.chains(s, h)), T.kept(T.contents(s, members))
+    few = T.kept(T.interchangeable(counts, chain, ic))
+    found = []
+    for own in (counts, few):
+        pairs = T.kept(T.domain_synset_pairs(own))
+        scores = T.kept(T.synset_similarities(pairs.select("s1", "s2").distinct(), chain, h, ic))
+        found.append([{(r["domain1"], r["domain2"]): (r["max"], r["min"], round(r["mean"], 9)) for r in T.domain_similarities(pairs, scores, a, "max", "min", "mean").collect()} for a in ("lin", "wup")])
+    assert found[0] == found[1] and len(found[0][0]) == 3
+    assert few.agg(F.sum("n")).first()[0] == len(terms) and few.count() <= 3 * 8 + 10
+
+
+def test_taxonomy_domains_forms_few_pairs(spark, monkeypatch):
+    from kindred.plans import measures
+
+    sizes, keep = [], measures.kept
+    monkeypatch.setattr(measures, "kept", lambda frame: sizes.append((found := keep(frame)).count()) or found)
+    QUERIES["taxonomy_domains"](spark, "/root/testdata/sf0.01").collect()
+    assert max(sizes) <= 4 * D.synsets(spark, "/root/testdata/sf0.01").count()
+
+
 def test_two_chains_at_once(spark):
     """Plans built side by side do not share names."""
     one = T.chains(spark.createDataFrame([("a",)], "synset_id string"), spark.createDataFrame([("a", "b", 0)], "child string, parent string, ord int"))
