@@ -15,8 +15,9 @@ from kindred.operators import grid
 from kindred.operators.centroids import long_vectors, mean_centroids
 from kindred.stores.lineage import kept
 
-#: Queries of a grid row, corpus vectors that meet them at a time, and corpus vectors of a column.
-ROW, BATCH, COLUMN = 4_096, 2_048, 100_000
+#: Queries of a grid row, corpus vectors that meet them at a time, and corpus vectors of a column. A task holds scores of a
+#: row by a batch, a few times over, and a worker process keeps what it grew to: 4,096 by 512 doubles are 17 MB.
+ROW, BATCH, COLUMN = 4_096, 512, 100_000
 
 
 def index(vectors: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -153,6 +153,21 @@ def test_taxonomy_domains_forms_few_pairs(spark, monkeypatch):
     assert max(sizes) <= 4 * D.synsets(spark, "/root/testdata/sf0.01").count()
 
 
+def test_memory_of_a_cell_does_not_grow_with_the_corpus():
+    """A row of queries and its scores with a batch take at most 100 MB, however many vectors come."""
+    import tracemalloc
+
+    own, peaks = np.random.default_rng(1).normal(size=(K.ROW, 8)), []
+    for batches in (4, 16):
+        rng, running = np.random.default_rng(2), grid.Running(6)
+        tracemalloc.start()
+        for i in range(batches):
+            running.add(np.arange(i * K.BATCH, (i + 1) * K.BATCH).astype(object), own @ rng.normal(size=(K.BATCH, 8)).T)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert max(peaks) < 100 << 20 and peaks[1] < 1.2 * peaks[0]
+
+
 def test_two_chains_at_once(spark):
     """Plans built side by side do not share names."""
     one = T.chains(spark.createDataFrame([("a",)], "synset_id string"), spark.createDataFrame([("a", "b", 0)], "child string, parent string, ord int"))
