@@ -44,3 +44,13 @@ def test_empty_texts_and_a_bounded_vocabulary(spark):
     found = {r["term"]: r["embedding"] for r in PV.paragraph_vectors(texts, PV.Training(size=4, rounds=2, vocabulary=1)).collect()}
     assert set(found) == {"a", "b", "c"} and all(len(v) == 4 for v in found.values())
     assert PV.paragraph_vectors(texts.limit(0), PV.Training(size=4, rounds=1)).collect() == []
+
+
+def test_words_come_to_the_driver_as_floats(spark):
+    """Which is what the state holds; as doubles they were twice as many bytes."""
+    from kindred.operators import paragraphs
+
+    rows = [(0, 1, [1.0, 0.1]), (0, 3, [3.0, 0.1]), (-1, 0, [9.0, 9.0])]
+    found = paragraphs.averaged(spark.createDataFrame(rows, "word int, n long, vector array<float>"))
+    assert dict(found.dtypes)["v"] == "array<float>"
+    assert [(r["word"], [round(x, 6) for x in r["v"]]) for r in found.collect()] == [(0, [2.5, 0.1])]
