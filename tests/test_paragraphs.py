@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions import text as X
+from kindred.functions import vectors as V
 from kindred.operators import paragraphs as PV
 
 
@@ -54,3 +55,16 @@ def test_words_come_to_the_driver_as_floats(spark):
     found = paragraphs.averaged(spark.createDataFrame(rows, "word int, n long, vector array<float>"))
     assert dict(found.dtypes)["v"] == "array<float>"
     assert [(r["word"], [round(x, 6) for x in r["v"]]) for r in found.collect()] == [(0, [2.5, 0.1])]
+
+
+def test_parts_are_trained_in_tasks_of_their_own(spark):
+    """Texts of few bytes are not merged into one task."""
+    texts = spark.createDataFrame([(i, [f"w{i % 3}", "x"]) for i in range(40)], "term int, tokens array<string>")
+    assert PV.paragraph_vectors(texts, PV.Training(size=4, part=5, rounds=1, epochs=1)).rdd.getNumPartitions() == 8
+
+
+def test_a_length_is_computed_once(spark):
+    """Not again for each number of the vector."""
+    frame = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],)], "v array<double>").select(V.unit(F.col("v")).alias("u"))
+    assert frame._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+    assert [r["u"] for r in frame.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
